@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from barloom.llm import embeddings, simhash
+import public_tokenizers
+
+from barloom.llm import bpe, embeddings, repeats, simhash
 from barloom.llm.common import table
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 QUERIES = {
     "op1_embedding_near_dedup": lambda spark, sf_dir: embeddings.query(table(spark, sf_dir, "embeddings")),
+    "op4_suffix_array_dedup": lambda spark, sf_dir: repeats.query(table(spark, sf_dir, "documents")),
+    "op9_byte_bpe": lambda spark, sf_dir: bpe.query(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN),
     "op8_simhash_near_dedup": lambda spark, sf_dir: simhash.query(table(spark, sf_dir, "documents")),
 }
 
