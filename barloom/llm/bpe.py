@@ -86,10 +86,14 @@ class Codec:
             i = end[i]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str, ahead: int = 0) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers. ahead: so many characters at the end begin with a new
+        pre-token and are there for the pattern to look at; they aren't encoded."""
         memory, out = self.memory, []
-        for piece in self.find.findall(text):
+        pieces = self.find.findall(text)
+        while ahead > 0:
+            ahead -= len(pieces.pop())
+        for piece in pieces:
             ids = memory.get(piece)
             if ids is None:
                 found = self._merge(piece.encode())
@@ -149,13 +153,16 @@ def _bounds(ranks_path: str, pattern: str, chunk: int, overlap: int):
 
 
 def _encoded(ranks_path: str, pattern: str):
+    """The last two columns, text and ahead, become ids and decoded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 own = b.slice(lo, 256)
-                ids = [c.encode(t) for t in own.column(own.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], names=[*own.schema.names[:-1], "ids", "decoded"])
+                texts, ahead = (own.column(own.num_columns - x).to_pylist() for x in (2, 1))
+                ids = [c.encode(t, a) for t, a in zip(texts, ahead, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], names=[*own.schema.names[:-2], "ids", "decoded"])
 
     return run
 
@@ -170,7 +177,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK,
     rows = docs.select(k, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk
     encode = _encoded(ranks_path, pattern)
-    short = rows.where(~is_long).select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, decoded binary")
+    short = rows.where(~is_long).select("doc_id", "text", F.lit(0).alias("ahead")).mapInArrow(encode, "doc_id long, ids binary, decoded binary")
 
     long_rows = rows.where(is_long)
     slices = long_rows.select("k", "text").mapInArrow(_slices(chunk, overlap), "k long, part int, parts int, text string")
@@ -187,7 +194,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK,
     cut = bounded.select("k", "part", "parts", "text").join(meets, ["k", "part"])
     lost = ((F.col("part") > 0) & F.col("lo").isNull()) | ((F.col("part") < F.col("parts") - 1) & F.col("hi").isNull())
     pieces = cut.where(~lost).select(
-        "k", "part", "parts", F.expr(f"substring(text, coalesce(lo, 0) + 1, if(hi is null, length(text), {chunk} + hi) - coalesce(lo, 0))").alias("text")
+        "k", "part", "parts", F.expr("substring(text, coalesce(lo, 0) + 1)").alias("text"), F.expr(f"coalesce(length(text) - {chunk} - hi, 0)").alias("ahead")
     )
     joined = (
         pieces.mapInArrow(encode, "k long, part int, parts int, ids binary, decoded binary")
@@ -197,7 +204,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK,
     )
     binary = lambda c: F.aggregate(F.col("p"), F.lit(b""), lambda x, y: F.concat(x, y[c])).alias(c)
     stitched = long_rows.select("k", "doc_id").join(joined.select("k", binary("ids"), binary("decoded")), "k").select("doc_id", "ids", "decoded")
-    whole = long_rows.join(cut.where(lost).select("k").distinct(), "k", "left_semi").select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, decoded binary")
+    whole = long_rows.join(cut.where(lost).select("k").distinct(), "k", "left_semi").select("doc_id", "text", F.lit(0).alias("ahead")).mapInArrow(encode, "doc_id long, ids binary, decoded binary")
     return short.unionByName(stitched).unionByName(whole)
 
 
