@@ -1,6 +1,6 @@
 """Quality classifier on supervised subword embeddings.
 
-Words and character n-grams are hashed into a table of vectors; a text is the average of its vectors, and a softmax over
+Words, pairs of equal words and character n-grams are hashed into a table of vectors; a text is the average of its vectors, and a softmax over
 two outputs scores it. Vectors and outputs are learned together by stochastic gradient descent in numpy, on a bounded
 sample of labelled rows. As averaging and output are linear, scoring needs one number for each hashed feature: the
 vector's part in the difference of the two outputs. The model's size is fixed, so it is sent to every task.
@@ -21,6 +21,8 @@ SAMPLE = 3000
 BUCKETS, DIM = 1 << 16, 16
 #: Lengths in bytes of the character n-grams.
 GRAMS = (3, 5)
+#: A pair of equal words so far apart counts as one feature, whatever the word (the pair itself is too rare to learn).
+AGAIN = (1, 2, 3, 4, 6, 8)
 EPOCHS, RATE, SEED = 8, 0.5, 11
 #: A row is labelled 1 from this score on.
 CUT = 0.3
@@ -59,7 +61,11 @@ def features(text: bytes) -> np.ndarray:
                 found.append(_bucket((total[g:] - total[:-g]) * _DOWN[: len(data) - g + 1], g))
         gap = np.concatenate([[True], _SPACE[data], [True]])
         begin, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-        found.append(_bucket((total[end] - total[begin]) * _DOWN[begin], 1))
+        words = (total[end] - total[begin]) * _DOWN[begin]
+        found.append(_bucket(words, 1))
+        for apart in AGAIN:
+            same = int((words[apart:] == words[:-apart]).sum())
+            found.append(np.repeat(_bucket(np.array([apart], dtype=np.uint64), 2), same))
         lo = hi
     return np.concatenate(found)
 
