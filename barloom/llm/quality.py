@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.labelled import sample_of
+
 #: Labelled rows that the model is fitted on: those of least hash.
 SAMPLE = 3000
 BUCKETS, DIM = 1 << 16, 16
@@ -109,28 +111,6 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label: str, size: int, learn) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of the ``size`` labelled rows of least hash that may be learned from.
-
-    learn: a condition on doc_id. A doc_id whose labels differ, or are null, teaches nothing; one that docs repeat is
-    taken once.
-    """
-    known = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("z"))
-        .where("y = z")
-        .where(learn(F.col("doc_id")))
-    )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    # at most ``size`` rows, so they may be sent to every task
-    picked = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(size)
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    found = sorted(rows.collect(), key=lambda r: r.doc_id)
-    return [bytes(r.text) for r in found], [r.y for r in found]
-
-
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; a null text is empty, and an empty text gets the score of no words."""
     weight = docs.sparkSession.sparkContext.broadcast(model.weight)
@@ -150,7 +130,8 @@ def held_out(doc_id):
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; a row without doc_id is not held out."""
-    model = train(*sample_of(docs, labels, "quality", SAMPLE, lambda d: ~held_out(d)))
+    rows = sample_of(docs, labels, "quality", SAMPLE, lambda d: ~held_out(d))
+    model = train([r[1] for r in rows], [r[2] for r in rows])
     return scored(docs, model).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
