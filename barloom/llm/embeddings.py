@@ -152,9 +152,9 @@ def embedding_groups(
 #: The same by comparing all pairs; rows of one vec_id are taken to be one.
 ORACLE = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> x::double) e from embeddings
+  select vec_id, label, [x::double for x in embedding] e from embeddings
 ), n as (
-  select *, sqrt(list_sum(list_transform(e, x -> x * x))) norm from v where label is not null
+  select *, sqrt(list_sum([x * x for x in e])) norm from v where label is not null
 ), link as (
   select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id
   where a.norm > 0 and b.norm > 0 and list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from barloom.llm import bpe, embeddings, quality, repeats, simhash, sketch
+from barloom.llm import bpe, embeddings, mixing, pages, pii, quality, repeats, simhash, sketch, toxicity
 from barloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES = {
     "op1_embedding_near_dedup": lambda spark, sf_dir: embeddings.query(table(spark, sf_dir, "embeddings")),
+    "op2_source_mixing": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
+    "op3_html_extraction": lambda spark, sf_dir: pages.query(table(spark, sf_dir, "pages")),
     "op4_suffix_array_dedup": lambda spark, sf_dir: repeats.query(table(spark, sf_dir, "documents")),
     "op5_document_fingerprints": lambda spark, sf_dir: sketch.query(table(spark, sf_dir, "documents")),
+    "op6_pii_pseudonyms": lambda spark, sf_dir: pii.query(table(spark, sf_dir, "documents")),
     "op7_quality_classifier": lambda spark, sf_dir: quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
-    "op9_byte_bpe": lambda spark, sf_dir: bpe.query(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN),
     "op8_simhash_near_dedup": lambda spark, sf_dir: simhash.query(table(spark, sf_dir, "documents")),
+    "op9_byte_bpe": lambda spark, sf_dir: bpe.query(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN),
+    "op10_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLES = {"op1_embedding_near_dedup": embeddings.ORACLE}
+ORACLES = {"op1_embedding_near_dedup": embeddings.ORACLE, "op2_source_mixing": mixing.ORACLE}
