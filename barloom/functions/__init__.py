@@ -1 +1 @@
-
+"""Column functions and vectorised helpers."""

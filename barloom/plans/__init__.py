@@ -1 +1 @@
-
+"""The registered queries and their SQL."""

@@ -1 +1 @@
-
+"""The same operators on streams."""
