@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD
+from barloom.llm.common import WORD, checkpointed
 
 WORDS = 5
 #: A hash is kept if it is below 2**64 / SCALE.
 SCALE = 8
 #: Documents are dealt by doc_id div SPAN, so that neighbours share a bucket of bounded size.
 SPAN = 512
+#: Buckets whose first doc_id is sent to every task to find its text; with more, texts are shuffled once more for that.
+SENT = 500_000
 
 
 def shingle_hashes(words: list[bytes], width: int = WORDS) -> np.ndarray:
@@ -160,7 +162,10 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, width: int = WORDS, span:
     top = highest // span if ends[0] is not None else nulls_below
     guests_of = follows.select("g", F.coalesce("next", F.lit(top)).alias("next"))
     # the first row of each bucket, by largest doc_id and then smallest text
-    heads = rows.join(firsts.select(F.col("g").alias("fg"), F.col("doc_id").alias("fd")), (F.col("g") == F.col("fg")) & F.col("doc_id").eqNullSafe(F.col("fd")), "left_semi")
+    wanted = checkpointed(firsts.select(F.col("g").alias("fg"), F.col("doc_id").alias("fd")))
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    heads = rows.join(wanted, (F.col("g") == F.col("fg")) & F.col("doc_id").eqNullSafe(F.col("fd")), "left_semi")
     head = heads.groupBy("g", "doc_id").agg(F.min("text").alias("text"))
     guests = guests_of.join(head.select(F.col("g").alias("next"), "doc_id", "text"), "next").select("g", F.lit(True).alias("guest"), "doc_id", "text")
     return (
