@@ -15,7 +15,10 @@ from barloom.functions.scalars import ratio
 from barloom.functions.smoothing import seeded, smooth
 from barloom.params import BOLLINGER, GRID_MINUTES, LAGS, MACD_FAST, MACD_SIGNAL, MACD_SLOW, MEAN_PERIODS, RSI_PERIOD, STOCHASTIC_PERIOD
 
-W = Window.partitionBy("ticker").orderBy("date")
+def W():  # noqa: N802
+    """A ticker's days; made when used, as windows need a session."""
+    return Window.partitionBy("ticker").orderBy("date")
+
 
 
 def _full(value: Column, count: Column, n: int) -> Column:
@@ -31,13 +34,13 @@ def join_minute_daily(minute: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def sma_daily(daily: DataFrame, periods: tuple[int, ...] = MEAN_PERIODS) -> DataFrame:
-    last = lambda p: W.rowsBetween(-(p - 1), 0)
+    last = lambda p: W().rowsBetween(-(p - 1), 0)
     return daily.select("ticker", "date", *[_full(F.avg("close").over(last(p)), F.count("close").over(last(p)), p).alias(f"sma{p}") for p in periods])
 
 
 def sma_state(daily: DataFrame, periods: tuple[int, ...] = MEAN_PERIODS) -> DataFrame:
     """Sums of the p - 1 closes before each day."""
-    before = lambda p: W.rowsBetween(-(p - 1), -1)
+    before = lambda p: W().rowsBetween(-(p - 1), -1)
     return daily.select("ticker", "date", *[_full(F.sum("close").over(before(p)), F.count("close").over(before(p)), p - 1).alias(f"sum{p}") for p in periods])
 
 
@@ -54,13 +57,13 @@ def _sma(periods: tuple[int, ...]) -> list[Column]:
 
 
 def std_daily(daily: DataFrame, periods: tuple[int, ...] = tuple(BOLLINGER)) -> DataFrame:
-    last = lambda p: W.rowsBetween(-(p - 1), 0)
+    last = lambda p: W().rowsBetween(-(p - 1), 0)
     return daily.select("ticker", "date", *[_full(F.stddev_pop("close").over(last(p)), F.count("close").over(last(p)), p).alias(f"std{p}") for p in periods])
 
 
 def std_state(daily: DataFrame, periods: tuple[int, ...] = tuple(BOLLINGER)) -> DataFrame:
     """Mean and variance of the p - 1 closes before each day."""
-    before = lambda p: W.rowsBetween(-(p - 1), -1)
+    before = lambda p: W().rowsBetween(-(p - 1), -1)
     full = lambda p, f: _full(f("close").over(before(p)), F.count("close").over(before(p)), p - 1)
     return daily.select("ticker", "date", *[full(p, f).alias(f"{n}{p}") for p in periods for n, f in (("mean", F.avg), ("var", F.var_pop))])
 
@@ -110,7 +113,7 @@ def ema_daily(daily: DataFrame, periods: tuple[int, ...] = MEAN_PERIODS) -> Data
 
 def previous_day(daily: DataFrame, columns: list[str]) -> DataFrame:
     """Each day with the columns' values of the day before."""
-    return daily.select("ticker", "date", *[F.lag(c).over(W).alias(f"{c}_prev") for c in columns])
+    return daily.select("ticker", "date", *[F.lag(c).over(W()).alias(f"{c}_prev") for c in columns])
 
 
 def _step(price: Column, state: str, alpha: float) -> Column:
@@ -199,10 +202,10 @@ def _mean3(now: Column, one: Column, two: Column) -> Column:
 
 
 def stochastic_daily(daily: DataFrame, p: int = STOCHASTIC_PERIOD) -> DataFrame:
-    span = W.rowsBetween(-(p - 1), 0)
+    span = W().rowsBetween(-(p - 1), 0)
     k = daily.select("ticker", "date", _percent_k(F.col("close"), F.max("high").over(span), F.min("low").over(span)).alias("k"))
-    d = k.withColumn("d", _mean3(F.col("k"), F.lag("k", 1).over(W), F.lag("k", 2).over(W)))
-    return d.withColumn("d_slow", _mean3(F.col("d"), F.lag("d", 1).over(W), F.lag("d", 2).over(W)))
+    d = k.withColumn("d", _mean3(F.col("k"), F.lag("k", 1).over(W()), F.lag("k", 2).over(W())))
+    return d.withColumn("d_slow", _mean3(F.col("d"), F.lag("d", 1).over(W()), F.lag("d", 2).over(W())))
 
 
 def day_high_low(minute: DataFrame) -> DataFrame:
@@ -213,10 +216,10 @@ def day_high_low(minute: DataFrame) -> DataFrame:
 
 def stochastic_state(daily: DataFrame, p: int = STOCHASTIC_PERIOD) -> DataFrame:
     """Extremes of the p - 1 days before, and the lines of the two days before."""
-    before = W.rowsBetween(-(p - 1), -1)
+    before = W().rowsBetween(-(p - 1), -1)
     extremes = daily.select("ticker", "date", F.max("high").over(before).alias("high_prev"), F.min("low").over(before).alias("low_prev"))
     lines = stochastic_daily(daily, p)
-    return extremes.join(lines.select("ticker", "date", *[F.lag(c, n).over(W).alias(f"{c}{n}") for c in ("k", "d") for n in (1, 2)]), ["ticker", "date"])
+    return extremes.join(lines.select("ticker", "date", *[F.lag(c, n).over(W()).alias(f"{c}{n}") for c in ("k", "d") for n in (1, 2)]), ["ticker", "date"])
 
 
 def _with_stochastic(rows: DataFrame) -> DataFrame:
@@ -249,7 +252,7 @@ def lag_close(aligned: DataFrame, lags: dict[str, int] = LAGS) -> DataFrame:
 
 def lag_daily(daily: DataFrame, lags: dict[str, int] = LAGS) -> DataFrame:
     """The same names, days back."""
-    return daily.select("ticker", "date", *[F.lag("close", n).over(W).alias(c) for c, n in lags.items()])
+    return daily.select("ticker", "date", *[F.lag("close", n).over(W()).alias(c) for c, n in lags.items()])
 
 
 def diff_high_low(bars: DataFrame) -> DataFrame:
