@@ -2,8 +2,8 @@
 
 A string of LENGTH bytes always holds one chosen position: the leftmost least hash among its GRAM-byte windows. Equal
 strings choose alike, so only the suffixes at chosen positions are sorted, and only those whose GRAM-byte window has
-another chosen copy in the corpus. Such suffixes, cut where a string of LENGTH bytes around the position can reach, are
-grouped by the hash of their window. A group is sorted by the text that follows (and by the reversed text that
+another chosen copy in the corpus. Such suffixes, cut where the strings that chose the position reach, are grouped by
+the hash of their window. A group is sorted by the text that follows (and by the reversed text that
 precedes): multikey quicksort down to a shallow depth, then a blind trie for each set that still agrees. From the two
 orders and their common prefixes comes how far each suffix agrees with others on both sides; where both sides add up to
 LENGTH, the bytes are repeated.
@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import in_cells, whole_groups
+from barloom.llm.common import checkpointed, in_cells, whole_groups
 
 LENGTH = 400
 GRAM = 64
@@ -46,7 +47,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chosen(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen positions of a text under 2**20 bytes and the hashes of the windows there."""
+    """The same for a text of ``length`` to 2**20 bytes."""
     up, down = _power(len(text) + 1)
     total = np.zeros(len(text) + 1, dtype=np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=total[1:])
@@ -63,21 +64,20 @@ def _chosen(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
     behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: len(h) - span + 1], ahead[span - 1 : len(h)]) & _INDEX
-    at = least[np.flatnonzero(np.append(True, least[1:] != least[:-1]))].astype(np.int64)
-    return at, h[at]
+    change = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    at = least[change].astype(np.int64)
+    return np.column_stack([at, at - change, at - np.append(change[1:], len(least)) + 1]), h[at]
 
 
 def chosen_positions(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions such that each string of ``length`` bytes holds the window at one of them, and the windows' hashes."""
+    """Rows (position, most, least) and hashes: every string of ``length`` bytes has one chosen position, the same for
+    equal strings; those of a row hold its position and begin between ``most`` and ``least`` bytes before it."""
     if len(text) < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.uint64)
     data = np.frombuffer(text, dtype=np.uint8)
     piece = (1 << _INDEX_BITS) - length
-    if len(text) <= piece:
-        return _chosen(data, length, gram)
     found = [(lo, *_chosen(data[lo : lo + piece], length, gram)) for lo in range(0, len(text) - length + 1, piece - length + 1)]
-    at, first = np.unique(np.concatenate([lo + a for lo, a, _ in found]), return_index=True)
-    return at, np.concatenate([h for _, _, h in found])[first]
+    return np.concatenate([a + [lo, 0, 0] for lo, a, _ in found]), np.concatenate([h for _, _, h in found])
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -201,7 +201,7 @@ def _reach_by_depth(ahead: list[bytes], behind: list[bytes], length: int, gram:
     up, share_up, long_up = _classes(ahead)
     down, share_down, long_down = _classes(behind)
     most, least = np.full(n, -1), np.full(n, length + 1)
-    for back in range(length - gram + 1):
+    for back in range(min(length - gram, int(long_down.max())) + 1):
         ok = np.flatnonzero((long_down[down] >= back) & (long_up[up] >= length - back))
         if len(ok) < 2:
             continue
@@ -213,8 +213,10 @@ def _reach_by_depth(ahead: list[bytes], behind: list[bytes], length: int, gram:
     return [(m, length - x) if m >= 0 else (0, 0) for m, x in zip(most.tolist(), least.tolist(), strict=True)]
 
 
-def group_reach(ahead: list[bytes], behind: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int]]:
-    """(bytes behind, bytes ahead) of the repeated text around each suffix; (0, 0) where there is none."""
+def group_reach(ahead: list[bytes], behind: list[bytes], length: int = LENGTH, gram: int = GRAM, copies: list[int] | None = None) -> list[tuple[int, int]]:
+    """(bytes behind, bytes ahead) of the repeated text around each suffix; (0, 0) where there is none.
+
+    copies: for how many equal suffixes each one stands."""
     places: dict[tuple[bytes, bytes], list[int]] = {}
     for i, both in enumerate(zip(ahead, behind, strict=True)):
         places.setdefault(both, []).append(i)
@@ -227,7 +229,7 @@ def group_reach(ahead: list[bytes], behind: list[bytes], length: int = LENGTH, g
         reach = [(0, 0)]
     for (a, b), (back, on) in zip(distinct, reach, strict=True):
         own = places[a, b]
-        if len(own) > 1 and len(a) + len(b) >= length:
+        if (len(own) > 1 or copies and max(copies[i] for i in own) > 1) and len(a) + len(b) >= length:
             back, on = len(b), len(a)
         for i in own:
             out[i] = (back, on)
@@ -237,57 +239,73 @@ def group_reach(ahead: list[bytes], behind: list[bytes], length: int = LENGTH, g
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, at, hashes = [], [], []
+            keys, rows, hashes = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a, h = chosen_positions(t.as_py(), length, gram)
                 keys.append(np.full(len(a), k))
-                at.append(a)
+                rows.append(a)
                 hashes.append(h)
             if keys:
+                at, most, least = np.concatenate(rows).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(at)), pa.array(np.concatenate(hashes).view(np.int64))], names=["k", "at", "h"]
+                    [pa.array(np.concatenate(keys)), pa.array(at), pa.array(most.astype(np.int16)), pa.array(least.astype(np.int16)), pa.array(np.concatenate(hashes).view(np.int64))],
+                    names=["k", "at", "most", "least", "h"],
                 )
 
     return run
 
 
-def _contexts(length: int, gram: int):
+def _contexts(length: int, segment: int):
+    """The text around each place that its strings reach, in two parts; places of one text with equal surroundings share
+    a row. segment: 0, or cut the strings' beginnings into
+    segments and name each by the bytes that all its strings hold; strings are equal only if their names are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                own = batch.slice(part, 256)
-                k, h, at, n, ahead, behind = [], [], [], [], [], []
-                for i, text, found in zip(own.column(0).to_pylist(), own.column(1), own.column(2).to_pylist(), strict=True):
+            for part in range(0, batch.num_rows, 128):
+                own = batch.slice(part, 128)
+                places: dict[tuple, list[int]] = {}
+                for k, text, found in zip(own.column(0).to_pylist(), own.column(1), own.column(2).to_pylist(), strict=True):
                     text = text.as_py()
                     for x in found:
-                        p = x["at"]
-                        k.append(i)
-                        h.append(x["h"])
-                        at.append(p)
-                        n.append(x["n"])
-                        ahead.append(text[p : p + length])
-                        behind.append(text[max(0, p - length + gram) : p])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ahead, pa.binary()), pa.array(behind, pa.binary())],
-                    names=["k", "h", "at", "n", "ahead", "behind"],
-                )
+                        p, name = x["at"], x["h"]
+                        if not segment:
+                            places.setdefault((k, name, text[p : p + length - x["least"]], text[p - x["most"] : p]), []).append(p)
+                            continue
+                        for s in range(x["least"] // segment, x["most"] // segment + 1):
+                            least, most = max(x["least"], s * segment), min(x["most"], s * segment + segment - 1)
+                            core = text[max(0, p - s * segment) : p + length - s * segment - segment + 1]
+                            key = hash_bytes(core, (name ^ s) & (2**64 - 1))
+                            places.setdefault((k, key, text[p : p + length - least], text[p - most : p]), []).append(p)
+                rows = [(k, h, at, ahead, behind) for (k, h, ahead, behind), at in places.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], names=["k", "h", "at", "ahead", "behind"])
 
     return run
 
 
+def hash_bytes(data: bytes, seed: int) -> int:
+    """Signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (h >> 63 << 64)
+
+
 def _repeated(length: int, gram: int):
+    """Rows (id, back, on) of the suffixes around which text is repeated; ``id`` columns are what comes before ahead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["h", "cell"], rows=20_000):
-            k, at = t["k"].to_numpy(), t["at"].to_numpy()
             ahead = t["ahead"].to_pylist()
             behind = [x[::-1] for x in t["behind"].to_pylist()]
-            back, on = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=np.int64)
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True):
-                if e - s > 1:
-                    for i, (b, f) in enumerate(group_reach(ahead[s:e], behind[s:e], length, gram), start=s):
+            copies = t["copies"].to_pylist()
+            back, on = np.zeros(len(ahead), dtype=np.int64), np.zeros(len(ahead), dtype=np.int64)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ahead)], strict=True):
+                if e - s > 1 or copies[s] > 1:
+                    for i, (b, f) in enumerate(group_reach(ahead[s:e], behind[s:e], length, gram, copies[s:e]), start=s):
                         back[i], on[i] = b, f
-            hit = on > 0
-            yield pa.RecordBatch.from_arrays([pa.array(k[hit]), pa.array(at[hit] - back[hit]), pa.array(at[hit] + on[hit])], names=["k", "lo", "hi"])
+            hit = pa.array(np.flatnonzero(on))
+            keep = [c for c in t.column_names if c not in ("cell", "ahead", "behind", "copies")]
+            yield pa.RecordBatch.from_arrays([t[c].take(hit).combine_chunks() for c in keep] + [pa.array(back).take(hit), pa.array(on).take(hit)], names=[*keep, "back", "on"])
 
     return run
 
@@ -332,23 +350,43 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     """(k, spans array<struct<lo,hi>>) of the texts (k long, text binary) that hold a repeated string of ``length`` bytes.
 
     The union of a text's spans is every byte covered by such a string that also starts elsewhere in the table, in the
-    same text or another. A window that is frequent in the corpus makes a large group; that is split into cells of
-    bounded size which every two members share.
+    same text or another. A window that occurs more than ``block`` times makes a crowd. Its contexts are divided by most
+    of the bytes that equal strings must share and equal ones are collapsed to one with a count, before any task takes a
+    group; what is still larger than a block is dealt into cells of bounded size which every two members share.
     """
-    anchors = texts.where(F.length("text") >= length).select("k", "text").mapInArrow(_anchors(length, gram), "k long, at long, h long")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    places = anchors.join(repeated, "h").groupBy("k").agg(F.collect_list(F.struct("at", "h", "n")).alias("found"))
+    anchors = texts.where(F.length("text") >= length).select("k", "text").mapInArrow(_anchors(length, gram), "k long, at long, most short, least short, h long")
+    repeated = checkpointed(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    places = anchors.join(repeated, "h").groupBy("k").agg(F.collect_list(F.struct("at", "most", "least", "h", "n")).alias("found"))
     # all columns, as in the join that cuts: Spark then shuffles the texts once for both
     others = [c for c in texts.columns if c not in ("k", "text")]
-    contexts = texts.join(places, "k").select("k", "text", "found", *others).mapInArrow(_contexts(length, gram), "k long, h long, at long, n long, ahead binary, behind binary")
-    cells = in_cells(contexts, "n", "at", block) if block else contexts
+    placed = texts.join(places, "k")
+    fields = "k long, h long, at array<long>, ahead binary, behind binary"
+
+    def contexts(which, segment: int) -> DataFrame:
+        own = placed.select("k", "text", F.filter("found", which).alias("found"), *others).where(F.size("found") > 0)
+        return own.mapInArrow(_contexts(length, segment), fields)
+
+    sorted_by = lambda df: df.repartition("h", "cell").sortWithinPartitions("h", "cell")
     spans = (
-        cells.select("h", "cell", "k", "at", "ahead", "behind")
-        .repartition("h", "cell")
-        .sortWithinPartitions("h", "cell")
-        .mapInArrow(_repeated(length, gram), "k long, lo long, hi long")
+        sorted_by(contexts(lambda x: x["n"] <= block, 0).select("h", F.lit(0).cast("long").alias("cell"), "k", "at", "ahead", "behind", F.size("at").cast("long").alias("copies")))
+        .mapInArrow(_repeated(length, gram), "h long, k long, at array<long>, back long, on long")
+        .select("k", "at", "back", "on")
     )
-    return spans.groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    if not repeated.where(F.col("n") > block).isEmpty():
+        crowd = contexts(lambda x: x["n"] > block, max(1, (length - gram) // 8))
+        named = F.md5(F.concat(F.length("behind").cast("string").cast("binary"), F.lit(b"|"), "behind", "ahead")).alias("name")
+        distinct = crowd.groupBy("h", "ahead", "behind").agg(F.sum(F.size("at").cast("long")).alias("copies"))
+        sizes = distinct.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("all > 1").drop("all")
+        dealt = in_cells(distinct.join(sizes, "h").withColumn("name", named), "n", "name", block)
+        reach = (
+            sorted_by(dealt.select("h", "cell", "name", "ahead", "behind", "copies"))
+            .mapInArrow(_repeated(length, gram), "h long, name string, back long, on long")
+            .groupBy("h", "name")
+            .agg(F.max("back").alias("back"), F.max("on").alias("on"))
+        )
+        spans = spans.unionByName(crowd.select("k", "at", "h", named).join(reach, ["h", "name"]).select("k", "at", "back", "on"))
+    own = F.transform("at", lambda p: F.struct((p - F.col("back")).alias("lo"), (p + F.col("on")).alias("hi")))
+    return spans.groupBy("k").agg(F.flatten(F.collect_list(own)).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
