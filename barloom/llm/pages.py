@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.labelled import least_hashed
+
 #: Pages that the weights are fitted on: those of least hash.
 SAMPLE = 400
 #: Weights never exceed this, in either direction.
@@ -204,8 +206,11 @@ def main_text(html: str | None, weights: Weights) -> str:
 def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. A null page is empty; repeated rows stay; columns beyond page_id, url
     and html are left out. Weights are fitted on at most ``sample`` pages and sent to every task."""
-    picked = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64(F.lit("sample"), "page_id"), F.xxhash64("html")).limit(sample)
-    weights = fit([r.html for r in picked.collect()])
+    ids = pages.where("html is not null and page_id is not null").select("page_id").distinct()
+    # at most ``sample`` rows, so they may be sent to every task
+    picked = F.broadcast(least_hashed(ids, F.xxhash64(F.lit("sample"), "page_id"), sample))
+    rows = pages.select("page_id", "html").join(picked, "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    weights = fit([r.html for r in rows.orderBy("page_id").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
