@@ -38,7 +38,7 @@ EVIDENCE = 3
 #: A text counts as toxic from this score on.
 CUT = 0.3
 #: Scores of equal vectors that a worker remembers.
-REMEMBERED = 50_000
+REMEMBERED = 2_000
 
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
@@ -212,30 +212,39 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", size: i
     return Model(examples, vocabulary, *_frequencies(docs, vocabulary))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of every row (doc_id if not given), score, and evidence: array of (doc_id, cosine, toxic).
-
-    A null text is empty. The model has a bounded number of examples and terms, so it is sent to every task.
-    """
+def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` as c0, c1, ... (names with dots or clashes do no harm), _score and _evidence."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
+    # a text that is kept anyway goes to Python once
+    at = keep.index("text") if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else len(keep)
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*columns, *([F.col("text").cast("string").alias("c_text")] if at == len(keep) else []))
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    kept = rows.columns[: len(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
-            found = [own.score(t.as_py() or b"") for t in b.column(b.num_columns - 1)]
+            found = [own.score((t.as_py() or "").encode()) for t in b.column(at)]
             proof = [[{"doc_id": i, "cosine": s, "toxic": y} for i, s, y in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s for s, _ in found], pa.float64()), pa.array(proof, evidence)], names=[*keep, "_score", "_evidence"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in found], pa.float64()), pa.array(proof, evidence)], names=[*kept, "_score", "_evidence"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(run, f"{fields}_score double, _evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, _score double, _evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, evidence) of every row; evidence is an array of (doc_id, cosine, toxic).
+
+    A null text is empty. The model has a bounded number of examples and terms, so it is sent to every task.
+    """
+    return _scored(docs, model, ["doc_id"]).toDF("doc_id", "score", "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, learn, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score is under the cut, with all their columns."""
-    return scored(docs, fit(docs, labels, learn), docs.columns).where(F.col("_score") < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _scored(docs, fit(docs, labels, learn), docs.columns).where(F.col("_score") < cut)
+    return rows.drop("_score", "_evidence").toDF(*docs.columns)
 
 
 def held_out(doc_id):
@@ -248,7 +257,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(rows, fit(docs, labels, lambda d: ~held_out(d))).select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= CUT).cast("int").alias("predicted"),
-        F.col("_evidence").alias("evidence"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
+        "evidence",
     )
