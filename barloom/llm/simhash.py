@@ -21,42 +21,49 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import WORD, checkpointed, forest, in_cells, pairs_in_groups, whole_groups
 from barloom.llm.components import connected_components
+from barloom.llm.labelled import least_hashed
 
 SHINGLE = 4
 SEED = 42
 TAU = 4
+#: What a stage that drops near copies takes: wider shingles, a wider search, and exact similarity.
+STAGE_SHINGLE, STAGE_TAU, STAGE_SIMILARITY = 5, 12, 0.8
 #: Fingerprints that the partitions and thresholds are fitted on.
 SAMPLE = 2048
 #: Rows of a bucket that one task takes whole; larger buckets go to cells.
 BLOCK = 8192
 #: Costs of a probe that is shuffled and of a pair that is verified.
-PROBE_COST, PAIR_COST = 1.0, 0.03
+PROBE_COST, PAIR_COST = 1.0, 0.005
 
 
-def fingerprint(text: bytes) -> int:
-    """64 majority bits over the hashes of the word shingles, repeats included; 0 without words."""
-    words = WORD.findall(text.lower())
-    if not words:
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
+    """Hashes of the word shingles, repeats included; fewer words than the width make one, none make none."""
+    words, hash_ = WORD.findall(text.lower()), xxhash.xxh64_intdigest
+    if len(words) < width:
+        return [hash_(b" ".join(words), SEED)] if words else []
+    return [hash_(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(width)), strict=False)]
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """64 majority bits over the shingles' hashes; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
         return 0
-    hash_ = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        hashes = [hash_(b" ".join(words), SEED)]
-    else:
-        hashes = [hash_(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)]
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, fp long) of every row; a null text has no words."""
+def with_fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(id, fp long, same string) of every row: its doc_id, fingerprint and a hash of the text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.fromiter((fingerprint(t.as_py() or b"") for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py() or b"", width) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(1)], names=["id", "fp", "same"])
 
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(text, F.lit(b""))).alias("same"), text.alias("t")).mapInArrow(run, "id long, fp long, same string")
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[int]:
@@ -78,14 +85,15 @@ def group_bits(sample: np.ndarray, m: int) -> list[int]:
 def allocate(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[int, int]]:
     """(mask, threshold) of each partition that is probed, at the least estimated cost for n fingerprints."""
     best: tuple[float, list[tuple[int, int]]] | None = None
-    other = np.triu_indices(len(sample), 1)
+    i, j = np.triu_indices(len(sample), 1)
+    differ = sample[i] ^ sample[j]
     for m in range(2, tau + 2):
         masks = group_bits(sample, m) if len(sample) > 1 else group_bits(np.arange(2, dtype=np.uint64), m)
         costs = []
         for mask in masks:
             width = mask.bit_count()
             if len(sample) > 1:
-                apart = np.bitwise_count((sample[other[0]] ^ sample[other[1]]) & np.uint64(mask))
+                apart = np.bitwise_count(differ & np.uint64(mask))
                 seen = np.cumsum(np.bincount(apart, minlength=width + 1)) / len(apart)
             else:
                 seen = np.zeros(width + 1)
@@ -124,6 +132,24 @@ def _near_in_group(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
+#: Pairs of a bucket that are compared at once, and links of one portion above which it is searched breadth first.
+PORTION, MANY = 4_000_000, 200_000
+
+
+def _links_in_group(fp: np.ndarray, stored: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the stored fingerprints of a bucket, which come first, and all of it."""
+    left, right = [], []
+    step = max(1, PORTION // stored)
+    for lo in range(0, len(fp), step):
+        i, j = np.nonzero(np.bitwise_count(fp[lo : lo + step, None] ^ fp[None, :stored]) <= tau)
+        if len(i) > MANY:
+            return _near_in_group(fp, tau)
+        new = i + lo > j
+        left.append(i[new] + lo)
+        right.append(j[new])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _verify(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["part", "value", "cell"]):
@@ -131,26 +157,29 @@ def _verify(tau: int):
             n = len(fp)
             sizes = np.diff(np.append(starts, n))
             stored = np.add.reduceat((~probe).astype(np.int64), starts)
-            large = stored * sizes > 1_000_000
+            large = stored * sizes > 10_000
             a, b = [], []
-            for s, size in zip(starts[large], sizes[large], strict=True):
-                i, j = _near_in_group(fp[s : s + size], tau)
-                a.append(rep[s + i])
-                b.append(rep[s + j])
+            for s, size, own in zip(starts[large].tolist(), sizes[large].tolist(), stored[large].tolist(), strict=True):
+                i, j = _links_in_group(fp[s : s + size], own, tau)
+                a.append(s + i)
+                b.append(s + j)
             for i, j in pairs_in_groups(starts, n, np.where(large, 0, stored)):
                 close = np.bitwise_count(fp[i] ^ fp[j]) <= tau
-                a.append(rep[i[close]])
-                b.append(rep[j[close]])
-            x, y = forest(np.concatenate(a), np.concatenate(b)) if a else ([], [])
+                a.append(i[close])
+                b.append(j[close])
+            i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+            # the closest first, so that the forest keeps them
+            nearest = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+            x, y = forest(rep[i[nearest]], rep[j[nearest]])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def fingerprint_links(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): links that join the same ``rep`` as all pairs of distinct ``fp`` within tau bits do."""
+    """(a, b): links that join the same ``rep`` as all pairs of fps (fp, rep) within tau bits do."""
     n = fps.count()
-    picked = fps.select("fp").orderBy(F.xxhash64(F.lit("fit"), "fp"), "fp").limit(SAMPLE)
+    picked = least_hashed(fps.select("fp"), F.xxhash64(F.lit("fit"), "fp"), SAMPLE)
     sample = np.array([r.fp for r in picked.collect()], dtype=np.int64).view(np.uint64)
     probes = []
     for part, (mask, most) in enumerate(allocate(sample, n, tau)):
@@ -189,12 +218,44 @@ def simhash_groups(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return marked.join(named, "fp", "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """The rows of docs whose doc_id names their group, and those without doc_id; repeated rows of one doc_id stay one."""
-    groups = simhash_groups(docs, tau)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs.doc_id == kept._kept, "left_semi")
-    first = found.dropDuplicates(["doc_id"])
+def jaccard_links(links: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links (a, b) of doc_ids whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                own = b.slice(lo, 512)
+                sets = [np.unique(np.array(shingle_hashes((t.as_py() or b""), width), dtype=np.uint64)).view(np.int64) for t in own.column(1)]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).join(ids, "id").groupBy("id").agg(F.min("t").alias("t"))
+    sets = checkpointed(texts.mapInArrow(run, "id long, s array<long>"))
+    both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """The rows of docs that stay when of each group of near copies only the smallest doc_id does.
+
+    Texts are linked if their fingerprints are within tau bits and their sets of shingles have at least this Jaccard
+    similarity; equal texts always are, and so are texts without words. Rows without doc_id stay; rows that repeat a doc_id stay one, that of the
+    smallest text. The distance is checked for all pairs, the similarity for links that join them, closest first.
+    """
+    marked = checkpointed(with_fingerprint(docs, width).where("id is not null"))
+    nodes = checkpointed(marked.groupBy("fp", "same").agg(F.min("id").alias("rep")))
+    links = checkpointed(fingerprint_links(nodes.select("fp", "rep"), tau).distinct())
+    classes = connected_components(jaccard_links(links, docs, similarity, width))
+    gone = classes.where("node <> component").select(F.col("node").alias("rep"))
+    kept = checkpointed(nodes.join(gone, "rep", "left_anti").select(F.col("rep").alias("_kept")).distinct())
+    found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    others = [c for c in docs.columns if c != "doc_id"]
+    least = F.min(F.struct(F.col("text").alias("_t"), *[F.col(f"`{c}`") for c in others])).alias("_row")
+    if marked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        first = found
+    else:
+        first = found.groupBy("doc_id").agg(least).select("doc_id", *[F.col(f"_row.`{c}`") for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return first.unionByName(docs.where("doc_id is null"))
 
 

@@ -77,9 +77,23 @@ def test_simhash_groups(spark, near_texts):
     # label holds some member of each group, the name its smallest doc_id
     want = sorted((str(i), str(name.get(fp[t]))) for i, t in near_texts)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
+
+
+def test_near_copies_go_and_others_stay(spark, near_texts):
+    df = spark.createDataFrame([(*r, "x", 1) for r in near_texts], TEXTS + ", fp string, `a.b` int").repartition(3)
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({*map(str, name.values()), "None"})
+    got = [r.doc_id for r in kept.collect()]
+    sets = {}
+    for i, t in near_texts:
+        if i is not None and (i not in sets or (t or "") < sets[i][0]):
+            sets[i] = (t or "", set(simhash.shingle_hashes((t or "").encode(), 5)))
+    share = lambda a, b: sets[a][0] == sets[b][0] or len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])
+    want = set(least_reachable(sorted(sets), share).values())
+    assert got.count(None) == 1 and len(got) == len(set(got))
+    # none goes that should stay; fingerprints further apart than the search reaches may stay
+    assert want <= set(got) and len(set(got) - want) <= 0.05 * len(sets)
+    assert simhash.keep_first(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("block", [8, 8192])
