@@ -84,6 +84,7 @@ def group_bits(sample: np.ndarray, m: int) -> list[int]:
 
 def allocate(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[int, int]]:
     """(mask, threshold) of each partition that is probed, at the least estimated cost for n fingerprints."""
+    n = max(n, 1)  # without rows every choice would cost the same
     best: tuple[float, list[tuple[int, int]]] | None = None
     i, j = np.triu_indices(len(sample), 1)
     differ = sample[i] ^ sample[j]
