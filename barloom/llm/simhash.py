@@ -151,7 +151,23 @@ def _links_in_group(fp: np.ndarray, stored: int, tau: int) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _verify(tau: int):
+#: A bucket with more links than this for each linked row is dense: its links are thinned, and its groups searched anew.
+DENSE = 4
+#: Shingles (and a few for each text) of a dense group that one task takes whole; larger groups go to cells.
+SETS, SETS_ROW = 1 << 18, 32
+
+
+def _dense(i: np.ndarray, j: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which links (i, j) lie in a dense group of rows."""
+    groups = int(group[-1]) + 1
+    links = np.bincount(group[i], minlength=groups)
+    members = np.bincount(group[np.unique(np.concatenate((i, j)))], minlength=groups)
+    return (links > DENSE * members)[group[i]]
+
+
+def _verify(tau: int, whole: bool):
+    """Links of each bucket: a forest of all; or, if whole, all links of sparse buckets and a forest of the dense ones'."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["part", "value", "cell"]):
             fp, rep, probe = t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), t["probe"].to_numpy()
@@ -169,16 +185,20 @@ def _verify(tau: int):
                 a.append(i[close])
                 b.append(j[close])
             i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-            # the closest first, so that the forest keeps them
-            nearest = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
-            x, y = forest(rep[i[nearest]], rep[j[nearest]])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            thin = _dense(i, j, np.repeat(np.arange(len(starts)), sizes)) if whole else np.ones(len(i), dtype=bool)
+            x, y = forest(rep[i[thin]], rep[j[thin]])
+            a, b = (np.concatenate((np.array(u, dtype=np.int64), rep[v[~thin]])) for u, v in ((x, i), (y, j)))
+            dense = np.arange(len(a)) < len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense)], names=["a", "b", "dense"])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): links that join the same ``rep`` as all pairs of fps (fp, rep) within tau bits do."""
+def fingerprint_links(fps: DataFrame, tau: int = TAU, whole: bool = False) -> DataFrame:
+    """(a, b, dense): links that join the same ``rep`` as all pairs of fps (fp, rep) within tau bits do.
+
+    If whole, each such pair is a link itself, or both are joined by links that are marked dense.
+    """
     n = fps.count()
     picked = least_hashed(fps.select("fp"), F.xxhash64(F.lit("fit"), "fp"), SAMPLE)
     sample = np.array([r.fp for r in picked.collect()], dtype=np.int64).view(np.uint64)
@@ -201,7 +221,7 @@ def fingerprint_links(fps: DataFrame, tau: int = TAU) -> DataFrame:
         dealt.select("part", "value", "cell", "probe", "fp", "rep")
         .repartition("part", "value", "cell")
         .sortWithinPartitions("part", "value", "cell", "probe", "fp")
-        .mapInArrow(_verify(tau), "a long, b long")
+        .mapInArrow(_verify(tau, whole), "a long, b long, dense boolean")
     )
 
 
@@ -219,8 +239,8 @@ def simhash_groups(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return marked.join(named, "fp", "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def jaccard_links(links: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Links (a, b) of doc_ids whose sets of shingles have at least this Jaccard similarity."""
+def shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, s array<long>): the distinct shingles, in order, of each of ids (id); of the smallest text if it has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,25 +249,82 @@ def jaccard_links(links: DataFrame, docs: DataFrame, similarity: float, width: i
                 sets = [np.unique(np.array(shingle_hashes((t.as_py() or b""), width), dtype=np.uint64)).view(np.int64) for t in own.column(1)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).join(ids, "id").groupBy("id").agg(F.min("t").alias("t"))
-    sets = checkpointed(texts.mapInArrow(run, "id long, s array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).join(ids.distinct(), "id").groupBy("id").agg(F.min("t").alias("t"))
+    return texts.mapInArrow(run, "id long, s array<long>")
+
+
+def jaccard_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) whose sets of shingles have at least this Jaccard similarity."""
     both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _similar_in_group(at: np.ndarray, items: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join the sets as all pairs of at least this similarity do, found breadth first.
+
+    Set i has the items from at[i] to at[i + 1], numbers from 0. Only sets not yet reached are compared.
+    """
+    sizes = np.diff(at)
+    held = np.zeros(int(items.max(initial=-1)) + 1, dtype=bool)
+    left, right = [], []
+    rest, front = np.arange(len(sizes)), []
+    while len(rest):
+        if not front:
+            front, rest = [int(rest[0])], rest[1:]
+        x = front.pop()
+        near = np.flatnonzero(np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x]))
+        own = rest[near]
+        n = sizes[own]
+        ends = np.cumsum(n)
+        held[items[at[x] : at[x + 1]]] = True
+        seen = held[items[np.arange(n.sum()) + np.repeat(at[own] - (ends - n), n)]]
+        held[items[at[x] : at[x + 1]]] = False
+        total = np.concatenate(([0], np.cumsum(seen)))
+        shared = total[ends] - total[ends - n]
+        hit = shared >= similarity * (sizes[x] + n - shared)
+        left += [x] * int(hit.sum())
+        right += own[hit].tolist()
+        front += own[hit].tolist()
+        rest = np.delete(rest, near[hit])
+    return left, right
+
+
+def jaccard_groups(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the members of each group (node, component) as all its pairs of this similarity do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, ["component", "cell"], 4096):
+            ids, s = t["id"].to_numpy(), t["s"].combine_chunks()
+            s = s.chunk(0) if isinstance(s, pa.ChunkedArray) else s
+            at, items = s.offsets.to_numpy().astype(np.int64), s.values.to_numpy()
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                own = np.unique(items[at[lo] : at[hi]], return_inverse=True)[1]
+                x, y = _similar_in_group(at[lo : hi + 1] - at[lo], own, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][np.array(v, dtype=np.int64)], pa.int64()) for v in (x, y)], names=["a", "b"])
+
+    members = groups.select(F.col("node").alias("id"), "component").join(sets, "id")
+    total = members.groupBy("component").agg(F.sum(F.size("s") + SETS_ROW).alias("n")).where(F.col("n") > SETS)
+    dealt = in_cells(members.join(checkpointed(total), "component", "left").na.fill(1, ["n"]), "n", "id", SETS)
+    rows = dealt.select("component", "cell", "id", "s").repartition("component", "cell").sortWithinPartitions("component", "cell")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs that stay when of each group of near copies only the smallest doc_id does.
 
     Texts are linked if their fingerprints are within tau bits and their sets of shingles have at least this Jaccard
     similarity; equal texts always are, and so are texts without words. Rows without doc_id stay; rows that repeat a doc_id stay one, that of the
-    smallest text. The distance is checked for all pairs, the similarity for links that join them, closest first.
+    smallest text. Distance and similarity are checked for all pairs; where many fingerprints are within tau bits of one
+    another, the similarity of all pairs of the group that they form, whatever their distance.
     """
     marked = checkpointed(with_fingerprint(docs, width).where("id is not null"))
     nodes = checkpointed(marked.groupBy("fp", "same").agg(F.min("id").alias("rep")))
-    links = checkpointed(fingerprint_links(nodes.select("fp", "rep"), tau).distinct())
-    classes = connected_components(jaccard_links(links, docs, similarity, width))
+    links = checkpointed(fingerprint_links(nodes.select("fp", "rep"), tau, whole=True).distinct())
+    sets = checkpointed(shingle_sets(links.select(F.explode(F.array("a", "b")).alias("id")), docs, width))
+    sparse = jaccard_links(links.where("not dense"), sets, similarity)
+    dense = jaccard_groups(connected_components(links.where("dense")), sets, similarity)
+    classes = connected_components(sparse.unionByName(dense))
     gone = classes.where("node <> component").select(F.col("node").alias("rep"))
     kept = checkpointed(nodes.join(gone, "rep", "left_anti").select(F.col("rep").alias("_kept")).distinct())
     found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")

@@ -96,6 +96,56 @@ def test_near_copies_go_and_others_stay(spark, near_texts):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def copies_of_one(n, seed=8):
+    """A text of 300 words and n copies with five changed words each: alike to the text, less so to each other."""
+    rng = random.Random(seed)
+    base = [words(rng, 1) + str(i) for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 6), 5):
+            own[at] = f"changed{i}x{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def by_all_pairs(rows):
+    """The smallest ids of the groups that all pairs with a Jaccard similarity of 0.8 make."""
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    label = {}
+    for i in sorted(sets):
+        if i not in label:
+            front = [i]
+            while front:
+                x = front.pop()
+                label[x] = i
+                front += [y for y in sets if y not in label and y not in front and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    return set(label.values())
+
+
+@pytest.mark.parametrize("n", [8, 50, 1000])
+def test_copies_that_are_alike_to_the_original_only_go(spark, n):
+    rows = [(n - i, t) for i, t in copies_of_one(n)]  # the original last
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, TEXTS).repartition(3)).collect()}
+    assert len(by_all_pairs(rows)) == 1
+    # fingerprints further from the original's than the search reaches may stay
+    assert 0 in got and len(got) <= 1 + 0.05 * n
+
+
+def test_dense_groups_in_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [np.arange(100 * g, 100 * g + 60) for g in range(5)]
+    sets = [np.unique(np.where(rng.random(60) < 0.1, rng.integers(0, 10**6, 60), base[i % 5])) for i in range(120)] + [np.zeros(0, dtype=np.int64)] * 3
+    groups = spark.createDataFrame([(i, i % 2) for i in range(len(sets))], "node long, component long")
+    table = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "id long, s array<long>")
+    alike = lambda a, b: a % 2 == b % 2 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    want = least_reachable(range(len(sets)), alike)
+    for size in (600, 1 << 18):
+        monkeypatch.setattr(simhash, "SETS", size)
+        got = {r.node: r.component for r in components.connected_components(simhash.jaccard_groups(groups, table, 0.8)).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+
+
 @pytest.mark.parametrize("block", [8, 8192])
 def test_links_join_all_pairs_within_reach(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
