@@ -137,18 +137,18 @@ def _near_in_group(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
 PORTION, MANY = 4_000_000, 200_000
 
 
-def _links_in_group(fp: np.ndarray, stored: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the stored fingerprints of a bucket, which come first, and all of it."""
+def _links_in_group(fp: np.ndarray, stored: int, tau: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Links between the stored fingerprints of a bucket, which come first, and all of it; whether they only join it."""
     left, right = [], []
     step = max(1, PORTION // stored)
     for lo in range(0, len(fp), step):
         i, j = np.nonzero(np.bitwise_count(fp[lo : lo + step, None] ^ fp[None, :stored]) <= tau)
         if len(i) > MANY:
-            return _near_in_group(fp, tau)
+            return *_near_in_group(fp, tau), True
         new = i + lo > j
         left.append(i[new] + lo)
         right.append(j[new])
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), False
 
 
 #: A bucket with more links than this for each linked row is dense: its links are thinned, and its groups searched anew.
@@ -175,9 +175,10 @@ def _verify(tau: int, whole: bool):
             sizes = np.diff(np.append(starts, n))
             stored = np.add.reduceat((~probe).astype(np.int64), starts)
             large = stored * sizes > 10_000
-            a, b = [], []
+            a, b, joined = [], [], []
             for s, size, own in zip(starts[large].tolist(), sizes[large].tolist(), stored[large].tolist(), strict=True):
-                i, j = _links_in_group(fp[s : s + size], own, tau)
+                i, j, many = _links_in_group(fp[s : s + size], own, tau)
+                joined.append(np.full(len(i), many))
                 a.append(s + i)
                 b.append(s + j)
             for i, j in pairs_in_groups(starts, n, np.where(large, 0, stored)):
@@ -185,11 +186,16 @@ def _verify(tau: int, whole: bool):
                 a.append(i[close])
                 b.append(j[close])
             i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-            thin = _dense(i, j, np.repeat(np.arange(len(starts)), sizes)) if whole else np.ones(len(i), dtype=bool)
+            thin = np.ones(len(i), dtype=bool)
+            if whole:
+                thin = _dense(i, j, np.repeat(np.arange(len(starts)), sizes))
+                # what was found breadth first says nothing of the other pairs
+                searched = np.concatenate([*joined, np.zeros(0, dtype=bool)])
+                thin[: len(searched)] |= searched
             x, y = forest(rep[i[thin]], rep[j[thin]])
             a, b = (np.concatenate((np.array(u, dtype=np.int64), rep[v[~thin]])) for u, v in ((x, i), (y, j)))
             dense = np.arange(len(a)) < len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense)], names=["a", "b", "dense"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(dense)], names=["a", "b", "dense"])
 
     return run
 

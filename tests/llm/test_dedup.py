@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -132,6 +133,29 @@ def test_copies_that_are_alike_to_the_original_only_go(spark, n):
     assert 0 in got and len(got) <= 1 + 0.05 * n
 
 
+def whole_links(fps, tau):
+    """What the verification of one bucket gives: all stored, none probing."""
+    n = len(fps)
+    columns = {"part": [0] * n, "value": [0] * n, "cell": [0] * n, "probe": [False] * n, "fp": np.array(fps, dtype=np.uint64).view(np.int64), "rep": range(n)}
+    (batch,) = pa.table({k: pa.array(v) for k, v in columns.items()}).to_batches()
+    found = pa.Table.from_batches(simhash._verify(tau, True)([batch])).to_pylist()
+    return {(r["a"], r["b"]) for r in found if not r["dense"]}, [(r["a"], r["b"]) for r in found if r["dense"]]
+
+
+@pytest.mark.parametrize("many", [50, 200_000])
+def test_no_pair_is_lost_however_many_links_a_bucket_has(monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
+    rng = random.Random(9)
+    centers = [rng.getrandbits(64) for _ in range(100)]
+    fps = sorted({c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for c in centers for _ in range(2)} | {centers[0] ^ 1 << b for b in range(5)})
+    links, dense = whole_links(fps, 4)
+    label = least_reachable(range(len(fps)), lambda a, b: (a, b) in dense or (b, a) in dense)
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 4:
+                assert (a, b) in links or (b, a) in links or label[a] == label[b]
+
+
 def test_dense_groups_in_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [np.arange(100 * g, 100 * g + 60) for g in range(5)]
