@@ -200,6 +200,14 @@ def _verify(tau: int, whole: bool):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (part, value, rep, ...) with ``cell``: crowded buckets are dealt by rep, as texts may share a fingerprint."""
+    crowded = checkpointed(rows.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    if crowded.isEmpty():
+        return rows.withColumn("cell", F.lit(0).cast("long"))
+    return in_cells(rows.join(crowded, ["part", "value"], "left").na.fill(1, ["n"]), "n", "rep", BLOCK)
+
+
 def fingerprint_links(fps: DataFrame, tau: int = TAU, whole: bool = False) -> DataFrame:
     """(a, b, dense): links that join the same ``rep`` as all pairs of fps (fp, rep) within tau bits do.
 
@@ -218,13 +226,8 @@ def fingerprint_links(fps: DataFrame, tau: int = TAU, whole: bool = False) -> Da
     rows = fps.select("fp", "rep", F.explode(F.array(*probes)).alias("p")).select(
         "fp", "rep", "p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("value"), "p.probe"
     )
-    crowded = checkpointed(rows.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
-    if crowded.isEmpty():
-        dealt = rows.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        dealt = in_cells(rows.join(crowded, ["part", "value"], "left").na.fill(1, ["n"]), "n", "fp", BLOCK)
     return (
-        dealt.select("part", "value", "cell", "probe", "fp", "rep")
+        _dealt(rows).select("part", "value", "cell", "probe", "fp", "rep")
         .repartition("part", "value", "cell")
         .sortWithinPartitions("part", "value", "cell", "probe", "fp")
         .mapInArrow(_verify(tau, whole), "a long, b long, dense boolean")

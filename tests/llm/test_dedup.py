@@ -156,6 +156,19 @@ def test_no_pair_is_lost_however_many_links_a_bucket_has(monkeypatch, many):
                 assert (a, b) in links or (b, a) in links or label[a] == label[b]
 
 
+def test_cells_of_texts_with_one_fingerprint_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    rows = spark.createDataFrame([(7, i) for i in range(1000)], "fp long, rep long").selectExpr("fp", "rep", "0 part", "fp value", "false probe")
+    cells = {}
+    for r in simhash._dealt(rows).collect():
+        cells.setdefault(r.cell, set()).add(r.rep)
+    assert max(map(len, cells.values())) <= 300
+    met = np.zeros((1000, 1000), dtype=bool)
+    for own in cells.values():
+        met[np.ix_(sorted(own), sorted(own))] = True
+    assert met.all()
+
+
 def test_dense_groups_in_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [np.arange(100 * g, 100 * g + 60) for g in range(5)]
