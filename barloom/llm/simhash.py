@@ -28,6 +28,10 @@ SEED = 42
 TAU = 4
 #: What a stage that drops near copies takes: wider shingles, a wider search, and exact similarity.
 STAGE_SHINGLE, STAGE_TAU, STAGE_SIMILARITY = 5, 12, 0.8
+#: Its second source of candidates: texts that share a band, the least of the shingles under each of a few permutations.
+BANDS, BAND = 12, 4
+#: The first part of the buckets of bands, after those of the fingerprint's partitions.
+BAND_PART = 64
 #: Fingerprints that the partitions and thresholds are fitted on.
 SAMPLE = 2048
 #: Rows of a bucket that one task takes whole; larger buckets go to cells.
@@ -54,16 +58,34 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(id, fp long, same string) of every row: its doc_id, fingerprint and a hash of the text; a null text has no words."""
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def min_hash_bands(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """A hash of each band; none without words. Sets of similarity s share one with probability 1 - (1 - s**BAND)**BANDS."""
+    hashes = np.array(shingle_hashes(text, width), dtype=np.uint64)
+    if not len(hashes):
+        return hashes.view(np.int64)
+    least = np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
+    for lo in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[lo : lo + 1024, None] * _ODD[0]).min(axis=0))
+    return (least * _ODD[1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def with_fingerprint(docs: DataFrame, width: int = SHINGLE, bands: bool = False) -> DataFrame:
+    """(id, fp long, same string) of every row: its doc_id, fingerprint and a hash of the text; a null text has no words.
+
+    If asked for, ``bands`` (array of longs) too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.fromiter((fingerprint(t.as_py() or b"", width) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(1)], names=["id", "fp", "same"])
+            more = {"bands": pa.array([min_hash_bands(t.as_py() or b"", width) for t in b.column(2)], pa.list_(pa.int64()))} if bands else {}
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(1), *more.values()], names=["id", "fp", "same", *more])
 
     text = F.col("text").cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(text, F.lit(b""))).alias("same"), text.alias("t")).mapInArrow(run, "id long, fp long, same string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(text, F.lit(b""))).alias("same"), text.alias("t")).mapInArrow(run, "id long, fp long, same string" + ", bands array<long>" * bands)
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[int]:
@@ -176,13 +198,14 @@ def _verify(tau: int, whole: bool):
             stored = np.add.reduceat((~probe).astype(np.int64), starts)
             large = stored * sizes > 10_000
             a, b, joined = [], [], []
+            reach = np.where(t["part"].to_numpy() < BAND_PART, tau, 64)  # who shares a band is near at any distance
             for s, size, own in zip(starts[large].tolist(), sizes[large].tolist(), stored[large].tolist(), strict=True):
-                i, j, many = _links_in_group(fp[s : s + size], own, tau)
+                i, j, many = _links_in_group(fp[s : s + size], own, int(reach[s]))
                 joined.append(np.full(len(i), many))
                 a.append(s + i)
                 b.append(s + j)
             for i, j in pairs_in_groups(starts, n, np.where(large, 0, stored)):
-                close = np.bitwise_count(fp[i] ^ fp[j]) <= tau
+                close = np.bitwise_count(fp[i] ^ fp[j]) <= reach[i]
                 a.append(i[close])
                 b.append(j[close])
             i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
@@ -211,7 +234,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def fingerprint_links(fps: DataFrame, tau: int = TAU, whole: bool = False) -> DataFrame:
     """(a, b, dense): links that join the same ``rep`` as all pairs of fps (fp, rep) within tau bits do.
 
-    If whole, each such pair is a link itself, or both are joined by links that are marked dense.
+    If fps has ``bands``, so do all pairs that share one. If whole, each such pair is a link itself, or both are joined by links that are marked dense.
     """
     n = fps.count()
     picked = least_hashed(fps.select("fp"), F.xxhash64(F.lit("fit"), "fp"), SAMPLE)
@@ -226,6 +249,9 @@ def fingerprint_links(fps: DataFrame, tau: int = TAU, whole: bool = False) -> Da
     rows = fps.select("fp", "rep", F.explode(F.array(*probes)).alias("p")).select(
         "fp", "rep", "p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("value"), "p.probe"
     )
+    if "bands" in fps.columns:
+        shared = fps.select("fp", "rep", F.posexplode("bands").alias("part", "value"))
+        rows = rows.unionByName(shared.select("fp", "rep", (F.col("part") + BAND_PART).alias("part"), "value", F.lit(False).alias("probe")))
     return (
         _dealt(rows).select("part", "value", "cell", "probe", "fp", "rep")
         .repartition("part", "value", "cell")
@@ -322,14 +348,14 @@ def jaccard_groups(groups: DataFrame, sets: DataFrame, similarity: float) -> Dat
 def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs that stay when of each group of near copies only the smallest doc_id does.
 
-    Texts are linked if their fingerprints are within tau bits and their sets of shingles have at least this Jaccard
-    similarity; equal texts always are, and so are texts without words. Rows without doc_id stay; rows that repeat a doc_id stay one, that of the
-    smallest text. Distance and similarity are checked for all pairs; where many fingerprints are within tau bits of one
-    another, the similarity of all pairs of the group that they form, whatever their distance.
+    Texts are linked if their fingerprints are within tau bits or they share a band of least shingles, and their sets of
+    shingles have at least this Jaccard similarity; equal texts always are, and so are texts without words. Rows without
+    doc_id stay; rows that repeat a doc_id stay one, that of the smallest text. Similarity is checked for all such pairs;
+    where many texts are candidates of one another, for all pairs of the group that they form.
     """
-    marked = checkpointed(with_fingerprint(docs, width).where("id is not null"))
-    nodes = checkpointed(marked.groupBy("fp", "same").agg(F.min("id").alias("rep")))
-    links = checkpointed(fingerprint_links(nodes.select("fp", "rep"), tau, whole=True).distinct())
+    marked = checkpointed(with_fingerprint(docs, width, bands=True).where("id is not null"))
+    nodes = checkpointed(marked.groupBy("fp", "same", "bands").agg(F.min("id").alias("rep")))
+    links = checkpointed(fingerprint_links(nodes.select("fp", "rep", "bands"), tau, whole=True).distinct())
     sets = checkpointed(shingle_sets(links.select(F.explode(F.array("a", "b")).alias("id")), docs, width))
     sparse = jaccard_links(links.where("not dense"), sets, similarity)
     dense = jaccard_groups(connected_components(links.where("dense")), sets, similarity)

@@ -169,6 +169,18 @@ def test_cells_of_texts_with_one_fingerprint_are_bounded(spark, monkeypatch):
     assert met.all()
 
 
+def test_pairs_just_above_the_similarity_are_found(spark):
+    rng, rows = random.Random(10), []
+    for g in range(400):
+        own = [words(rng, 1) + f"{g}w{i}" for i in range(100)]
+        rows.append((2 * g, " ".join(own)))
+        own[20], own[70] = "changed", "altered"  # 86 of 106 shingles: 0.81
+        rows.append((2 * g + 1, " ".join(own)))
+    assert len(by_all_pairs(rows)) == 400
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert {2 * g for g in range(400)} <= got and len(got) <= 402
+
+
 def test_dense_groups_in_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [np.arange(100 * g, 100 * g + 60) for g in range(5)]
