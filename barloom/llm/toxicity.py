@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled rows gives the examples. Terms are words, and the first bytes of longer words; those that
-mark toxic examples (by a likelihood ratio that grows with the number of terms tried) make up the vocabulary, and their
-document frequencies are counted over all documents. Examples and texts are TF-IDF vectors over it. A text's nearest
-examples by cosine are found exactly in an inverted index whose postings lie in blocks of examples: the blocks' greatest
-weights bound what a block can reach, and blocks are visited from the highest bound down until none can reach the
-nearest examples found so far. Votes of the nearest, weighted by distance, are calibrated by isotonic regression on the
-examples' own leave-one-out votes. A text without any term of the vocabulary gets the share of toxic examples among
-those without one.
+A bounded sample of labelled rows gives the examples. Their terms, all words that any of them holds, are the space of
+the vectors: examples and texts are TF-IDF vectors over it, with document frequencies counted over all documents. Since
+most words of a text say nothing about toxicity, a term's inverse document frequency is scaled by a relevance learned
+from the labels (by a likelihood ratio); no term's relevance is zero. A text's nearest examples by cosine are found
+exactly in an inverted index whose postings lie in blocks of examples: the blocks' greatest weights bound what a block
+can reach, and only blocks that can still hold one of the nearest examples are looked into. Votes of the nearest,
+weighted by distance, are calibrated by isotonic regression on votes that the examples get from a model of the other
+folds. A text without any word of the examples gets the share of toxic examples.
 """
 
 from __future__ import annotations
@@ -15,113 +15,126 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.labelled import sample_of
 
 #: Labelled rows that serve as examples: those of least hash.
-SAMPLE = 6000
-#: Terms kept at most, by likelihood ratio.
-TERMS = 4096
+SAMPLE = 3000
 NEIGHBOURS = 15
 #: Examples of a block.
 BLOCK = 64
-#: Length in bytes of the beginnings of words that are terms too.
-STEM = 5
+#: Relevance of a term that the labels say nothing about; terms that mark toxic examples surely have 0.5 and more.
+FLOOR = 0.01
+#: Parts of the examples that are scored by the others for the calibration.
+FOLDS = 4
 #: Nearest examples that are returned as evidence.
 EVIDENCE = 3
 #: A text counts as toxic from this score on.
 CUT = 0.3
-#: Scores of equal vectors that a worker remembers.
-REMEMBERED = 2_000
+#: Scores of equal texts that a worker remembers.
+REMEMBERED = 20_000
 
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    """Words, ASCII letters in lower case, and as terms of their own the stems of words that are longer."""
-    words = _WORD.findall(text.lower())
-    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+    """Words, ASCII letters in lower case."""
+    return _WORD.findall(text.lower())
 
 
-def _ratio(a: int, n: int, b: int, m: int) -> float:
-    """G-test of a of n against b of m."""
-    p = (a + b) / (n + m)
-    g = 0.0
-    for k, size in ((a, n), (b, m)):
-        for seen, expected in ((k, size * p), (size - k, size * (1 - p))):
-            if seen:
-                g += 2 * seen * log(seen / expected)
-    return g
+def _g(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+    """A share's part of the G statistic: k of n seen where p is expected."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(k > 0, k * np.log(k / (n * p)), 0.0)
+        miss = np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - p))), 0.0)
+    return 2 * (hit + miss)
 
 
-def marking_terms(texts: list[bytes], labels: list[int], most: int = TERMS) -> list[bytes]:
-    """Terms that toxic examples hold more often than others, beyond what chance gives over so many terms.
+def relevance(counts: list[np.ndarray], labels: np.ndarray, size: int, floor: float = FLOOR) -> np.ndarray:
+    """Of each of ``size`` terms: floor, and more for those that toxic examples hold more often than others.
 
-    Copies and near copies count once: examples that share their three longest words are taken for such.
+    counts: the distinct term numbers of each example. Copies and near copies count once: examples of one label that
+    share their three rarest terms are taken for such.
     """
+    often = np.bincount(np.concatenate([*counts, np.zeros(0, dtype=np.int64)]), minlength=size)
     seen: set[tuple] = set()
-    counts, sizes = (Counter(), Counter()), [0, 0]
-    for text, y in zip(texts, labels, strict=True):
-        terms = set(terms_of(text))
-        longest = (y, *sorted((t for t in terms if not t.endswith(b"*")), key=lambda t: (-len(t), t))[:3])
-        if longest not in seen:
-            seen.add(longest)
-            sizes[y] += 1
-            counts[y].update(terms)
-    if not all(sizes):
-        return []
-    least = 2 * log(max(2, len(counts[0].keys() | counts[1].keys()))) + 4
-    rated = [(_ratio(k, sizes[1], counts[0][t], sizes[0]), t) for t, k in counts[1].items() if k * sizes[0] > counts[0][t] * sizes[1]]
-    return [t for g, t in sorted(rated, key=lambda x: (-x[0], x[1])) if g >= least][:most]
+    held, n = np.zeros((2, size), dtype=np.int64), [0, 0]
+    for own, y in zip(counts, labels.tolist(), strict=True):
+        rarest = (y, *own[np.lexsort((own, often[own]))[:3]].tolist())
+        if rarest not in seen:
+            seen.add(rarest)
+            n[y] += 1
+            held[y, own] += 1
+    if not all(n):
+        return np.full(size, floor)
+    p = (held[0] + held[1]) / (n[0] + n[1])
+    g = np.where(held[1] * n[0] > held[0] * n[1], _g(held[1], n[1], p) + _g(held[0], n[0], p), 0.0)
+    return floor + np.sqrt(g) / 10
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the number of the range that each comes from."""
+    n = end - begin
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which], which
 
 
 class Index:
-    """Block-max inverted index of unit vectors {term number: weight}."""
+    """Block-max inverted index of vectors (term numbers, weights), none of them empty."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         # examples with the same heaviest term lie together, so that a block's greatest weights say more
-        self.order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), i))
-        self.block, self.blocks = block, -(-len(vectors) // block)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(self.order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((place, w))
-        self.postings = {}
-        for t, own in lists.items():
-            places, weights = np.array([p for p, _ in own]), np.array([w for _, w in own])
-            edges = np.searchsorted(places, np.arange(self.blocks + 1) * block)
-            highest = np.zeros(self.blocks)
-            filled = np.flatnonzero(np.diff(edges))
-            highest[filled] = np.maximum.reduceat(weights, edges[filled]) if len(filled) else 0
-            self.postings[t] = places % block, weights, edges, highest
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
-        """The k examples of highest cosine above 0, ties by number. without: an example left out."""
-        own = [(w, *self.postings[t]) for t, w in vector.items() if t in self.postings]
-        if not own:
-            return []
-        bound = sum(w * highest for w, _, _, _, highest in own)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # a little slack, as sums differ in their last digits
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-9 < -best[-1][0]:
-                break
-            reach = np.zeros(self.block)
-            for w, places, weights, edges, _ in own:
-                lo, hi = edges[b], edges[b + 1]
-                if lo < hi:
-                    reach[places[lo:hi]] += w * weights[lo:hi]
-            for p in np.flatnonzero(reach > 0).tolist():
-                if (i := self.order[b * self.block + p]) != without:
-                    best.append((-float(reach[p]), i))
-            best = sorted(best)[:k]
-        return [(i, min(1.0, -s)) for s, i in best]
+        heaviest = np.array([t[np.argmax(w)] for t, w in vectors], dtype=np.int64)
+        self.order = np.lexsort((np.arange(len(vectors)), heaviest))
+        self.n, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
+        sizes = np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64)
+        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, dtype=np.int64)])
+        weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        place = np.repeat(np.arange(self.n), sizes)
+        by = np.lexsort((place, term))
+        self.place, self.weight = place[by].astype(np.int32), weight[by]
+        lists = term[by] * max(1, self.blocks) + self.place // block
+        start = np.flatnonzero(np.diff(lists, prepend=-1))
+        # one row for each block that a term occurs in: the block, its postings and their greatest weight
+        self.begin = np.append(start, len(lists))
+        self.at = (lists[start] % max(1, self.blocks)).astype(np.int32)
+        self.highest = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.of_term = np.searchsorted(lists[start] // max(1, self.blocks), np.arange(terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine above 0, ties by number, and the cosines. without: an example left out."""
+        rows, which = _ranges(self.of_term[terms], self.of_term[terms + 1])
+        own = weights[which]
+        blocks = self.at[rows]
+        bound = np.bincount(blocks, own * self.highest[rows], self.blocks)
+        reach = np.zeros(self.n)
+        # first the most promising blocks, then all others that can still hold one of the k nearest
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argsort(-bound, kind="stable")[: 1 + k // self.block]] = True
+        self._add(reach, rows, own, first[blocks])
+        kth = np.partition(reach, -k - 1)[-k - 1] if self.n > k + 1 else 0.0  # one more, as one may be left out
+        # a little slack, as sums differ in their last digits
+        rest = ~first & (bound > 0) & (bound + 1e-9 >= kth)
+        if rest.any():
+            self._add(reach, rows, own, rest[blocks])
+        if without >= 0:
+            reach[np.flatnonzero(self.order == without)] = 0
+        kth = np.partition(reach, -k)[-k] if self.n > k else 0.0
+        found = np.flatnonzero((reach >= kth) & (reach > 0))
+        ids, near = self.order[found], np.minimum(1.0, reach[found])
+        best = np.lexsort((ids, -near))[:k]
+        return ids[best], near[best]
+
+    def _add(self, reach: np.ndarray, rows: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
+        rows, own = rows[chosen], own[chosen]
+        posts, which = _ranges(self.begin[rows], self.begin[rows + 1])
+        reach += np.bincount(self.place[posts], own[which] * self.weight[posts], self.n)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,78 +151,111 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
+def _unit(numbers: np.ndarray, times: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = (1 + np.log(times)) * scale[numbers]
+    return numbers, weights / (np.sqrt((weights * weights).sum()) or 1.0)
+
+
+class _Part:
+    """Examples (terms, times) and labels with the relevance that these labels teach, and their index."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, idf: np.ndarray, k: int):
+        self.scale = idf * relevance([t for t, _ in counts], labels, len(idf))
+        self.labels, self.k = labels, k
+        self.index = Index([_unit(*c, self.scale) for c in counts], len(idf))
+
+    def vote(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The share of toxic ones among the nearest, by the squares of their cosines; who they are, and the cosines."""
+        if not len(counts[0]):
+            return None, counts[0], counts[1]
+        ids, near = self.index.nearest(*_unit(*counts, self.scale), self.k)
+        power = near * near
+        return float((power * self.labels[ids]).sum() / power.sum()) if len(ids) else None, ids, near
+
+
 class Model:
-    def __init__(self, examples: list[tuple[int, bytes, int]], vocabulary: list[bytes], frequency: dict[bytes, int], documents: int, k: int = NEIGHBOURS):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.idf = [log((documents + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary]
-        self.k, self.memory = k, {}
-        vectors = [(i, self.vector(text), y) for i, text, y in examples]
-        blank = [y for _, v, y in vectors if not v]
-        self.blank = (sum(blank) + 0.5) / (len(blank) + 1)
-        known = [x for x in vectors if x[1]]
-        self.ids, self.labels = [x[0] for x in known], [x[2] for x in known]
-        self.index = Index([x[1] for x in known])
-        if known:
-            own = [self.vote(self.index.nearest(v, k, without=j)) for j, (_, v, _) in enumerate(known)]
-            has = [j for j, v in enumerate(own) if v is not None]
-            # one further case on each side keeps the ends off 0 and 1
-            x, y = np.array([own[j] for j in has] + [0.0, 1.0]), np.array([self.labels[j] for j in has] + [0.0, 1.0])
-            self.knots = isotonic(x, y)
-
-    def vector(self, text: bytes) -> dict[int, float]:
-        number = self.number
-        count = Counter([i for t in terms_of(text) if (i := number.get(t)) is not None])
-        weights = {t: (1 + log(n)) * self.idf[t] for t, n in sorted(count.items())}
-        norm = sum(w * w for w in weights.values()) ** 0.5
-        return {t: w / norm for t, w in weights.items()}
-
-    def vote(self, near: list[tuple[int, float]]) -> float | None:
-        if not near:
-            return None
-        weights = [1 / (1.05 - s) for _, s in near]
-        return sum(w for w, (i, _) in zip(weights, near, strict=True) if self.labels[i]) / sum(weights)
+    """examples: (doc_id, text, label). frequency: in how many of ``documents`` documents each of ``terms`` occurs."""
+
+    def __init__(self, examples: list[tuple[int, bytes, int]], terms: list[bytes], frequency: np.ndarray, documents: int, k: int = NEIGHBOURS):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.memory: dict[bytes, tuple] = {}
+        idf = np.log((documents + 1) / (frequency + 1)) + 1e-3
+        counts = [self.counts(text) for _, text, _ in examples]
+        y = np.array([x[2] for x in examples], dtype=np.int64)
+        self.blank = (float(y.sum()) + 0.5) / (len(y) + 1)
+        has = [j for j, (t, _) in enumerate(counts) if len(t)]
+        self.ids = [examples[j][0] for j in has]
+        counts, y = [counts[j] for j in has], y[has]
+        # one further case on each side keeps the ends off 0 and 1
+        votes, truth = [0.0, 1.0], [0.0, 1.0]
+        fold = np.arange(len(y)) % FOLDS
+        for f in range(FOLDS):
+            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            if len(own) and len(rest):
+                part = _Part([counts[j] for j in rest], y[rest], idf, k)
+                for j in own:
+                    if (vote := part.vote(counts[j])[0]) is not None:
+                        votes.append(vote)
+                        truth.append(float(y[j]))
+        self.knots = isotonic(np.array(votes), np.array(truth))
+        self.part = _Part(counts, y, idf, k)
+
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's terms, in order, and how often each occurs."""
+        get = self.number.get
+        found = np.array([i for t in terms_of(text) if (i := get(t)) is not None], dtype=np.int64)
+        return np.unique(found, return_counts=True)
 
     def score(self, text: bytes) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score and, as evidence, the nearest examples: (doc_id, cosine, label)."""
-        vector = self.vector(text)
-        key = tuple(vector.items())
+        key = xxhash.xxh3_128_digest(text)
         if key not in self.memory:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
-            self.memory[key] = self._score(vector)
+            self.memory[key] = self._score(text)
         return self.memory[key]
 
-    def _score(self, vector: dict[int, float]) -> tuple[float, list[tuple[int, float, int]]]:
-        near = self.index.nearest(vector, self.k) if vector else []
-        if (vote := self.vote(near)) is None:
+    def _score(self, text: bytes) -> tuple[float, list[tuple[int, float, int]]]:
+        vote, ids, near = self.part.vote(self.counts(text))
+        if vote is None:
             return self.blank, []
         at, value = self.knots
         level = float(value[max(0, np.searchsorted(at, vote, side="right") - 1)])
+        labels = self.part.labels
         # within a step of the calibration the vote itself decides the order
-        return 0.98 * level + 0.02 * vote, [(self.ids[i], s, self.labels[i]) for i, s in near[:EVIDENCE]]
+        return 0.98 * level + 0.02 * vote, [(self.ids[i], float(s), int(labels[i])) for i, s in zip(ids[:EVIDENCE].tolist(), near[:EVIDENCE], strict=True)]
 
 
-def _frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[dict[bytes, int], int]:
-    """In how many documents each term of the vocabulary occurs, and the number of documents."""
-    known = frozenset(vocabulary)
+def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
+    """In how many documents each of the terms occurs, and the number of documents."""
+    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows = sent.value, 0
+        count = np.zeros(len(number), dtype=np.int64)
         for b in batches:
-            count: Counter = Counter({b"": b.num_rows})
+            rows += b.num_rows
             for t in b.column(0):
-                count.update(known.intersection(terms_of(t.as_py() or b"")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+                count[[i for w in set(terms_of(t.as_py() or b"")) if (i := number.get(w)) is not None]] += 1
+        held = np.flatnonzero(count)
+        # one row for each term, not for each text; -1 counts the documents
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(count[held], rows))], names=["term", "n"])
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    count = {bytes(r.term): r.n for r in found.collect()}
-    return count, count.pop(b"", 0)
+    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
+    frequency = np.zeros(len(terms), dtype=np.int64)
+    frequency[term[term >= 0]] = n[term >= 0]
+    return frequency, int(n[term < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", size: int = SAMPLE) -> Model:
-    """learn: a condition on doc_id for the rows whose labels may be learned."""
+    """learn: a condition on doc_id for the rows whose labels may be learned.
+
+    What the driver holds is bounded by ``size`` examples: their terms, and a count of each over all documents.
+    """
     examples = sample_of(docs, labels, label, size, learn)
-    vocabulary = marking_terms([x[1] for x in examples], [x[2] for x in examples])
-    return Model(examples, vocabulary, *_frequencies(docs, vocabulary))
+    terms = sorted({t for _, text, _ in examples for t in terms_of(text)})
+    return Model(examples, terms, *_frequencies(docs, terms))
 
 
 def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
