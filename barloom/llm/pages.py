@@ -3,8 +3,11 @@
 A page is a sequence of words and tags. Words score positive and tags negative; one linear scan finds the contiguous
 run of greatest sum, the content region. Weights come from labelled pages: those of a bounded sample that mark their
 article by one <article> element. A word's weight depends on the innermost block that holds it, a tag's on its name.
-What is known not to be content wherever it stands (scripts, menus, forms, adverts, comments, ...) scores as a tag, and
-is left out of the region's text.
+
+Elements have weights too, from two sources that add up: what their name, class, id or role is known to mean (menus,
+footers, adverts, comments, ...), and how often the labelled pages have such a class, id or role inside and outside of
+their article. An element of low weight is set aside: it counts as one tag and its words aren't text of the region.
+An element that holds the article, or most of the page's words, is never set aside, whatever it is called.
 """
 
 from __future__ import annotations
@@ -40,15 +43,26 @@ GAPS = frozenset("br td th wbr img input".split())
 #: Blocks that an open paragraph ends before.
 ENDS_P = BLOCKS - frozenset("body html head option button caption summary legend".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements that are never content, and words in class, id or role that say so.
-NEVER = frozenset("head script style textarea title xmp noscript iframe template nav aside footer form button select option dialog menu svg math object audio video canvas".split())
+#: Elements whose text is no text of the page.
+HIDDEN = frozenset("head script style textarea title xmp noscript iframe template button select option dialog menu svg math object audio video canvas".split())
+#: Elements that are seldom content, words in class, id or role that say the same, and words that turn these around.
+SELDOM = frozenset("nav aside footer form header".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent "
     "contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination popup "
     "promo promoted related replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Elements that hints don't remove: they hold the article.
+TURNED = frozenset("no non not has have with without free less open closed enabled disabled layout".split())
+#: Elements that no name or class sets aside, and those that an element with the article has in it.
 HOLDERS = frozenset("html body main article".split())
+ARTICLES = ("article", "main")
+
+#: Weight of an element that is seldom content, the weight from which on one is set aside, and what that costs the region.
+SAID, ASIDE, COST = -1.6, -1.5, -2.0
+#: The most that labelled pages can say in favour of an element: less than what its name says against it.
+FAVOUR = 1.0
+#: Shares of the page's words from which on an element isn't set aside: by a word that is part of a class, by a whole one.
+MOST_BY_PART, MOST_BY_WHOLE = 0.5, 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -59,81 +73,134 @@ _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+@dataclass
+class Element:
+    """parent: number of the element around it. words: how many it holds. holds: whether an article is in it."""
+
+    name: str
+    parent: int
+    marks: tuple[str, ...] = ()
+    said: float = 0.0
+    whole: bool = False
+    in_article: bool = False
+    words: int = 0
+    holds: bool = False
+    aside: bool = False
+
+
 @dataclass
 class Token:
-    """A tag (name) or text within the block ``name``. drop: not content wherever it stands."""
+    """A tag (name) or text within the block ``name``, and the number of the element around it (or which it is)."""
 
     name: str
+    element: int
     text: str | None = None
     drop: bool = False
-    in_article: bool = False
+    opens: bool = False
 
 
-def _hinted(attrs: str) -> bool:
-    return any(p.lower() in HINTS for m in _HINT.finditer(attrs) for p in _PART.findall(m[1] or m[2] or m[3] or ""))
+def _marks(attrs: str) -> tuple[str, ...]:
+    """Words of class, id and role."""
+    return tuple(w for m in _HINT.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").split())
 
 
-def tokens(html: str) -> Iterator[Token]:
-    """Tags and texts in page order. Open elements that HTML closes by itself are closed; stray end tags close nothing."""
-    stack: list[tuple[str, bool]] = []  # name; whether it and what it holds is dropped
-    dropped = articles = 0
+def _hinted(mark: str) -> bool:
+    parts = {p.lower() for p in _PART.findall(mark)}
+    return bool(parts & HINTS) and not parts & TURNED
 
-    def close(upto: int) -> None:
-        nonlocal dropped, articles
-        while len(stack) > upto:
-            name, drop = stack.pop()
-            dropped -= drop
-            articles -= name == "article"
 
-    def text(part: str) -> Iterator[Token]:
+def parsed(html: str) -> tuple[list[Element], list[Token]]:
+    """Elements, and tags and texts in page order. Open elements that HTML closes by itself are closed; stray end tags
+    close nothing."""
+    elements, out = [Element("", 0)], []
+    stack: list[int] = []
+    at_top = lambda: stack[-1] if stack else 0
+
+    def nearest(names) -> int | None:
+        return next((i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]].name in names), None)
+
+    def text(part: str) -> None:
         if part:
-            block = next((n for n, _ in reversed(stack) if n in BLOCKS), "body")
-            yield Token(block, part, dropped > 0, articles > 0)
+            at = nearest(BLOCKS)
+            out.append(Token(elements[stack[at]].name if at is not None else "body", at_top(), part))
+            elements[at_top()].words += len(part.split())
 
     last = 0
     for m in _TOKEN.finditer(html):
-        yield from text(html[last : m.start()])
+        text(html[last : m.start()])
         last = m.end()
         if m["raw"]:
-            yield Token(m["raw"].lower(), None, True, articles > 0)
+            out.append(Token(m["raw"].lower(), at_top(), drop=True))
         if not m["name"]:
             continue
         name, attrs = m["name"].lower(), m["attrs"]
         if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            yield Token(name, None, dropped > 0, articles > 0)
+            at = nearest((name,))
+            out.append(Token(name, stack[at] if at is not None else at_top()))
             if at is not None:
-                close(at)
+                del stack[at:]
             continue
-        if name in ENDS_P and (at := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)) is not None and stack[at][0] == "p":
-            close(at)
+        if name in ENDS_P and (at := nearest(BLOCKS)) is not None and elements[stack[at]].name == "p":
+            del stack[at:]
         if name in SAME_LEVEL:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SAME_LEVEL[name] or stack[i][0] in ("ul", "ol", "dl", "table", "select")), None)
-            if at is not None and stack[at][0] in SAME_LEVEL[name]:
-                close(at)
-        never = name in NEVER or name == "header" and not articles or name not in HOLDERS and _hinted(attrs)
-        if name not in VOID and not attrs.endswith("/"):
-            stack.append((name, never))
-            dropped += never
-            articles += name == "article"
-        yield Token(name, None, dropped > 0 or never, articles > 0)
-    yield from text(html[last:])
+            at = nearest(SAME_LEVEL[name] | {"ul", "ol", "dl", "table", "select"})
+            if at is not None and elements[stack[at]].name in SAME_LEVEL[name]:
+                del stack[at:]
+        around = elements[at_top()]
+        marks = _marks(attrs)
+        hints = [w for w in marks if _hinted(w)] if name not in HOLDERS else []
+        seldom = name in SELDOM and not (name == "header" and around.in_article)
+        own = Element(name, at_top(), tuple(w.lower() for w in marks), SAID if seldom or hints else 0.0)
+        own.whole = seldom or any(w.lower() in HINTS for w in hints)
+        own.in_article = around.in_article or name == "article"
+        out.append(Token(name, len(elements), opens=True))
+        elements.append(own)
+        # a slash closes foreign elements alone
+        if name not in VOID and not (attrs.endswith("/") and nearest(("svg", "math")) is not None):
+            stack.append(len(elements) - 1)
+    text(html[last:])
+    # an element comes after the one around it
+    for e in elements:
+        if e.name in HIDDEN or e.parent and elements[e.parent].name in HIDDEN:
+            e.words = 0
+    for e in reversed(elements[1:]):
+        around = elements[e.parent]
+        around.words += e.words
+        around.holds |= e.holds or e.name in ARTICLES
+    return elements, out
 
 
 @dataclass
 class Weights:
-    """Of words by block, all positive, and of tags by name, all negative; the rest is for what the labels don't show."""
+    """Of words by block, all positive; of tags by name, all negative; of words in class, id or role. The rest is for
+    what the labels don't show."""
 
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    marks: dict[str, float] = field(default_factory=dict)
     word: float = 1.0
     tag: float = -1.0
 
-    def of(self, t: Token) -> float:
+    def set_aside(self, elements: list[Element], by_parts: bool = True) -> None:
+        """Mark the elements that are set aside, and all within them. by_parts: also by a word that is part of a class."""
+        page = elements[0]
+        for e in elements[1:]:
+            e.aside = elements[e.parent].aside or e.name in HIDDEN
+            if not e.aside and e.name not in HOLDERS:
+                learned = min((self.marks[m] for m in e.marks if m in self.marks), default=0.0)
+                # of a page with an article elsewhere, an element may hold most words and be none of it
+                most = 2.0 if page.holds and not e.in_article else MOST_BY_WHOLE if e.whole else MOST_BY_PART
+                said = e.said if by_parts or e.whole else 0.0
+                e.aside = said + min(learned, FAVOUR) <= ASIDE and not e.holds and e.words < most * max(1, page.words)
+
+    def of(self, t: Token, elements: list[Element]) -> float:
+        e = elements[t.element]
+        if t.drop:
+            return 0.0
+        if e.aside:
+            return COST if t.opens and not elements[e.parent].aside else 0.0
         if t.text is None:
             return self.tags.get(t.name, self.tag)
-        if t.drop:
-            return self.tag if t.text.strip() else 0.0
         return self.words.get(t.name, self.word) * len(t.text.split())
 
 
@@ -143,27 +210,34 @@ PLAIN = Weights(tags={n: -0.1 for n in "p b i em strong u br span h1 h2 h3 h4 h5
 
 def fit(pages: list[str]) -> Weights:
     """Weights from pages with exactly one article; ``PLAIN`` if there are none."""
-    words, tags = (Counter(), Counter()), (Counter(), Counter())
+    words, tags, marks = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
     for html in pages:
-        found = list(tokens(html))
-        if sum(t.text is None and t.name == "article" for t in found) != 2:
+        elements, found = parsed(html)
+        if sum(e.name == "article" for e in elements) != 1:
             continue
+        PLAIN.set_aside(elements)
         for t in found:
+            e = elements[t.element]
+            if t.drop or e.aside:
+                continue
             if t.text is None:
-                tags[t.in_article][t.name] += 1
-            elif not t.drop:
-                words[t.in_article][t.name] += len(t.text.split())
+                tags[e.in_article][t.name] += 1
+            else:
+                words[e.in_article][t.name] += len(t.text.split())
+        for inside in (False, True):
+            marks[inside].update({m for e in elements if e.in_article == inside and not e.holds and e.name not in HOLDERS for m in e.marks})
     if not words[True]:
         return PLAIN
 
-    def odds(c: tuple[Counter, Counter], name: str) -> float:
-        return log((c[True][name] + 0.5) / (c[False][name] + 0.5))
+    def odds(c: tuple[Counter, Counter], name: str, by: float = 0.5) -> float:
+        return log((c[True][name] + by) / (c[False][name] + by))
 
     # bent to one side: what speaks against the sign of its kind counts little
     soft = lambda x: log1p(exp(min(x, 50.0)))
     return Weights(
         {n: min(MOST, soft(odds(words, n))) for n in words[True] | words[False]},
         {n: -min(MOST, soft(-odds(tags, n))) for n in tags[True] | tags[False]},
+        {n: max(-MOST, min(MOST, odds(marks, n, 1.0))) for n in marks[True] | marks[False]},
     )
 
 
@@ -179,10 +253,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def main_text(html: str | None, weights: Weights) -> str:
-    """Blocks of the content region in page order, one a line; '' for null and where no words are."""
-    found = list(tokens(html or ""))
-    begin, end = best_run([weights.of(t) for t in found])
+def _region_text(elements: list[Element], found: list[Token], weights: Weights) -> str:
+    begin, end = best_run([weights.of(t, elements) for t in found])
     blocks, own = [], []
 
     def flush() -> None:
@@ -193,7 +265,7 @@ def main_text(html: str | None, weights: Weights) -> str:
 
     for t in found[begin:end]:
         if t.text is not None:
-            if not t.drop:
+            if not elements[t.element].aside:
                 own.append(t.text)
         elif t.name in BLOCKS:
             flush()
@@ -203,6 +275,20 @@ def main_text(html: str | None, weights: Weights) -> str:
     return "\n".join(blocks)
 
 
+def main_text(html: str | None, weights: Weights) -> str:
+    """Blocks of the content region in page order, one a line; '' for null and where no words are.
+
+    If nothing is left, words that are part of a class set nothing aside: they were part of a layout's name.
+    """
+    elements, found = parsed(html or "")
+    weights.set_aside(elements)
+    text = _region_text(elements, found, weights)
+    if not text and elements[0].words:
+        weights.set_aside(elements, by_parts=False)
+        text = _region_text(elements, found, weights)
+    return text
+
+
 def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. A null page is empty; repeated rows stay; columns beyond page_id, url
     and html are left out. Weights are fitted on at most ``sample`` pages and sent to every task."""
