@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed
+from barloom.llm.common import checkpointed, unused
 
 #: Without given weights, a source's share goes with its number of rows to this power.
 TEMPERATURE = 0.5
@@ -44,7 +44,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: int | None =
     weights: (source, weight); a source without a weight, or with none above 0, gets no rows. total: expected rows of
     the mixture, by default as many as docs has. A null source is a source.
     """
-    sizes = checkpointed(docs.groupBy("source").agg(F.count("*").alias("n")))
+    sizes = checkpointed(docs.groupBy(F.col("source").alias("source")).agg(F.count("*").alias("n")))
     if weights is None:
         shares = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
@@ -58,21 +58,23 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: int | None =
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
-    """All columns of docs and ``copy`` (1, 2, ...), in globally shuffled order.
+    """All columns of docs and, last, the number of the copy (1, 2, ...), in globally shuffled order.
 
-    Rows that share a doc_id are repeated alike; rows without one are numbered by their text. Sources of any size cost
-    the same for each row: a source decides a row's rate, never its place.
+    That column is called copy, with underscores behind it if docs has one of that name. Rows that share a doc_id are
+    repeated alike; rows without one are numbered by their text. Sources of any size cost the same for each row: a source
+    decides a row's rate, never its place.
     """
-    table = checkpointed(rates(docs, weights, total, temperature)).select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cumulative").alias("_cumulative"))
+    copy, own, draws, cumulative, times, order = unused(docs, "copy", "own_source", "draws", "cumulative", "times", "place")
+    table = checkpointed(rates(docs, weights, total, temperature)).select(F.col("source").alias(own), F.col("draws").alias(draws), F.col("cumulative").alias(cumulative))
     if table.count() <= BROADCAST:
         table = F.broadcast(table)
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    draw = lambda i: F.size(F.filter(F.col("_cumulative"), lambda c: c <= uniform(F.lit(seed), name, i.cast("string"))))
-    times = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, i: n + draw(i))
-    copies = docs.join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", times).where("_times > 0")
-    dealt = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), name, F.col("copy")))
-    return dealt.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], "copy")
+    draw = lambda i: F.size(F.filter(F.col(cumulative), lambda c: c <= uniform(F.lit(seed), name, i.cast("string"))))
+    number = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda n, i: n + draw(i))
+    copies = docs.join(table, F.col("source").eqNullSafe(F.col(own))).withColumn(times, number).where(F.col(times) > 0)
+    dealt = copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    placed = dealt.withColumn(order, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), name, F.col(copy))))
+    return placed.repartition(order).sortWithinPartitions(order).select(*[F.col(f"`{c}`") for c in docs.columns], copy)
 
 
 ORACLE = f"""

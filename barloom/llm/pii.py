@@ -1,10 +1,11 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, in DataFrame functions only.
 
-Found and validated: payment card numbers (Luhn), IPv4 addresses, social security numbers, phone numbers, calendar
-dates and e-mail addresses. Each is permuted within its format under a key, so the same value gets the same pseudonym in
-every document, two values never share one, and a pseudonym is as valid as what it stands for. A value is split into two
-parts that take turns in being shifted by a keyed hash of the other one (mixed radix: the shift is modulo the number of
-values that the part can have). What fails its validation stays.
+Found and validated: payment card numbers (Luhn), IPv4 addresses, social security numbers, phone numbers of ten digits,
+calendar dates and e-mail addresses. Each is permuted among the values of its own kind and way of writing under a key, so
+the same value gets the same pseudonym in every document, two values that are written alike never share one, and a
+pseudonym is as valid as what it stands for. A value is split into two parts that take turns in being shifted by a keyed
+hash of the other one (mixed radix: the shift is modulo the number of values that the part can have). What fails its
+validation stays. IBANs, IPv6 addresses and phone numbers of other lengths are not looked for.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import unused
+
 ROUNDS = 8
-#: For tests and examples; production passes its own secret.
-KEY = "pseudonym-key"
+#: The session's setting that holds the secret, and what stands for it where none is set (tests and examples).
+SETTING, EXAMPLE_KEY = "spark.barloom.pseudonymKey", "pseudonym-key"
 
 #: Patterns of each kind. A value neither begins nor ends inside a word or a longer number.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
-PHONE = r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
+PHONE = r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2}[2-9]\d{6})(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\p{N})"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
@@ -28,6 +31,15 @@ ANY = "|".join((EMAIL, PHONE, DATE, SSN, IP, CARD))
 #: Days are permuted within 400 years, after which the calendar repeats: 146097 = 773 * 189 days.
 EPOCHS = ("1600-01-01", "2000-01-01")
 DAYS = (773, 189)
+#: A date that is written day first is permuted until its day can't be a month; each turn leaves 2 in 5 to go on.
+TURNS = 64
+
+# Fixed values of Unicode: first and last code points of runs of letters or digits without gaps, of one case and script.
+LETTERS = (
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9),
+    (0x3AC, 0x3CE), (0x400, 0x42F), (0x430, 0x45F), (0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x63F), (0x641, 0x64A), (0x660, 0x669), (0x905, 0x939),
+    (0x966, 0x96F), (0xE01, 0xE30), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+)
 
 
 def keyed_number(key: Column, *parts: Column) -> Column:
@@ -84,9 +96,22 @@ def card(value: Column, key: Column) -> Column:
 
 
 def phone(value: Column, key: Column) -> Column:
-    """The last ten digits are permuted; a country code stays."""
+    """The last ten digits are permuted; a country code stays. Area and exchange codes that begin with 2 to 9 keep to
+    those, and so do the others, which no numbering plan gives out."""
     digits = _digits(value)
-    new = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), _number(F.substring(digits, F.length(digits) - 9, F.lit(10)), key, "phone"))
+    part = lambda i, n: F.substring(digits, F.length(digits) - 10 + i, F.lit(n)).cast("long")
+    area, exchange, line = part(1, 3), part(4, 3), part(7, 4)
+    base = lambda code: F.when(code < 200, 0).otherwise(200)
+    size = lambda code: F.when(code < 200, 200).otherwise(800)
+    # where the area code is none, the exchange may be any
+    low, many = F.when(area < 200, 0).otherwise(base(exchange)), F.when(area < 200, 1000).otherwise(size(exchange))
+    pair = feistel(area - base(area), (exchange - low) * 10_000 + line, size(area), many * 10_000, key, "phone")
+
+    def text(p: Column) -> Column:
+        ten = F.lpad(((p["a"] + base(area)) * 10_000_000 + low * 10_000 + p["b"]).cast("string"), 10, "0")
+        return F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), ten)
+
+    new = F.element_at(F.transform(F.array(pair), text), 1)
     return F.element_at(F.transform(F.array(new), lambda d: _refilled(value, d)), 1)
 
 
@@ -113,57 +138,58 @@ def ssn(value: Column, key: Column) -> Column:
 def date(value: Column, key: Column) -> Column:
     """yyyy-mm-dd, mm/dd/yyyy, dd/mm/yyyy where the first number is no month, and dd.mm.yyyy, of the years 1600 to 2399.
 
-    Dates of one way of writing never share a pseudonym; one written day first may get that of one written month first.
+    Dates that are written with slashes and day first become dates whose day is no month either, so that none is written
+    like one that comes month first.
     """
     part = lambda i, n: F.substring(value, i, n)
     iso, dotted = F.substring(value, 5, 1) == "-", F.substring(value, 3, 1) == "."
-    day_first = dotted | ~iso & (part(1, 2).cast("int") > 12)
-    read = F.when(iso, value).when(day_first, F.concat(part(7, 4), F.lit("-"), part(4, 2), F.lit("-"), part(1, 2))).otherwise(
+    by_day = ~iso & ~dotted & (part(1, 2).cast("int") > 12)
+    read = F.when(iso, value).when(dotted | by_day, F.concat(part(7, 4), F.lit("-"), part(4, 2), F.lit("-"), part(1, 2))).otherwise(
         F.concat(part(7, 4), F.lit("-"), part(1, 2), F.lit("-"), part(4, 2))
     )
+    form = F.when(iso, "iso").when(dotted, "dotted").when(by_day, "by day").otherwise("by month")
 
     def permuted(day: Column) -> Column:
         late = day >= F.lit(EPOCHS[1]).cast("date")
         begin = F.when(late, F.lit(EPOCHS[1])).otherwise(F.lit(EPOCHS[0])).cast("date")
         n = F.datediff(day, begin)
-        pair = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+        pair = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), F.concat_ws("|", key, form), "date")
         return F.element_at(F.transform(F.array(pair), lambda p: F.date_add(begin, (p["a"] * DAYS[1] + p["b"]).cast("int"))), 1)
 
+    def again(day: Column, turn: Column) -> Column:
+        return F.when((turn == 0) | (by_day & (F.day(day) <= 12)), permuted(day)).otherwise(day)
+
     def written(day: Column) -> Column:
         y, m, d = F.date_format(day, "yyyy"), F.date_format(day, "MM"), F.date_format(day, "dd")
-        slashed = F.when(day_first, F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
+        slashed = F.when(by_day, F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
         return F.when(iso, F.concat_ws("-", y, m, d)).when(dotted, F.concat_ws(".", d, m, y)).otherwise(slashed)
 
     day = F.call_function("try_to_date", read, F.lit("yyyy-MM-dd"))
-    new = F.element_at(F.transform(F.array(permuted(day)), written), 1)
-    return F.when(day.isNotNull() & (F.year(day) >= 1600) & (F.year(day) < 2400), new)
+    new = F.aggregate(F.when(by_day, F.sequence(F.lit(0), F.lit(TURNS))).otherwise(F.array(F.lit(0))), day, again)
+    return F.when(day.isNotNull() & (F.year(day) >= 1600) & (F.year(day) < 2400), F.element_at(F.transform(F.array(new), written), 1))
 
 
 def email(value: Column, key: Column) -> Column:
-    """The local part is permuted, character by character within digits and small, capital and accented letters; the rest stays."""
+    """The local part is permuted, character by character within the runs of ``LETTERS``; other characters and the domain stay."""
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    codes = F.transform(F.split(local, ""), F.ascii)
-    # (first code, size) of each character's class; size 1 stays
-    kind = lambda c: (
-        F.when(c.between(97, 122), F.array(F.lit(97), F.lit(26)))
-        .when(c.between(65, 90), F.array(F.lit(65), F.lit(26)))
-        .when(c.between(48, 57), F.array(F.lit(48), F.lit(10)))
-        .when(c.between(224, 246), F.array(F.lit(224), F.lit(23)))
-        .otherwise(F.array(c, F.lit(1)))
-    )
-    tag = F.transform(codes, lambda c: F.element_at(kind(c), 1).cast("string"))
+    runs = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(z - a + 1).alias("size")) for a, z in LETTERS])
+    # (code, first code of its run, size of the run); a character outside all runs is a run of its own
+    alone = lambda c: F.struct(c.alias("first"), F.lit(1).alias("size"))
+    own = lambda c: F.coalesce(F.get(F.filter(runs, lambda r: (c >= r["first"]) & (c < r["first"] + r["size"])), F.lit(0)), alone(c))
+    held = lambda c: F.transform(F.array(own(c)), lambda r: F.struct(c.alias("c"), r["first"].alias("first"), r["size"].alias("size")))[0]
+    start = F.transform(F.transform(F.split(local, ""), F.ascii), held)
 
     def turn(s: Column, r: Column) -> Column:
-        """Characters of one half (even or odd places) are shifted by a hash of the other half."""
-        fixed = F.array_join(F.transform(s, lambda c, i: F.when(i % 2 == r % 2, c.cast("string")).otherwise("")), ",")
-        shift = lambda i: keyed_number(key, F.lit("email"), F.array_join(tag, ","), r.cast("string"), i.cast("string"), fixed)
-        moved = lambda c, i: (F.element_at(kind(c), 1) + (c - F.element_at(kind(c), 1) + shift(i)) % F.element_at(kind(c), 2)).cast("int")
-        return F.transform(s, lambda c, i: F.when(i % 2 == r % 2, c).otherwise(moved(c, i)))
+        """Characters of one half (even or odd places) are shifted by a hash of the other half and of all runs."""
+        tag = F.array_join(F.transform(s, lambda x: x["first"].cast("string")), ",")
+        fixed = F.array_join(F.transform(s, lambda x, i: F.when(i % 2 == r % 2, x["c"].cast("string")).otherwise("")), ",")
+        shift = lambda i: keyed_number(key, F.lit("email"), tag, r.cast("string"), i.cast("string"), fixed)
+        moved = lambda x, i: (x["first"] + (x["c"] - x["first"] + shift(i)) % x["size"]).cast("int")
+        return F.transform(s, lambda x, i: F.when(i % 2 == r % 2, x).otherwise(F.struct(moved(x, i).alias("c"), x["first"].alias("first"), x["size"].alias("size"))))
 
-    new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), codes, turn)
-    # a character that ASCII can't name in one code stays as it is
-    text = F.array_join(F.transform(F.arrays_zip(F.split(local, "").alias("c"), new.alias("n")), lambda x: F.when(x["n"] < 256, F.char(x["n"])).otherwise(x["c"])), "")
-    return F.concat(text, F.lit("@"), domain)
+    new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+    letter = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    return F.concat(F.array_join(F.transform(new, lambda x: letter(x["c"])), ""), F.lit("@"), domain)
 
 
 def pseudonym(value: Column, key: Column) -> Column:
@@ -179,25 +205,31 @@ def pseudonym(value: Column, key: Column) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with the values in ``text`` replaced, ``n_chars`` (if there is one) counted anew, and ``_n_replaced`` long.
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+    """docs with the values in ``text`` replaced and ``n_chars`` (if there is one) counted anew.
 
-    Whole texts, whatever their length. A null text stays null with 0 replaced; repeated rows stay. The key decides the
+    count: name of a long column to add, with the number of values that changed. Whole texts, whatever their length. A
+    null text stays null with 0 changed; repeated rows stay; columns of any name stay as they are. The key decides the
     pseudonyms and nothing else does, so tables that are processed apart stay linked.
     """
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    new = F.transform("_found", lambda v: F.struct(v.alias("old"), pseudonym(v, F.lit(key)).alias("new")))
-    pairs = marked.withColumn("_pairs", F.when(F.size("_found") > 0, new))
-    between = F.split(F.col(text), ANY, -1)
-    values = F.array_append(F.transform("_pairs", lambda p: F.coalesce(p["new"], p["old"])), F.lit(""))
-    rebuilt = F.array_join(F.flatten(F.zip_with(between, values, lambda a, b: F.array(a, b))), "")
-    out = pairs.withColumn("_text", F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(rebuilt)).withColumn(
-        "_n_replaced", F.coalesce(F.size(F.filter("_pairs", lambda p: p["new"].isNotNull())), F.lit(0)).cast("long")
-    )
-    columns = [F.col("_text").alias(c) if c == text else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, "_n_replaced")
+    found, pairs, new_text = unused(docs, "found", "pairs", "new_text")
+    own = F.col(f"`{text}`")
+    some = F.when(own.rlike("[0-9@]"), F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
+    marked = docs.withColumn(found, F.coalesce(some, F.array().cast("array<string>")))
+    fresh = F.transform(found, lambda v: F.struct(v.alias("old"), F.coalesce(pseudonym(v, F.lit(key)), v).alias("new")))
+    marked = marked.withColumn(pairs, F.when(F.size(found) > 0, fresh))
+    values = F.array_append(F.transform(pairs, lambda p: p["new"]), F.lit(""))
+    rebuilt = F.array_join(F.flatten(F.zip_with(F.split(own, ANY, -1), values, lambda a, b: F.array(a, b))), "")
+    out = marked.withColumn(new_text, F.when(F.col(pairs).isNull(), own).otherwise(rebuilt))
+    changed = F.coalesce(F.size(F.filter(pairs, lambda p: p["new"] != p["old"])), F.lit(0)).cast("long")
+    columns = [F.col(new_text).alias(c) if c == text else F.length(new_text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, *([changed.alias(count)] if count else []))
+
+
+def session_key(docs: DataFrame) -> str:
+    """The secret that the session holds; a run without one is an example, whose pseudonyms anyone can undo."""
+    return docs.sparkSession.conf.get(SETTING, EXAMPLE_KEY)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return pseudonymised(docs.select("doc_id", "text")).withColumnRenamed("_n_replaced", "n_replaced")
+    return pseudonymised(docs.select("doc_id", "text"), session_key(docs), count="n_replaced")

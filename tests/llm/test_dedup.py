@@ -355,5 +355,10 @@ def test_mixing_large_rates_and_edges(spark):
     assert abs(n - 30_000) < 5 * 30_000**0.5
     assert mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mixed(df, total=0).count() == 0
-    clash = df.selectExpr("*", "1 as copy", "2 as `a.b`")
-    assert set(mixing.mixed(clash).columns) == set(clash.columns)
+    clash = df.selectExpr("*", "-1 as COPY", "2 as `a.b`", "'x' as _source", "7 as times", "8 as draws", "9 as cumulative", "10 as place", "11 as own_source", "12 as n", "13 as weight")
+    out = mixing.mixed(clash, total=60)
+    assert out.columns == [*clash.columns, "copy_"]
+    rows = out.collect()
+    kept = [(r.doc_id, r.copy_) for r in rows]
+    assert sorted(kept) == sorted((r.doc_id, r.copy) for r in mixing.mixed(df, total=60).collect())
+    assert {tuple(r)[5:-1] for r in rows} == {(-1, 2, "x", 7, 8, 9, 10, 11, 12, 13)}

@@ -206,6 +206,9 @@ def test_sketches_merge_and_estimate():
 # pseudonyms ------------------------------------------------------------------------------------------------------------
 
 
+KEY = pii.EXAMPLE_KEY
+
+
 def number(key, *parts):
     return int(hashlib.sha256("|".join((key, *parts)).encode()).hexdigest()[:15], 16)
 
@@ -241,19 +244,95 @@ def test_pseudonyms(spark):
     got = {r.doc_id: r for r in pii.query(spark.createDataFrame(rows, TEXTS)).collect()}
     for i, (c, p) in enumerate(zip(cards, ips, strict=True)):
         o = [int(x) for x in p.split(".")]
-        a, b = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, pii.KEY, "ip")
-        assert got[i].text == f"card {plain_card(c, pii.KEY)}, ip {a // 256}.{a % 256}.{b // 256}.{b % 256}."
+        a, b = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, KEY, "ip")
+        assert got[i].text == f"card {plain_card(c, KEY)}, ip {a // 256}.{a % 256}.{b // 256}.{b % 256}."
         assert got[i].n_replaced == 2
 
 
+def plain_phone(ten, key):
+    area, exchange, line = int(ten[:3]), int(ten[3:6]), int(ten[6:])
+    base, size = (0, 200) if area < 200 else (200, 800)
+    low, many = (0, 1000) if area < 200 else (0, 200) if exchange < 200 else (200, 800)
+    a, b = plain_feistel(area - base, (exchange - low) * 10_000 + line, size, many * 10_000, key, "phone")
+    return f"{a + base:03d}{low + b // 10_000:03d}{b % 10_000:04d}"
+
+
+def plain_ssn(value, key):
+    areas = [a for a in range(1, 900) if a != 666]
+    a, g, s = map(int, value.split("-"))
+    x, y = plain_feistel(areas.index(a), (g - 1) * 9999 + s - 1, 898, 99 * 9999, key, "ssn")
+    return f"{areas[x]:03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+
+
+def plain_day(day, form, key):
+    from datetime import date, timedelta
+
+    begin = date(2000, 1, 1) if day.year >= 2000 else date(1600, 1, 1)
+    while True:
+        n = (day - begin).days
+        a, b = plain_feistel(n // 189, n % 189, 773, 189, f"{key}|{form}", "date")
+        day = begin + timedelta(days=a * 189 + b)
+        if form != "by day" or day.day > 12:
+            return day
+
+
+def plain_local(local, key):
+    run = lambda c: next(((a, z - a + 1) for a, z in pii.LETTERS if a <= c <= z), (c, 1))
+    codes = [ord(c) for c in local]
+    tag = ",".join(str(run(c)[0]) for c in codes)
+    for r in range(pii.ROUNDS):
+        fixed = ",".join(str(c) if i % 2 == r % 2 else "" for i, c in enumerate(codes))
+        moved = lambda c, i: run(c)[0] + (c - run(c)[0] + number(key, "email", tag, str(r), str(i), fixed)) % run(c)[1]
+        codes = [c if i % 2 == r % 2 else moved(c, i) for i, c in enumerate(codes)]
+    return "".join(map(chr, codes))
+
+
+def test_pseudonyms_of_all_kinds_equal_plain_ones(spark):
+    from datetime import date, timedelta
+
+    rng = random.Random(7)
+    want = {}
+    for _ in range(60):
+        ten = "".join(rng.choice("0123456789") for _ in range(10))
+        new = plain_phone(ten, KEY)
+        want[f"({ten[:3]}) {ten[3:6]}-{ten[6:]}"] = f"({new[:3]}) {new[3:6]}-{new[6:]}"
+        if ten[0] > "1" and ten[3] > "1":
+            want[ten] = new
+        ssn = f"{rng.choice([1, 665, 667, 899, rng.randint(1, 600)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        want[ssn] = plain_ssn(ssn, KEY)
+        day = date(1600, 1, 1) + timedelta(days=rng.randrange(2 * 146_097))
+        for form, how in (("iso", "%Y-%m-%d"), ("by month", "%m/%d/%Y"), ("dotted", "%d.%m.%Y"), *([("by day", "%d/%m/%Y")] if day.day > 12 else [])):
+            want[day.strftime(how)] = plain_day(day, form, KEY).strftime(how)
+        pool = rng.choice(("abcXYZ019", "éÜøß", "иванЁ", "王伟例", "αβγ", "שלום", "김서", "かな"))
+        local = rng.choice(pool) + "".join(rng.choice(pool + "._-") for _ in range(rng.randint(0, 8))) + rng.choice(pool)
+        want[f"{local}@x.org"] = f"{plain_local(local, KEY)}@x.org"
+    df = spark.createDataFrame([(i, f"<{v}>") for i, v in enumerate(want)], TEXTS)
+    for r in pii.query(df).collect():
+        old = list(want)[r.doc_id]
+        assert r.text == f"<{want[old]}>", old
+        assert r.n_replaced == (want[old] != old)
+
+
+def test_slashed_dates_are_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.range(0, 146_097, 3).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    written = days.select(F.date_format("d", "MM/dd/yyyy").alias("s")).union(days.where("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy")))
+    new = written.select("s", pii.date(F.col("s"), F.lit("k")).alias("p"))
+    assert new.where("p is null or (substr(p, 1, 2) > '12') <> (substr(s, 1, 2) > '12')").count() == 0
+    assert new.select("p").distinct().count() == new.count()
+
+
 def test_formats_stay_valid_and_links_stay(spark):
     text = "Mail Zoë.a_1@mail5.example.com or +1 (743) 555-3824 (+1 (743) 555-3824), 123-45-6789 on 2024-02-29, 12/31/1999, 31/12/1999, 01.02.2003."
     keep = ["000-12-1234 2001-02-29 13/13/2000 999.1.1.1 4785380592391138 version 4.0. 1.2.3", "no number here", "", None]
     rows = [(1, text, 0), (2, "again +1 (743) 555-3824", 0), *((10 + i, t, 0) for i, t in enumerate(keep)), (1, text, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumnRenamed("n_chars", "n_chars")
-    out = pii.pseudonymised(df.selectExpr("*", "'x' as `a.b`"))
-    assert out.columns == [*df.columns, "a.b", "_n_replaced"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    more = df.selectExpr("*", "'x' as `a.b`", "'f' as FOUND", "'p' as pairs", "'t' as new_text", "'_' as _text")
+    out = pii.pseudonymised(more, KEY, count="_n_replaced")
+    assert out.columns == [*more.columns, "_n_replaced"]
     got = out.collect()
+    assert {tuple(r)[3:8] for r in got} == {("x", "f", "p", "t", "_")}
     assert [r.text for r in got if r.doc_id >= 10] == keep
     first, last = [r for r in got if r.doc_id == 1]
     assert first.text == last.text and first._n_replaced == 8 and first.n_chars == len(first.text)
@@ -267,7 +346,7 @@ def test_formats_stay_valid_and_links_stay(spark):
 
     assert date.fromisoformat(m[9]) != date(2024, 2, 29)
     assert int(m[10]) <= 12 and int(m[13]) <= 12 and int(m[15]) <= 12
-    other = pii.pseudonymised(df, key="another").first()
+    other = pii.pseudonymised(df, "another").first()
     assert other.text != first.text
     assert pii.query(df.limit(0)).count() == 0
 
