@@ -16,10 +16,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, checkpointed, forest, in_cells, pairs_in_groups, whole_groups
+from barloom.llm.common import WORD, checkpointed, forest, in_cells, pairs_in_groups, unused, whole_groups
 from barloom.llm.components import connected_components
 from barloom.llm.labelled import least_hashed
 
@@ -72,6 +72,11 @@ def min_hash_bands(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return (least * _ODD[1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _same(docs: DataFrame) -> Column:
+    """What equal texts share and others don't; a null text is like an empty one."""
+    return F.md5(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
+
+
 def with_fingerprint(docs: DataFrame, width: int = SHINGLE, bands: bool = False) -> DataFrame:
     """(id, fp long, same string) of every row: its doc_id, fingerprint and a hash of the text; a null text has no words.
 
@@ -84,8 +89,7 @@ def with_fingerprint(docs: DataFrame, width: int = SHINGLE, bands: bool = False)
             more = {"bands": pa.array([min_hash_bands(t.as_py() or b"", width) for t in b.column(2)], pa.list_(pa.int64()))} if bands else {}
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(1), *more.values()], names=["id", "fp", "same", *more])
 
-    text = F.col("text").cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(text, F.lit(b""))).alias("same"), text.alias("t")).mapInArrow(run, "id long, fp long, same string" + ", bands array<long>" * bands)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), _same(docs).alias("same"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "id long, fp long, same string" + ", bands array<long>" * bands)
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[int]:
@@ -274,8 +278,8 @@ def simhash_groups(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return marked.join(named, "fp", "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, s array<long>): the distinct shingles, in order, of each of ids (id); of the smallest text if it has several."""
+def shingle_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, s array<long>): the distinct shingles, in order, of the text of each of nodes (rep, first, same)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,7 +288,8 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(np.array(shingle_hashes((t.as_py() or b""), width), dtype=np.uint64)).view(np.int64) for t in own.column(1)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).join(ids.distinct(), "id").groupBy("id").agg(F.min("t").alias("t"))
+    own = docs.select(F.col("doc_id").cast("long").alias("first"), _same(docs).alias("same"), F.col("text").cast("binary").alias("t"))
+    texts = own.join(nodes.select("rep", "first", "same"), ["first", "same"]).groupBy(F.col("rep").alias("id")).agg(F.min("t").alias("t"))
     return texts.mapInArrow(run, "id long, s array<long>")
 
 
@@ -349,27 +354,34 @@ def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE
     """The rows of docs that stay when of each group of near copies only the smallest doc_id does.
 
     Texts are linked if their fingerprints are within tau bits or they share a band of least shingles, and their sets of
-    shingles have at least this Jaccard similarity; equal texts always are, and so are texts without words. Rows without
-    doc_id stay; rows that repeat a doc_id stay one, that of the smallest text. Similarity is checked for all such pairs;
-    where many texts are candidates of one another, for all pairs of the group that they form.
+    shingles have at least this Jaccard similarity; equal texts always are, and so are texts without words. Similarity is
+    checked for all such pairs; where many texts are candidates of one another, for all pairs of the group that they form.
+    Rows without doc_id stay. Rows that repeat a doc_id with another text are texts of their own; of rows that repeat
+    both, the one that comes first by the other columns stays.
     """
     marked = checkpointed(with_fingerprint(docs, width, bands=True).where("id is not null"))
-    nodes = checkpointed(marked.groupBy("fp", "same", "bands").agg(F.min("id").alias("rep")))
+    # one node for each text; numbered by its place in the checkpoint, which is the same whenever it is read again
+    texts = checkpointed(marked.groupBy("fp", "same", "bands").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.count_distinct("id").alias("ids")))
+    nodes = texts.withColumn("rep", F.monotonically_increasing_id())
     links = checkpointed(fingerprint_links(nodes.select("fp", "rep", "bands"), tau, whole=True).distinct())
-    sets = checkpointed(shingle_sets(links.select(F.explode(F.array("a", "b")).alias("id")), docs, width))
+    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = checkpointed(shingle_sets(nodes.join(linked, "rep", "left_semi"), docs, width))
     sparse = jaccard_links(links.where("not dense"), sets, similarity)
     dense = jaccard_groups(connected_components(links.where("dense")), sets, similarity)
     classes = connected_components(sparse.unionByName(dense))
-    gone = classes.where("node <> component").select(F.col("node").alias("rep"))
-    kept = checkpointed(nodes.join(gone, "rep", "left_anti").select(F.col("rep").alias("_kept")).distinct())
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    least = F.min(F.struct(F.col("text").alias("_t"), *[F.col(f"`{c}`") for c in others])).alias("_row")
-    if marked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        first = found
-    else:
-        first = found.groupBy("doc_id").agg(least).select("doc_id", *[F.col(f"_row.`{c}`") for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.unionByName(docs.where("doc_id is null"))
+    members = checkpointed(classes.join(nodes.select("rep", "first", "same"), F.col("node") == F.col("rep")).select("component", "rep", "first", "same"))
+    stays = members.groupBy("component").agg(F.min(F.struct("first", "same", "rep")).alias("stays"))
+    gone = members.join(stays, "component").where("rep <> stays.rep").select("rep")
+    names = unused(docs, "first_id", "first_text", "own_text")
+    kept = checkpointed(nodes.join(gone, "rep", "left_anti").select(F.col("first").alias(names[0]), F.col("same").alias(names[1])))
+    own = docs.withColumn(names[2], _same(docs))
+    found = own.join(kept, (F.col("doc_id").cast("long") == F.col(names[0])) & (F.col(names[2]) == F.col(names[1])), "left_semi")
+    if not texts.where("rows > ids").isEmpty():
+        others = [c for c in docs.columns if c != "doc_id"]
+        least = F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias(names[0])
+        found = found.groupBy("doc_id", names[2]).agg(least).select("doc_id", *[F.col(f"{names[0]}.`{c}`").alias(c) for c in others])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def query(docs: DataFrame) -> DataFrame:
