@@ -23,15 +23,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs).drop("_n_replaced")
+    """Personal data become pseudonyms under the session's key, whatever table they stand in."""
+    return pii.pseudonymised(docs, pii.session_key(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat a document as often as its source's rate asks for."""
-    return mixing.mixed(docs).drop("copy")
+    out = mixing.mixed(docs)
+    return out.drop(out.columns[-1])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text that they decode to."""
     ids = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
@@ -43,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage is written as Parquet to the shared folder and read again as the next one's documents."""
+    """Every stage is written as Parquet to the shared folder and read again as the next one's documents.
+
+    What a stage wrote stays, so that a run can be looked into or taken up; the folder is the caller's to delete.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}")
