@@ -341,8 +341,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows]),
                     pa.array([r[3] for r in rows], pa.binary()),
+                    pa.array([r[3].decode(errors="replace") for r in rows], pa.string()),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"],
             )
 
 
@@ -390,11 +391,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row; see the module's text.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, text) of every row; see the module's text.
 
     Texts are UTF-8 bytes, a null text is empty, and a text shorter than ``length`` keeps every byte. Rows that repeat a
     doc_id are texts of their own. Rows are numbered by their place in the input, which must come out the same when a
-    lost part is read again, as a scan or a checkpoint does. Cuts fall on bytes and may split a character.
+    lost part is read again, as a scan or a checkpoint does. Cuts fall on bytes and may split a character: ``text``, what
+    is kept as a string, has U+FFFD for its rest.
     """
     texts = docs.select(
         F.monotonically_increasing_id().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
@@ -403,7 +405,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     return (
         texts.join(spans, "k", "left")
         .select("doc_id", "text", "spans")
-        .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
     )
 
 

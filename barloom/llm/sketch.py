@@ -1,8 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, and the least hash if none is below. It
-needs no common size: sketches of a long and a short text can be compared, and the union of two sketches, again cut at
-the threshold, is the sketch of both texts together.
+A sketch keeps every shingle hash below a fixed fraction of the hash range. It needs no common size: sketches of a long
+and a short text can be compared, and the union of two sketches, again cut at the threshold, is the sketch of both texts
+together. Of a text with few shingles that fraction would leave next to nothing, so its sketch has a finer cut, by halves
+as its shingles are fewer; it holds all that the fixed fraction would, and two sketches are compared or merged at the
+coarser of their cuts.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import WORD, checkpointed
 
 WORDS = 5
-#: A hash is kept if it is below 2**64 / SCALE.
-SCALE = 8
+#: A hash is kept if it is below 2**64 / SCALE; texts whose sketches would expect fewer than ENOUGH hashes halve the scale.
+SCALE, ENOUGH = 8, 64
 #: Documents are dealt by doc_id div SPAN, so that neighbours share a bucket of bounded size.
-SPAN = 512
+SPAN = 128
 #: Buckets whose first doc_id is sent to every task to find its text; with more, texts are shuffled once more for that.
 SENT = 500_000
 
@@ -38,30 +41,49 @@ def shingle_hashes(words: list[bytes], width: int = WORDS) -> np.ndarray:
     return np.array([hash_(join(x)) for x in zip(*(words[i:] for i in range(width)), strict=False)], dtype=np.uint64)
 
 
-def sketch(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """Distinct kept hashes in ascending order."""
-    low = hashes[hashes < np.uint64(2**64 // scale)]
-    return np.unique(low if len(low) else hashes.min(keepdims=True) if len(hashes) else hashes)
+class Sketch(NamedTuple):
+    """All distinct hashes below 2**64 / scale, in ascending order."""
+
+    scale: int
+    hashes: np.ndarray
+
+    def cut(self, scale: int) -> np.ndarray:
+        return self.hashes[: np.searchsorted(self.hashes, np.uint64(2**64 // scale))] if scale > self.scale else self.hashes
+
+    def __str__(self) -> str:
+        return f"{self.scale}:{self.hashes.astype('>u8').tobytes().hex()}"
+
+
+def sketch(hashes: np.ndarray, scale: int = SCALE) -> Sketch:
+    """Of a text with these shingles; scale: the coarsest cut, a power of two."""
+    hashes = np.unique(hashes)
+    while scale > 1 and len(hashes) < ENOUGH * scale:
+        scale //= 2
+    return Sketch(scale, Sketch(1, hashes).cut(scale))
 
 
-def merged(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merged(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of two texts together."""
-    return sketch(np.concatenate([a, b]), scale)
+    scale = max(a.scale, b.scale)
+    return Sketch(scale, np.union1d(a.cut(scale), b.cut(scale)))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared hashes over all hashes of both; 1 for two empty sketches."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def _shared(a: Sketch, b: Sketch) -> tuple[int, int, int]:
+    scale = max(a.scale, b.scale)
+    x, y = a.cut(scale), b.cut(scale)
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of a's hashes that b has; 1 for an empty a."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Shared hashes over all hashes of both; 1 for two texts without words, 0 if the common cut leaves nothing of either."""
+    both, x, y = _shared(a, b)
+    return both / (x + y - both) if x or y else float(not len(a.hashes) and not len(b.hashes))
 
 
-def _string(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+def containment(a: Sketch, b: Sketch) -> float:
+    """Share of a's hashes that b has; 1 for a text without words, 0 if the common cut leaves nothing of a."""
+    both, x, _ = _shared(a, b)
+    return both / x if x else float(not len(a.hashes))
 
 
 def _words(text: str) -> list[bytes]:
@@ -74,7 +96,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut] if cut else text
 
 
-def _edited_sketch(text: str, hashes: np.ndarray, following: str, scale: int, width: int) -> tuple[str, np.ndarray]:
+def _edited_sketch(text: str, hashes: np.ndarray, following: str, scale: int, width: int) -> tuple[str, Sketch]:
     """The edited text and its sketch, which takes the hashes of untouched shingles from the text's own."""
     edited = edited_text(text, following)
     keep = len(text) - len(text) // 3
@@ -96,7 +118,7 @@ class _Last:
     ident: int | None
     text: str
     hashes: np.ndarray
-    own: np.ndarray
+    own: Sketch
 
 
 _FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_contained double, next_contained double"
@@ -118,7 +140,7 @@ def _run(scale: int, width: int):
                     if last is not None and last.bucket == bucket:
                         edited, new = _edited_sketch(last.text, last.hashes, text, scale, width)
                         rows.append(
-                            (last.ident, len(last.text), hashlib.sha256(edited.encode()).hexdigest(), _string(last.own), _string(new))
+                            (last.ident, len(last.text), hashlib.sha256(edited.encode()).hexdigest(), str(last.own), str(new))
                             + (likeness(last.own, new), likeness(last.own, here.own), containment(last.own, new), containment(last.own, here.own))
                         )
                     last = None if guest else here

@@ -317,6 +317,11 @@ def test_repeats(spark, passages, length, gram, block):
 
 
 def test_repeats_of_long_texts_and_empty_tables(spark, monkeypatch):
+    shared = "é" + "x" * 19 + " some shared passage of text" * 16
+    df = spark.createDataFrame([(1, "first " + shared), (2, shared + " second"), (3, "ée"), (4, None)], TEXTS)
+    for r in repeats.query(df).collect():
+        assert (r.n_removed > 0) == (r.doc_id < 3)
+        assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 or "\ufffd" in r.text
     assert repeats.query(spark.createDataFrame([], TEXTS)).count() == 0
     monkeypatch.setattr(repeats, "_INDEX_BITS", 20)
     rng = random.Random(6)

@@ -179,7 +179,7 @@ def brute_fingerprints(rows):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
         a, b, c = make(t), make(edited), make(after)
-        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), sketch._string(a), sketch._string(b), sketch.likeness(a, b), sketch.likeness(a, c)))
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), str(a), str(b), sketch.likeness(a, b), sketch.likeness(a, c)))
     return sorted(out, key=str)
 
 
@@ -194,13 +194,39 @@ def test_fingerprints(spark, span):
 
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
-    a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) * 2 for n in (20_000, 2_000))
-    both = np.concatenate([a, b])
-    assert np.array_equal(sketch.merged(sketch.sketch(a), sketch.sketch(b)), sketch.sketch(both))
-    assert abs(sketch.containment(sketch.sketch(b), sketch.sketch(both)) - 1) < 1e-9
-    assert abs(sketch.likeness(sketch.sketch(a), sketch.sketch(both)) - 20 / 22) < 0.03
-    one = np.array([2**64 - 1], dtype=np.uint64)
-    assert len(sketch.sketch(one)) == 1
+    for sizes in ((20_000, 2_000), (3_000, 40), (40, 300), (10, 0)):
+        a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) * 2 for n in sizes)
+        both = np.concatenate([a, b])
+        x, y, whole = sketch.sketch(a), sketch.sketch(b), sketch.sketch(both)
+        for s, h in ((x, a), (y, b)):
+            # every hash below the fixed fraction is there, and no other than those below the sketch's own cut
+            assert set(h[h < 2**64 // sketch.SCALE].tolist()) <= set(s.hashes.tolist()) == set(h[h < 2**64 // s.scale].tolist() if s.scale > 1 else h.tolist())
+        merged = sketch.merged(x, y)
+        scale = max(merged.scale, whole.scale)
+        assert np.array_equal(merged.cut(scale), whole.cut(scale))
+        assert sketch.containment(y, whole) == 1
+        assert abs(sketch.likeness(x, whole) - len(a) / len(both)) < 0.12
+    empty, tiny = sketch.sketch(np.zeros(0, dtype=np.uint64)), sketch.sketch(np.array([2**64 - 1], dtype=np.uint64))
+    assert sketch.likeness(empty, empty) == 1 and sketch.likeness(empty, tiny) == 0 and len(tiny.hashes) == 1
+    assert sketch.containment(tiny, sketch.sketch(rng.integers(0, 2**60, 9000, dtype=np.uint64))) == 0
+
+
+def test_likeness_is_close_for_texts_of_all_lengths(spark):
+    """Against the exact Jaccard similarity of all shingles: no error below 64 shingles, then that of 64 hashes."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") < 2000)
+    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), reverse=True)
+    got = {r.doc_id: r for r in sketch.query(df).collect()}
+    shingles = lambda t: set(sketch.shingle_hashes(sketch._words(t)).tolist())
+    errors = []
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        a, b = shingles(t), shingles(sketch.edited_text(t, after))
+        exact = len(a & b) / len(a | b) if a | b else 1.0
+        errors.append((len(a), abs(got[d].near_edited - exact)))
+    assert max(e for n, e in errors if n < sketch.ENOUGH) < 1e-9
+    assert np.mean([e for _, e in errors]) < 0.05 and max(e for _, e in errors) < 0.25
 
 
 # pseudonyms ------------------------------------------------------------------------------------------------------------
