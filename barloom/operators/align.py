@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.ranks import with_rank
+
 BAR = ("open", "high", "low", "close", "volume")
 
 
@@ -87,19 +89,21 @@ def average_volume(daily: DataFrame, n: int = 30) -> DataFrame:
 
 def retention(rows: DataFrame, most: int, drop: int, order: str = "ts") -> DataFrame:
     """A ticker with more than ``most`` rows loses its oldest ``drop``."""
-    by = Window.partitionBy("ticker")
-    return (
-        rows.withColumn("_n", F.count("*").over(by))
-        .withColumn("_i", F.row_number().over(by.orderBy(order)))
-        .where((F.col("_n") <= most) | (F.col("_i") > drop))
-        .drop("_n", "_i")
-    )
+    return with_rank(rows, "ticker", order).where((F.col("_n") <= most) | (F.col("_i") >= drop)).select(*rows.columns)
 
 
 def rows_per_session(grid: DataFrame) -> DataFrame:
     return grid.groupBy("ticker", "date").agg(F.count("*").alias("n_rows"))
 
 
+def wide_merge(aligned: DataFrame, tickers: list[str], columns: list[str]) -> DataFrame:
+    """One row for each grid time, and for each ticker its columns, named ticker_column; for those who ask for width."""
+    wide = aligned.groupBy("ts").pivot("ticker", tickers).agg(*[F.first(c).alias(c) for c in columns])
+    if len(columns) == 1:  # pivot then leaves the column's name out
+        return wide.withColumnsRenamed({t: f"{t}_{columns[0]}" for t in tickers})
+    return wide
+
+
 def quotes_wide(quotes: DataFrame, tickers: list[str], every: str = "1 hour") -> DataFrame:
     """One row for each period, and for each ticker its last bid, bid size, ask and ask size."""
     last = lambda c: F.max_by(c, "ts").alias(c)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import pct_gain
+from barloom.operators.ranks import with_rank
 from barloom.params import CATEGORIES, GRID_MINUTES
 
 
@@ -53,30 +54,26 @@ def drop_null_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def chrono_split(rows: DataFrame, order: str, two_way: bool = False) -> DataFrame:
     """rows with ``split``: train up to 60 % of a ticker's rows, test1 up to 80 %, then test2; two-way: up to two thirds."""
-    by = Window.partitionBy("ticker")
-    i, n = F.row_number().over(by.orderBy(order)) - 1, F.count("*").over(by)
-    at = rows.withColumn("_i", i).withColumn("_n", n)
+    at = with_rank(rows, "ticker", order)
     if two_way:
         split = F.when(F.col("_i") <= F.floor(2 * F.col("_n") / 3), "train").otherwise("test1")
     else:
         # in whole numbers, so that no rounding moves a border
         split = F.when(F.col("_i") <= F.floor(6 * F.col("_n") / 10), "train").when(F.col("_i") <= F.floor(8 * F.col("_n") / 10), "test1").otherwise("test2")
-    return at.withColumn("split", split).drop("_i", "_n")
+    return at.withColumn("split", split).select(*rows.columns, "split")
 
 
 def rank_thresholds(rows: DataFrame, n_cat: int = CATEGORIES, approximate: bool = False) -> DataFrame:
     """(ticker, i, t): the gains that part a ticker's rows into n_cat categories, at the 0-based ranks ceil(n / n_cat * i).
 
-    Tickers with fewer than n_cat gains have none. approximate: by a mergeable quantile sketch, for tickers whose gains
-    are too many to sort in one task.
+    Tickers with fewer than n_cat gains have none. approximate: by a mergeable quantile sketch, in one pass.
     """
-    known = rows.where("gain is not null")
+    known = rows.select("ticker", "gain").where("gain is not null")
     if approximate:
         shares = [i / n_cat for i in range(1, n_cat)]
         found = known.groupBy("ticker").agg(F.percentile_approx("gain", shares, 100_000).alias("t"), F.count("*").alias("n")).where(F.col("n") >= n_cat)
         return found.select("ticker", F.posexplode("t").alias("i", "t")).withColumn("i", F.col("i") + 1)
-    by = Window.partitionBy("ticker")
-    ranked = known.select("ticker", "gain", (F.row_number().over(by.orderBy("gain")) - 1).alias("r"), F.count("*").over(by).alias("n")).where(F.col("n") >= n_cat)
+    ranked = with_rank(known, "ticker", "gain", "r", "n").where(F.col("n") >= n_cat)
     return ranked.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n_cat - 1)))).where((F.col("r") * n_cat >= F.col("n") * F.col("i")) & ((F.col("r") - 1) * n_cat < F.col("n") * F.col("i"))).select("ticker", "i", F.col("gain").alias("t"))
 
 

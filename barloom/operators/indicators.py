@@ -297,10 +297,15 @@ def daily_state(daily: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["ticker", "date"]), parts)
 
 
+def one_step(rows: DataFrame) -> DataFrame:
+    """rows (close, day_high, day_low and the columns of ``daily_state``) with all indicators, each one step from the
+    days before; expressions of one row only, so rows may be a stream."""
+    lines = _with_stochastic(_with_macd(rows)).select("*", *_sma(MEAN_PERIODS), *_ema(MEAN_PERIODS), *_bollinger(BOLLINGER), _rsi_now(RSI_PERIOD))
+    return lines.withColumn("stochastic_k", F.col("k")).withColumn("stochastic_k_d", F.col("k") - F.col("d"))
+
+
 def minute_features(aligned: DataFrame, daily: DataFrame, features: list[str] | str = "all") -> DataFrame:
     """All features of aligned minute rows (ticker, date, session_no, minute_no, ts, open, high, low, close), by one join
     with the daily state and windows of one day."""
     rows = join_minute_daily(day_high_low(with_lags(aligned)), daily_state(daily))
-    lines = _with_stochastic(_with_macd(rows)).select("*", *_sma(MEAN_PERIODS), *_ema(MEAN_PERIODS), *_bollinger(BOLLINGER), _rsi_now(RSI_PERIOD))
-    named = lines.withColumn("stochastic_k", F.col("k")).withColumn("stochastic_k_d", F.col("k") - F.col("d"))
-    return select_features(add_bias(diff_high_low(named)), features)
+    return select_features(add_bias(diff_high_low(one_step(rows))), features)

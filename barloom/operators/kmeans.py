@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -13,9 +14,15 @@ KEYS = ("run", "ticker")
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
+    """In the folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs in this process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -30,9 +37,10 @@ def initial_centroids(points: DataFrame, k: int, seed: str = "0", key: str = "ro
     A ticker with fewer than k rows has too few for a model and gets none.
     """
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("run").cast("string"), F.col(key).cast("string")))
-    by = Window.partitionBy("run", "ticker")
-    ranked = points.select("run", "ticker", "features", F.row_number().over(by.orderBy(order, key)).alias("_r"), F.count("*").over(by).alias("_n"))
-    return ranked.where((F.col("_n") >= k) & (F.col("_r") <= k)).select("run", "ticker", (F.col("_r") - 1).cast("long").alias("cluster"), F.col("features").alias("center"))
+    # each task keeps k rows of a group before any are shuffled
+    ranked = points.select("run", "ticker", "features", F.row_number().over(Window.partitionBy("run", "ticker").orderBy(order, key)).alias("_r")).where(F.col("_r") <= k)
+    enough = points.groupBy("run", "ticker").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
+    return ranked.join(enough, ["run", "ticker"], "left_semi").select("run", "ticker", (F.col("_r") - 1).cast("long").alias("cluster"), F.col("features").alias("center"))
 
 
 def cluster_means(assigned: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -46,18 +54,23 @@ def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return cluster_means(nearest_centroid(points.select(*KEYS, "features"), centroids, KEYS))
 
 
+#: Steps between looks at whether a center still moves.
+LOOK = 5
+
+
 def kmeans_fit(points: DataFrame, k: int = 100, iterations: int = 100, seed: str = "0", key: str = "row_id") -> DataFrame:
     """Centroids (run, ticker, cluster, center) after ``iterations`` steps, or once no center moves (which is the same).
 
-    points: (run, ticker, features, key). Each step's centers go through a checkpoint; points are read anew each time,
-    so cache or checkpoint them if they cost much to make.
+    points: (run, ticker, features, key). They and each step's centers go through a checkpoint, so a step reads points
+    that are made and shuffles partial sums of centers alone.
     """
+    points = _checkpointed(points.select(*KEYS, "features", key))
     centers = _checkpointed(initial_centroids(points, k, seed, key))
-    for _ in range(iterations):
+    for step in range(1, iterations + 1):
         after = _checkpointed(kmeans_step(points, centers))
-        moved = centers.join(after.withColumnRenamed("center", "_new"), [*KEYS, "cluster"], "left").where("_new is null or _new <> center")
-        stop, centers = moved.isEmpty(), after
-        if stop:
+        still = step % LOOK == 0 and centers.join(after.withColumnRenamed("center", "_new"), [*KEYS, "cluster"], "left").where("_new is null or _new <> center").isEmpty()
+        centers = after
+        if still:
             break
     return centers
 

@@ -16,34 +16,61 @@ def filter_orders(orders: DataFrame, start: datetime, end: datetime, status: str
     return orders.where(F.col(entered).between(F.lit(start), F.lit(end)) & (F.col("status") == status))
 
 
-def _first_touch(orders: DataFrame, quotes: DataFrame, price: str, touched: Column, best_of_day: Column, day_touched: Column) -> DataFrame:
-    """orders (ticker, since, order_id, limit) with ``touch_ts``: the first quote from ``since`` on that touches the limit.
+def _first(rows: str, bound: str, after: Column | None = None) -> Column:
+    """Of an array of (t, v) the first t, past ``after`` if given, whose v is at or below the bound."""
+    fits = F.filter(rows, lambda x: (x["v"] <= F.col(bound)) if after is None else (x["v"] <= F.col(bound)) & (x["t"] > after))
+    return F.array_min(F.transform(fits, lambda x: x["t"]))
 
-    Quotes are reduced to one best price a day first; an order meets the quotes of two days only, its own and the first
-    later one whose best price touches it, so that hot tickers don't pair all orders with all quotes.
+
+def _first_touch(orders: DataFrame, since: str, bound: Column, value: Column, quotes: DataFrame) -> DataFrame:
+    """orders with ``touch_ts``: the ticker's first quote from ``since`` on whose value is at or below the bound.
+
+    No order meets single quotes of more than two seconds. Quotes make a tree of least values: of each second, minute,
+    and day; a row holds the children of one node (the quotes of a second, the seconds of a minute, the minutes of a day,
+    the days of a ticker). An order looks at what is left of its own second, minute, day and at later days, and goes down
+    from the first node with a low enough value. Each step is an equi-join with one row, so the work grows with orders
+    plus quotes, also for a ticker that has most of both.
     """
-    q = quotes.select("ticker", F.to_date("ts").alias("day"), F.col("ts").alias("q_ts"), F.col(price).alias("q")).where("q is not null")
-    o = orders.withColumn("day", F.to_date("since"))
-    same = o.join(q, ["ticker", "day"]).where((F.col("q_ts") >= F.col("since")) & touched).groupBy("order_id").agg(F.min("q_ts").alias("same_ts"))
-    days = q.groupBy("ticker", F.col("day").alias("q_day")).agg(best_of_day.alias("q"))
-    left = o.join(same, "order_id", "left_anti")
-    later = left.join(days, "ticker").where((F.col("q_day") > F.col("day")) & day_touched).groupBy("order_id").agg(F.min("q_day").alias("day"))
-    on_day = left.drop("day").join(later, "order_id").join(q, ["ticker", "day"]).where(touched).groupBy("order_id").agg(F.min("q_ts").alias("later_ts"))
-    return orders.join(same, "order_id", "left").join(on_day, "order_id", "left").withColumn("touch_ts", F.coalesce("same_ts", "later_ts")).drop("same_ts", "later_ts")
+    cut = lambda unit, c: F.date_trunc(unit, c).cast("timestamp_ntz")
+    q = quotes.select("ticker", F.col("ts").cast("timestamp_ntz").alias("t"), value.alias("v")).where("v is not null")
+    levels: dict[str, DataFrame] = {}
+    for unit, name in (("second", "second"), ("minute", "minute"), ("day", "day")):
+        node = cut(unit, F.col("t")).alias(name)
+        levels[unit] = q.groupBy("ticker", node).agg(F.collect_list(F.struct("t", "v")).alias("rows"))
+        q = levels[unit].select("ticker", F.col(name).alias("t"), F.array_min(F.transform("rows", lambda x: x["v"])).alias("v"))
+    levels["all"] = q.groupBy("ticker").agg(F.collect_list(F.struct("t", "v")).alias("rows"))
+
+    start = F.col(since).cast("timestamp_ntz")
+    o = orders.select("order_id", "ticker", start.alias("since"), bound.alias("bound")).where("bound is not null and since is not null")
+    o = o.withColumns({f"own_{u}": cut(u, F.col("since")) for u in ("second", "minute", "day")})
+
+    def look(rows: DataFrame, unit: str, at: Column | None, found: Column, name: str) -> DataFrame:
+        """rows with ``name``: what is found in the children of the node ``at``."""
+        if at is None:
+            return rows.join(levels[unit], "ticker", "left").withColumn(name, found).drop("rows")
+        return rows.withColumn(unit, at).join(levels[unit], ["ticker", unit], "left").withColumn(name, found).drop("rows", unit)
+
+    # what is left of the own second includes a quote of the very moment
+    o = look(o, "second", F.col("own_second"), _first("rows", "bound", F.col("since") - F.expr("INTERVAL 1 MICROSECOND")), "quote1")
+    o = look(o, "minute", F.col("own_minute"), _first("rows", "bound", F.col("own_second")), "second1")
+    o = look(o, "day", F.col("own_day"), _first("rows", "bound", F.col("own_minute")), "minute1")
+    o = look(o, "all", None, _first("rows", "bound", F.col("own_day")), "day1")
+    # down from the first that was found; an order without one goes to its own node, in vain, so that no key is crowded
+    o = look(o, "day", F.coalesce("day1", "own_day"), F.coalesce("minute1", F.when(F.col("day1").isNotNull(), _first("rows", "bound"))), "minute2")
+    o = look(o, "minute", F.coalesce("minute2", "own_minute"), F.coalesce("second1", F.when(F.col("minute2").isNotNull(), _first("rows", "bound"))), "second2")
+    o = look(o, "second", F.coalesce("second2", "own_second"), F.coalesce("quote1", F.when(F.col("second2").isNotNull(), _first("rows", "bound"))), "touch_ts")
+    kind = orders.schema[since].dataType
+    return orders.join(o.select("order_id", F.col("touch_ts").cast(kind).alias("touch_ts")), "order_id", "left")
 
 
 def buy_touch(orders: DataFrame, quotes: DataFrame) -> DataFrame:
     """buy orders with ``touch_ts``: the first bid at or below the limit from placement on; null if there is none."""
-    rows = orders.withColumn("since", F.col("placed_ts"))
-    hit = F.col("q") <= F.col("limit_price")
-    return _first_touch(rows, quotes, "bid", hit, F.min("q"), hit).drop("since")
+    return _first_touch(orders, "placed_ts", F.col("limit_price"), F.col("bid"), quotes)
 
 
 def sell_touch(stock: DataFrame, quotes: DataFrame) -> DataFrame:
     """held stock (order_id, ...) with ``touch_ts``: the first ask at or above a limit above 0, after the buy."""
-    rows = stock.withColumn("since", F.col("buy_ts"))
-    hit = (F.col("limit_sell_price") > 0) & (F.col("q") >= F.col("limit_sell_price"))
-    return _first_touch(rows, quotes, "ask", hit, F.max("q"), hit).drop("since")
+    return _first_touch(stock, "buy_ts", F.when(F.col("limit_sell_price") > 0, -F.col("limit_sell_price")), -F.col("ask"), quotes)
 
 
 def fills(orders: DataFrame, quotes: DataFrame, sell_factor: float = 1.2) -> DataFrame:
@@ -69,8 +96,8 @@ def fills(orders: DataFrame, quotes: DataFrame, sell_factor: float = 1.2) -> Dat
 
 
 def link_fills(sells: DataFrame, buys: DataFrame) -> DataFrame:
-    """Sell fills with the buy fill that they close."""
-    return sells.join(buys, sells.buy_order_id_link == buys.buy_order_id)
+    """Sell fills (..., buy_order_id_link) with the columns of the buy fill (buy_order_id, ...) that they close."""
+    return sells.join(buys, sells["buy_order_id_link"] == buys["buy_order_id"])
 
 
 def total_balance(open_orders: DataFrame, stock: DataFrame, available: float) -> DataFrame:

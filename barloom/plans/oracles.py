@@ -216,6 +216,12 @@ ORACLES = {
         + ", ".join(f"arg_max({c}, ts) filter (ticker = '{t}') {t}_{n}" for t in EVENT_TYPES for c, n in (("size", "bid_size"), ("size + 1", "ask_size")))
         + " from q group by 1"
     ),
+    "minute_end": sql("select event_id, date_trunc('minute', ts)::timestamp + interval 1 minute ts from q"),
+    "retention": sql(
+        """select event_id, uid ticker, ts from (select event_id, uid, ts, row_number() over (partition by uid order by ts) i, count(*) over (partition by uid) n from q)
+        where n <= 60 or i > 20"""
+    ),
+    "wide_merge": sql("select ts, " + ", ".join(f"max({c}) filter (ticker = '{t}') {t}_{c}" for t in EVENT_TYPES for c in ("close", "volume")) + " from al group by 1", GRID),
     "market_holidays": sql("select date, holiday from hol", holidays("hol", "ospan")),
     "daily_grid": sql(
         """select date, row_number() over (order by date)::int session_no, date + interval 22 hour ts from (select unnest(generate_series(lo, hi, interval 1 day))::date date from ospan)
@@ -273,6 +279,11 @@ ORACLES = {
         *FEATURE_ROWS,
     ),
     "future_close": sql(f"select ticker, ts, close, future, {r('(future - close) / nullif(close, 0)', 'gain')} from (select *, lead(close, 1562) over (partition by ticker order by ts) future from al)", GRID),
+    "future_close_minute": sql(f"select ticker, ts, close, future, {r('(future - close) / nullif(close, 0)', 'gain')} from (select *, lead(close, 30) over (partition by ticker order by ts) future from al)", GRID),
+    "all_null_columns": sql(
+        f"""select ticker, feature from (select ticker, unnest(['close', 'volume', 'sma5', 'sma50']) feature, unnest([close::double, volume::double, s5, s50]) x
+          from (select *, {full('avg(close)', 5)} s5, {full('avg(close)', 50)} s50 from d)) group by 1, 2 having min(x) is null or min(x) = max(x)"""
+    ),
     "drop_null_rows": sql("select ticker, ts, " + ", ".join(r(c, c) for c in SCALED) + " from fr where " + " and ".join(f"{c} is not null" for c in SCALED), *FEATURE_ROWS),
     "chrono_split": sql(
         """select ticker, date, case when i <= floor(0.6::decimal(2,1) * n) then 'train' when i <= floor(0.8::decimal(2,1) * n) then 'test1' else 'test2' end split
@@ -289,6 +300,20 @@ ORACLES = {
     ),
     "nearest_centroid": sql(f"select ticker, row_id, cluster, {r('distance', 'distance')} from ag where run = 0", *CLUSTERS),
     "kmeans_step": sql(f"select ticker, cluster, dim, {r('avg(x)', 'x')} from (select ticker, cluster, unnest(f) x, unnest(range(0, len(f)))::int dim from ag where run = 0) group by 1, 2, 3", *CLUSTERS),
+    "kmeans_fit": sql(
+        f"select run, ticker, cluster, dim, {r('x', 'x')} from (select run, ticker, cluster, unnest(c) x, unnest(range(0, len(c)))::int dim from st where step = 100)",
+        *CLUSTERS,
+        # a step from the centers of the step before; the last holds the centers after 100
+        """st as (select 0 step, run, ticker, cluster, c from ce where run < 2
+          union all
+          select step + 1, run, ticker, cluster, list(x order by dim) from (
+            select step, run, ticker, cluster, dim, avg(x) x from (
+              select step, run, ticker, cluster, unnest(f) x, unnest(range(0, len(f))) dim from (
+                select step, st.run, p.ticker, p.f, st.cluster, row_number() over (partition by st.run, p.row_id order by list_distance(p.f, st.c), st.cluster) best from p join st using (ticker) where step < 100
+              ) where best = 1
+            ) group by all
+          ) group by step, run, ticker, cluster)""",
+    ),
     "assign_clusters": sql("select ticker, cluster, count(*) n_rows, string_agg(row_id::varchar, ',' order by row_id) \"rows\" from ag where run = 0 group by 1, 2", *CLUSTERS),
     "cluster_counts": sql("select ticker, split, cluster, cat, n from cc where run = 0", *CLUSTERS),
     "cluster_mode": sql("select ticker, split, cluster, mode from cm where run = 0", *CLUSTERS),
@@ -306,6 +331,12 @@ ORACLES = {
     "pick_buys": sql(f"select ticker, {r('t_last', 't_last')} from tl join ul using (ticker) where \"label\" = 'Strong Buy' order by t_last desc, ticker limit 3", *BOOK),
     "filter_orders": "select o_orderkey, o_orderdate entered, o_orderstatus status from orders where o_orderdate between timestamp '1996-01-01' and timestamp '1998-12-31' and o_orderstatus = 'F'",
     "order_touch": sql("select order_id, ticker, touch_ts from bt", *BOOK),
+    "sell_touch": sql(f"select order_id, ticker, touch_ts buy_ts, {r('sell_limit', 'limit_sell_price')}, sell_ts touch_ts from fl where touch_ts is not null", *BOOK),
+    "link_fills": sql(
+        f"""select order_id + 1000000000 sell_order_id, ticker, {r('sell_limit', 'sell_price')}, sell_ts sell_time, order_id buy_order_id_link, order_id buy_order_id, {r('limit_price', 'price')}, quantity, touch_ts time_filled
+        from fl where sell_ts is not null""",
+        *BOOK,
+    ),
     "fills": sql(
         f"""select order_id, ticker, case when sell_ts is not null then 'past' when touch_ts is not null then 'held' else 'open' end state, touch_ts buy_ts,
         {r('case when touch_ts is not null then limit_price end', 'buy_price')}, quantity, sell_ts, {r('case when sell_ts is not null then sell_limit end', 'sell_price')} from fl""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.nearest import nearest_centroid
 from barloom.functions.scalars import cents, in_session, pct_gain
+from barloom.functions.scalars import minute_end as stamp_of_minute
 from barloom.operators import align, calendar, dataset, indicators, kmeans, labels, orders, scoring
 from barloom.params import CATEGORIES
 from barloom.sources import bars as bar_tables
@@ -78,6 +79,14 @@ def quotes_wide(spark: SparkSession, d: str) -> DataFrame:
     return rounded(align.quotes_wide(q, EVENT_TYPES))
 
 
+def minute_end(spark: SparkSession, d: str) -> DataFrame:
+    return fx.quotes(spark, d).select("event_id", stamp_of_minute(F.col("ts")).alias("ts"))
+
+
+def retention(spark: SparkSession, d: str) -> DataFrame:
+    return align.retention(fx.quotes(spark, d, "user_id"), 60, 20).select("event_id", "ticker", "ts")
+
+
 # calendar --------------------------------------------------------------------------------------------------------------
 
 
@@ -126,6 +135,10 @@ def gap_fill(spark: SparkSession, d: str) -> DataFrame:
     return align.gap_fill(fx.minute_bars(spark, d), ticker_grid(spark, d)).select("ticker", "ts", "close", "volume")
 
 
+def wide_merge(spark: SparkSession, d: str) -> DataFrame:
+    return align.wide_merge(aligned(spark, d), EVENT_TYPES, ["close", "volume"])
+
+
 # indicators ------------------------------------------------------------------------------------------------------------
 
 
@@ -186,6 +199,17 @@ def future_close(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dataset.future_close(aligned(spark, d), 2, "day").select("ticker", "ts", "close", "future", "gain"))
 
 
+def future_close_minute(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dataset.future_close(aligned(spark, d), 30, "minute").select("ticker", "ts", "close", "future", "gain"))
+
+
+def all_null_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A month of days has no average of 50; of the short bars that is the only feature that a ticker misses."""
+    daily = fx.daily_short(spark, d)
+    rows = daily.join(indicators.sma_daily(daily, (5, 50)), ["ticker", "date"])
+    return dataset.dropped_features(dataset.feature_min_max(rows, ["close", "volume", "sma5", "sma50"]))
+
+
 def drop_null_rows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dataset.drop_null_rows(_feature_rows(spark, d), SCALED))
 
@@ -239,7 +263,8 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
-    return kmeans.kmeans_fit(_points(spark, d, 2), K)
+    """Two restarts of 100 steps."""
+    return rounded(kmeans.kmeans_fit(_points(spark, d, 2), K).select("run", "ticker", "cluster", F.posexplode("center").alias("dim", "x")))
 
 
 def _assigned(spark: SparkSession, d: str, runs: int = 1) -> DataFrame:
@@ -315,6 +340,22 @@ def fills(spark: SparkSession, d: str) -> DataFrame:
     return rounded(orders.fills(fx.buy_orders(spark, d), fx.order_quotes(spark, d)).withColumn("quantity", F.col("quantity").cast("int")))
 
 
+def sell_touch(spark: SparkSession, d: str) -> DataFrame:
+    """Touched buys become stock with a limit of a fifth above."""
+    bought = orders.buy_touch(fx.buy_orders(spark, d), fx.order_quotes(spark, d)).where("touch_ts is not null")
+    stock = bought.select("order_id", "ticker", F.col("touch_ts").alias("buy_ts"), cents(F.col("limit_price") * 1.2).alias("limit_sell_price"))
+    return rounded(orders.sell_touch(stock, fx.order_quotes(spark, d)))
+
+
+def link_fills(spark: SparkSession, d: str) -> DataFrame:
+    f = orders.fills(fx.buy_orders(spark, d), fx.order_quotes(spark, d))
+    buys = f.where("state <> 'open'").select(F.col("order_id").alias("buy_order_id"), F.col("buy_price").alias("price"), "quantity", F.col("buy_ts").alias("time_filled"))
+    sells = f.where("state = 'past'").select(
+        (F.col("order_id") + 1_000_000_000).alias("sell_order_id"), "ticker", F.col("sell_price"), F.col("sell_ts").alias("sell_time"), F.col("order_id").alias("buy_order_id_link")
+    )
+    return rounded(orders.link_fills(sells, buys).withColumn("quantity", F.col("quantity").cast("int")))
+
+
 def _book(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Open orders and held stock after all fills."""
     o = fx.buy_orders(spark, d)
@@ -371,11 +412,11 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        candles_json, daily_stamp, minute_bars, dedupe_bars, history_summary, average_volume, last_n, roll_features, quotes_wide,
+        candles_json, daily_stamp, minute_bars, dedupe_bars, history_summary, average_volume, last_n, roll_features, quotes_wide, minute_end, retention, wide_merge,
         market_holidays, daily_grid, minute_grid, session_filter, rows_per_session, asof_align, gap_fill,
         diff_high_low, lag_close, day_high_low, spread_feature, features_all,
-        feature_min_max, min_max_scale, future_close, drop_null_rows, chrono_split, rank_thresholds, categorize, training_matrix,
+        feature_min_max, min_max_scale, future_close, future_close_minute, all_null_columns, drop_null_rows, chrono_split, rank_thresholds, categorize, training_matrix,
         kmeans_step, kmeans_fit, assign_clusters, cluster_counts, cluster_mode, label_clusters, best_strong_buys, strong_buy_count, score_latest,
-        usable_tickers, pick_buys, filter_orders, order_touch, fills, total_balance, tradable, sell_decisions, cancel_decisions,
+        usable_tickers, pick_buys, filter_orders, order_touch, sell_touch, fills, link_fills, total_balance, tradable, sell_decisions, cancel_decisions,
     )
 }
