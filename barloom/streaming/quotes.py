@@ -6,6 +6,8 @@ once the watermark has passed them.
 
 from __future__ import annotations
 
+import json
+from bisect import insort
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -16,7 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.nearest import squared_distance
 from barloom.functions.scalars import in_session, mid_price
-from barloom.params import CLOSE_MINUTE, OPEN_MINUTE, Trading
+from barloom.operators.indicators import add_bias, diff_high_low, one_step, select_features
+from barloom.params import CLOSE_MINUTE, LAGS, OPEN_MINUTE, Trading
 
 WATERMARK = "2 minutes"
 
@@ -78,18 +81,67 @@ def gap_fill_stream(bars: DataFrame) -> DataFrame:
     )
 
 
+_BARS = "ticker string, ts timestamp, open double, high double, low double, close double, day_high double, day_low double"
+
+
+def _running(lags: dict[str, int]):
+    reach = max(lags.values())
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State: the last minute (microseconds), the day's extremes so far, and the last closes."""
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts").drop_duplicates("ts", keep="last")
+        last, high, low, closes = (state.get[0], state.get[1], state.get[2], json.loads(state.get[3])) if state.exists else (None, None, None, [])
+        if last is not None:
+            rows = rows[rows["ts"] > pd.Timestamp(last, unit="us")]
+        if len(rows):
+            date = rows["ts"].dt.normalize()
+            if last is not None and pd.Timestamp(last, unit="us").normalize() == date.iloc[0]:
+                first = date == date.iloc[0]
+                rows = rows.assign(_h=rows["high"].where(~first, rows["high"].clip(lower=high)), _l=rows["low"].where(~first, rows["low"].clip(upper=low)))
+            else:
+                rows = rows.assign(_h=rows["high"], _l=rows["low"])
+            rows = rows.assign(day_high=rows["_h"].groupby(date).cummax(), day_low=rows["_l"].groupby(date).cummin())
+            whole = pd.Series([*closes, *rows["close"]], dtype=float)
+            for name, n in lags.items():
+                rows[name] = whole.shift(n).to_numpy()[len(closes) :]
+            end = rows.iloc[-1]
+            state.update((int(end["ts"].value // 1000), float(end["day_high"]), float(end["day_low"]), json.dumps(whole.tolist()[-reach:])))
+            rows["ticker"] = key[0]
+            yield rows[[*(f.split()[0] for f in _BARS.split(", ")), *lags]]
+
+    return run
+
+
+def running_bars(bars: DataFrame, lags: dict[str, int] = LAGS) -> DataFrame:
+    """Minute bars (ticker, ts, open, high, low, close) with date, the day's extremes so far and the closes of n bars before.
+
+    A ticker's state is its last bars' closes and the day's extremes; a bar that is not newer than the last is dropped.
+    """
+    made = bars.groupBy("ticker").applyInPandasWithState(
+        _running(lags), ", ".join([_BARS, *(f"{c} double" for c in lags)]), "last long, high double, low double, closes string", "append", GroupStateTimeout.NoTimeout
+    )
+    # made here, not in Python: an operator that takes whole rows can't follow that one directly
+    return made.withColumn("date", F.to_date("ts"))
+
+
+def features_stream(bars: DataFrame, state: DataFrame) -> DataFrame:
+    """(ticker, ts, date and all features) of minute bars (ticker, ts, open, high, low, close), or of prices (ticker, ts, price).
+
+    state: ``daily_state``, one row for each ticker and date; all indicators are one step from it, by a stream-static join.
+    """
+    if "price" in bars.columns:
+        bars = bars.select("ticker", "ts", *[F.col("price").alias(c) for c in ("open", "high", "low", "close")])
+    rows = running_bars(bars).join(state, ["ticker", "date"], "left")
+    return select_features(add_bias(diff_high_low(one_step(rows))))
+
+
 def score_stream(minutes: DataFrame, state: DataFrame, scaling: DataFrame, centroids: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:
-    """(ticker, ts, close, cluster, label) of each minute bar (ticker, ts, price), from yesterday's daily state.
+    """(ticker, ts, close, cluster, label) of minute bars or prices, from yesterday's daily state.
 
-    Stream-static joins only: the moving averages that the features name are one step from ``state`` (ticker, sumP and
-    emaP_prev columns), scaled by (ticker, feature, min, max), and compared with the ticker's centroids.
+    Any of the features of ``features_stream``, scaled by (ticker, feature, min, max), make the point that is compared
+    with the ticker's centroids. A ticker without a model has no rows; a point with a missing feature has no cluster.
     """
-    rows = minutes.select("ticker", "ts", F.col("price").alias("close")).join(state, "ticker")
-    made = {}
-    for f in features:
-        p = int("".join(filter(str.isdigit, f)) or 0)
-        made[f] = (F.col("close") + F.col(f"sum{p}")) / p if f.startswith("sma") else F.col("close") * (2 / (1 + p)) + F.col(f"{f}_prev") * (1 - 2 / (1 + p)) if f.startswith("ema") else F.col(f)
-    rows = rows.withColumns({k: v for k, v in made.items() if k != "close"})
+    rows = features_stream(minutes, state).select("ticker", "ts", *dict.fromkeys(["close", *features]))
     bounds = scaling.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("min", "max")))).alias("b"))
     model = centroids.groupBy("ticker").agg(F.collect_list(F.struct("cluster", "center")).alias("centers"))
     names = labels.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "label"))).alias("names"))
@@ -97,8 +149,33 @@ def score_stream(minutes: DataFrame, state: DataFrame, scaling: DataFrame, centr
     b = lambda f: F.try_element_at(F.col("b"), F.lit(f))
     scaled = F.array(*[(F.col(f) - b(f)["min"]) / F.nullif(b(f)["max"] - b(f)["min"], F.lit(0.0)) for f in features])
     point = joined.withColumn("features", scaled)
-    best = F.array_min(F.transform("centers", lambda c: F.struct(squared_distance(F.col("features"), c["center"]).alias("d"), c["cluster"].alias("cluster"))))
-    return point.withColumn("cluster", best["cluster"]).select("ticker", "ts", "close", "cluster", F.try_element_at("names", F.col("cluster")).alias("label"))
+    near = F.transform("centers", lambda c: F.struct(squared_distance(F.col("features"), c["center"]).alias("d"), c["cluster"].alias("cluster")))
+    best = F.array_min(F.filter(near, lambda x: x["d"].isNotNull()))
+    return point.withColumn("cluster", best["cluster"]).select("ticker", "ts", "close", "cluster", F.when(F.col("cluster").isNotNull(), F.try_element_at("names", F.col("cluster"))).alias("label"))
+
+
+def _retain(most: int, drop: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State: the times of the rows that are kept, in order (microseconds)."""
+        kept = json.loads(state.get[0]) if state.exists else []
+        gone: list[int] = []
+        for ts in sorted(int(t.value // 1000) for rows in batches for t in rows["ts"]):
+            insort(kept, ts)
+            if len(kept) > most:
+                gone += kept[:drop]
+                del kept[:drop]
+        state.update((json.dumps(kept),))
+        yield pd.DataFrame({"ticker": [key[0]] * len(gone), "ts": pd.to_datetime(pd.Series(gone, dtype="int64"), unit="us")})
+
+    return run
+
+
+def retention_stream(rows: DataFrame, most: int, drop: int) -> DataFrame:
+    """(ticker, ts) of the rows that go: each time a ticker comes to more than ``most`` rows, its oldest ``drop``.
+
+    State is bounded by ``most`` times for each ticker. Whoever keeps the rows deletes what this gives out.
+    """
+    return rows.select("ticker", "ts").groupBy("ticker").applyInPandasWithState(_retain(most, drop), "ticker string, ts timestamp", "kept string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _time_out(minutes: int):

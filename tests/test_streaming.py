@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from conftest import DATA
 
-from barloom.operators import align
+from barloom.operators import align, dataset, indicators, kmeans
 from barloom.sources import fixtures
 from barloom.streaming import quotes as streams
 from pyspark.sql import functions as F
@@ -88,15 +88,75 @@ def test_orders_time_out_unless_filled(spark, tmp_path):
     assert [(r.order_id, r.cancel_ts, r.refund) for r in got if r.order_id < 4] == [(1, at(10), 5.0)]
 
 
-def test_scores_come_from_the_daily_state(spark, tmp_path):
-    path = feed(spark, tmp_path, [[("A", T0, 10.0)], [("A", T0 + timedelta(minutes=1), 20.0), ("Z", T0, 1.0)]], "ticker string, ts timestamp, price double")
+BARS = "ticker string, ts timestamp, open double, high double, low double, close double"
+
+
+@pytest.fixture(scope="module")
+def aligned_days(spark):
+    from barloom.plans import queries
+
+    d = str(DATA / "sf0.001")
+    aligned = queries.aligned(spark, d).where("close is not null and session_no <= 17").cache()
+    return aligned, fixtures.daily_short(spark, d).cache()
+
+
+def as_stream(spark, folder, aligned, sessions_a_file=6):
+    """The aligned bars as files of a few sessions each, in order of time."""
+    for i in range(0, 18, sessions_a_file):
+        part = aligned.where(F.col("session_no").between(i + 1, i + sessions_a_file)).select("ticker", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close")
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/bars")
+        time.sleep(1.1)
+    return spark.readStream.schema(BARS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/bars")
+
+
+def test_streamed_features_equal_batch_features(spark, tmp_path, aligned_days):
+    aligned, daily = aligned_days
+    want = indicators.minute_features(aligned, daily)
+    got = run(spark, streams.features_stream(as_stream(spark, tmp_path, aligned), indicators.daily_state(daily)), str(tmp_path))
+    key = lambda r: (r["ticker"], str(r["ts"])[:19])
+    a, b = ({key(r): r for r in df.collect()} for df in (want, got))
+    assert a.keys() == b.keys() and len(a) > 50_000
+    for k, r in a.items():
+        for f in indicators.FEATURES:
+            x, y = r[f], b[k][f]
+            assert (x is None) == (y is None or y != y), (k, f, x, y)
+            assert x is None or abs(x - y) < 1e-6 * max(1, abs(x)), (k, f, x, y)
+
+
+def test_scores_equal_batch_scores(spark, tmp_path, aligned_days):
+    aligned, daily = aligned_days
+    features = ["close", "close5min", "sma5", "ema10", "boll20", "macd_hist", "rsi", "stochastic_k"]
+    aligned = aligned.where("session_no > 15")
+    rows = indicators.minute_features(aligned, daily, features)
+    scaling = dataset.feature_min_max(rows, features)
+    scaled = dataset.training_matrix(dataset.drop_null_rows(dataset.min_max_scale(rows, scaling, features), features), features, include_label=False)
+    points = scaled.select("ticker", F.col("ts").alias("row_id"), "features", F.lit(0).alias("run"))
+    centers = kmeans.initial_centroids(points, 5).drop("run").cache()
+    names = centers.select("ticker", "cluster", F.concat(F.lit("label "), "cluster").alias("label"))
+    got = run(spark, streams.score_stream(as_stream(spark, tmp_path, aligned), indicators.daily_state(daily), scaling, centers, names, features), str(tmp_path)).cache()
+    want = kmeans.assign_clusters(points.drop("run"), centers, ("ticker",))
+    a = {(r.ticker, str(r.row_id)[:19]): r.cluster for r in want.collect()}
+    b = {(r.ticker, str(r.ts)[:19]): (r.cluster, r.label) for r in got.collect()}
+    assert len(a) > 5_000 and all(b[k] == (c, f"label {c}") for k, c in a.items())
+    assert all(v == (None, None) for k, v in b.items() if k not in a)
+
+
+def test_prices_alone_are_bars_too(spark, tmp_path):
+    path = feed(spark, tmp_path, [[("A", T0, 10.0)], [("A", T0 + timedelta(minutes=1), 20.0), ("Z", T0, 1.0)], [("A", T0, 5.0)]], "ticker string, ts timestamp, price double")
     minutes = spark.readStream.schema("ticker string, ts timestamp, price double").option("maxFilesPerTrigger", 1).parquet(path)
-    state = spark.createDataFrame([("A", 40.0, 10.0)], "ticker string, sum5 double, ema5_prev double")
-    scaling = spark.createDataFrame([("A", "close", 10.0, 20.0), ("A", "sma5", 10.0, 12.0), ("A", "ema5", 10.0, 40 / 3)], "ticker string, feature string, min double, max double")
-    centers = spark.createDataFrame([("A", 0, [0.0, 0.0, 0.0]), ("A", 1, [1.0, 1.0, 1.0])], "ticker string, cluster long, center array<double>")
-    names = spark.createDataFrame([("A", 0, "Sell"), ("A", 1, "Strong Buy")], "ticker string, cluster long, label string")
-    got = run(spark, streams.score_stream(minutes, state, scaling, centers, names, ["close", "sma5", "ema5"]), str(tmp_path))
-    assert sorted((r.close, r.cluster, r.label) for r in got.collect()) == [(10.0, 0, "Sell"), (20.0, 1, "Strong Buy")]
+    days = [("A", (T0 - timedelta(days=9 - i)).date(), 9.0, 11.0, 8.0, 10.0) for i in range(10)]
+    daily = spark.createDataFrame(days, "ticker string, date date, open double, high double, low double, close double")
+    rows = run(spark, streams.features_stream(minutes, indicators.daily_state(daily)), str(tmp_path)).where("ticker = 'A'").orderBy("ts").collect()
+    # the late bar of the first minute is dropped
+    assert [(r.close, r.close1min, r.sma5, r.diff_high_low, r.bias) for r in rows] == [(10.0, None, 10.0, 0.0, 1.0), (20.0, 10.0, 12.0, 0.0, 1.0)]
+
+
+def test_retention_stream(spark, tmp_path):
+    at = lambda i: T0 + timedelta(minutes=i)
+    path = feed(spark, tmp_path, [[("A", at(i)) for i in range(8)], [("A", at(i)) for i in range(8, 17)] + [("B", at(1))], [("A", at(17))]], "ticker string, ts timestamp")
+    rows = spark.readStream.schema("ticker string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    got = run(spark, streams.retention_stream(rows, 10, 5), str(tmp_path)).collect()
+    assert sorted((r.ticker, r.ts) for r in got) == [("A", at(i)) for i in range(10)]
 
 
 def test_retention(spark):
