@@ -1,8 +1,10 @@
 """Calendar, alignment, dataset, clustering, labels, orders and tables on small hand-made frames."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.functions.nearest import nearest_centroid
 from barloom.operators import align, calendar, dataset, kmeans, labels, orders, scoring
@@ -220,3 +222,81 @@ def test_buying(spark):
 def test_future_close_refuses_other_units(spark):
     with pytest.raises(ValueError):
         dataset.future_close(spark.range(1), 1, "week")
+
+
+def test_ranks_are_exact_however_the_pieces_fall(spark):
+    from barloom.operators.ranks import with_rank
+
+    rng = random.Random(5)
+    rows = [("hot", float(rng.randint(0, 400))) for _ in range(3000)] + [("few", 2.0), ("few", 1.0), ("few", None), ("one", None)]
+    df = spark.createDataFrame(rows, "ticker string, x double").repartition(5)
+    for pieces in (2, 7, 128):
+        got = with_rank(df, "ticker", "x", pieces=pieces).collect()
+        assert len(got) == len(rows)
+        for t in ("hot", "few", "one"):
+            own = sorted((r["_i"], r["x"]) for r in got if r["ticker"] == t)
+            assert [i for i, _ in own] == list(range(len(own))) and {r["_n"] for r in got if r["ticker"] == t} == {len(own)}
+            values = [-1.0 if x is None else x for _, x in own]
+            assert values == sorted(values)
+    assert with_rank(df.limit(0), "ticker", "x").count() == 0
+
+
+def test_first_touch_equals_looking_at_every_quote(spark):
+    rng = random.Random(6)
+    at = lambda: datetime(2024, 1, 1) + timedelta(milliseconds=rng.choice((rng.randrange(3 * 86_400_000), rng.randrange(40) * 500)))
+    quotes = [("A", at(), float(rng.randint(1, 99)), float(rng.randint(1, 99))) for _ in range(1500)] + [("B", at(), 50.0, 50.0), ("A", at(), None, None)]
+    placed = [("A" if i % 9 else "C", at(), i, rng.choice((0.5, 1.0, 2.0, 3.0, 60.0)), 1) for i in range(300)] + [("B", datetime(2024, 1, 1), 300, 50.0, 1), ("B", datetime(2024, 2, 1), 301, 50.0, 1), ("A", at(), 302, None, 1), ("A", None, 303, 1.0, 1)]
+    q = spark.createDataFrame(quotes, "ticker string, ts timestamp_ntz, bid double, ask double")
+    o = spark.createDataFrame(placed, "ticker string, placed_ts timestamp_ntz, order_id long, limit_price double, quantity int")
+    got = {r.order_id: r.touch_ts for r in orders.buy_touch(o, q).collect()}
+    want = {i: min((ts for qt, ts, bid, _ in quotes if since and limit and qt == t and bid is not None and ts >= since and bid <= limit), default=None) for t, since, i, limit, _ in placed}
+    assert got == want
+    stock = o.withColumnsRenamed({"placed_ts": "buy_ts", "limit_price": "limit_sell_price"}).withColumn("limit_sell_price", F.when(F.col("order_id") == 5, 0.0).otherwise(100 - F.col("limit_sell_price")))
+    got = {r.order_id: r.touch_ts for r in orders.sell_touch(stock, q).collect()}
+    want = {i: min((ts for qt, ts, _, ask in quotes if since and limit and i != 5 and qt == t and ask is not None and ts >= since and ask >= 100 - limit), default=None) for t, since, i, limit, _ in placed}
+    assert got == want
+
+
+def test_no_order_meets_all_quotes_of_its_ticker(spark):
+    """One ticker, one day: the joins hand on a row for each order, not for each pair."""
+    ticker = F.concat(F.lit("A"), F.floor(F.col("id") / 1_000_000).cast("string")).alias("ticker")
+    o = spark.range(2000).select(ticker, F.expr("timestamp_ntz '2024-01-02 10:00:00' + make_dt_interval(0, 0, 0, id)").alias("placed_ts"), F.col("id").alias("order_id"), F.lit(1.0).alias("limit_price"))
+    q = spark.range(20_000).select(ticker, F.expr("timestamp_ntz '2024-01-02 09:00:00' + make_dt_interval(0, 0, 0, id)").alias("ts"), F.when(F.col("id") == 15_000, 1.0).otherwise(5.0).alias("bid"))
+    touched = orders.buy_touch(o, q)
+    assert touched.where("touch_ts = timestamp_ntz '2024-01-02 13:10:00'").count() == 2000
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_orders_over_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/book;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    schema = "buy_order_id string, ticker string, price double, quantity int, time_placed timestamp, time_filled timestamp, note string"
+    rows = [(f" {i} ", "A", 1.005 + i, i, datetime(2024, 1, 1), None, "x") for i in range(3)]
+    fills = spark.createDataFrame(rows, schema)
+    for _ in range(2):  # appends
+        order_tables.write_order_log(fills, url, "buys", order_tables.BUYS, driver)
+    log = spark.read.jdbc(url, "buys", properties=driver)
+    assert [c.lower() for c in log.columns] == order_tables.BUYS and log.count() == 6
+    open_sells = spark.createDataFrame([(" s1 ", "A", 2.34567, datetime(2024, 1, 1).date(), " 1"), ("s2", "B", 3.0, None, None)], "sell_order_id string, ticker string, price double, date date, buy_order_id_link string")
+    order_tables.write_order_log(open_sells, url, "open_sells", order_tables.OPEN_SELLS, driver)
+    got = sorted(order_tables.read_open_orders(spark, url, "open_sells", driver).select("sell_order_id", "price", "buy_order_id_link").collect())
+    assert [tuple(r) for r in got] == [("s1", 2.35, "1"), ("s2", 3.0, None)]
+
+
+def test_wide_merge_and_links(spark):
+    rows = spark.createDataFrame([(1, "A", 1.0, 5), (1, "B", 2.0, 6), (2, "A", 3.0, 7), (2, "C", 9.0, 9)], "ts int, ticker string, close double, volume int")
+    one = align.wide_merge(rows, ["A", "B"], ["close"])
+    assert one.columns == ["ts", "A_close", "B_close"] and sorted(tuple(r) for r in one.collect()) == [(1, 1.0, 2.0), (2, 3.0, None)]
+    assert align.wide_merge(rows, ["A", "B"], ["close", "volume"]).columns == ["ts", "A_close", "A_volume", "B_close", "B_volume"]
+    sells = spark.createDataFrame([(9, 1), (8, 7), (7, None)], "sell_order_id int, buy_order_id_link int")
+    buys = spark.createDataFrame([(1, 5.0), (2, 6.0)], "buy_order_id int, price double")
+    assert [tuple(r) for r in orders.link_fills(sells, buys).collect()] == [(9, 1, 1, 5.0)]
+
+
+def test_a_cluster_needs_a_checkpoint_folder():
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        kmeans._checkpointed(df)
