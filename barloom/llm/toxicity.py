@@ -182,7 +182,8 @@ class Model:
         idf = np.log((documents + 1) / (frequency + 1)) + 1e-3
         counts = [self.counts(text) for _, text, _ in examples]
         y = np.array([x[2] for x in examples], dtype=np.int64)
-        self.blank = (float(y.sum()) + 0.5) / (len(y) + 1)
+        # without examples nothing is known, and nothing counts as toxic
+        self.blank = (float(y.sum()) + 0.1) / (len(y) + 1)
         has = [j for j, (t, _) in enumerate(counts) if len(t)]
         self.ids = [examples[j][0] for j in has]
         counts, y = [counts[j] for j in has], y[has]
