@@ -112,16 +112,22 @@ def allocate(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[int, int]
     """(mask, threshold) of each partition that is probed, at the least estimated cost for n fingerprints."""
     n = max(n, 1)  # without rows every choice would cost the same
     best: tuple[float, list[tuple[int, int]]] | None = None
-    i, j = np.triu_indices(len(sample), 1)
-    differ = sample[i] ^ sample[j]
+
+    def apart(mask: int) -> np.ndarray:
+        """How many pairs of the sample differ in 0, 1, ... bits of the mask; a row of pairs at a time."""
+        count = np.zeros(65, dtype=np.int64)
+        for x in range(len(sample) - 1):
+            count += np.bincount(np.bitwise_count((sample[x + 1 :] ^ sample[x]) & np.uint64(mask)), minlength=65)
+        return count
+
     for m in range(2, tau + 2):
         masks = group_bits(sample, m) if len(sample) > 1 else group_bits(np.arange(2, dtype=np.uint64), m)
         costs = []
         for mask in masks:
             width = mask.bit_count()
             if len(sample) > 1:
-                apart = np.bitwise_count(differ & np.uint64(mask))
-                seen = np.cumsum(np.bincount(apart, minlength=width + 1)) / len(apart)
+                count = apart(mask)
+                seen = np.cumsum(count) / count.sum()
             else:
                 seen = np.zeros(width + 1)
             ball = np.cumsum([comb(width, t) for t in range(width + 1)]).astype(float)

@@ -80,6 +80,7 @@ def relevance(counts: list[np.ndarray], labels: np.ndarray, size: int, floor: fl
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, one range after the other, and the number of the range that each comes from."""
+    begin = begin.astype(np.int64)
     n = end - begin
     which = np.repeat(np.arange(len(n)), n)
     return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which], which
@@ -94,18 +95,21 @@ class Index:
         self.order = np.lexsort((np.arange(len(vectors)), heaviest))
         self.n, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
         sizes = np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64)
-        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, dtype=np.int64)])
-        weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
-        place = np.repeat(np.arange(self.n), sizes)
-        by = np.lexsort((place, term))
-        self.place, self.weight = place[by].astype(np.int32), weight[by]
-        lists = term[by] * max(1, self.blocks) + self.place // block
-        start = np.flatnonzero(np.diff(lists, prepend=-1))
+        key = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        key *= max(1, self.n)
+        key += np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        by = np.argsort(key)
+        key = key[by]
+        self.weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])[by]
+        del by
+        self.place = (key % max(1, self.n)).astype(np.int32)
         # one row for each block that a term occurs in: the block, its postings and their greatest weight
-        self.begin = np.append(start, len(lists))
-        self.at = (lists[start] % max(1, self.blocks)).astype(np.int32)
+        key //= max(1, self.n)
+        start = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(self.place // block, prepend=-1) != 0))
+        self.begin = np.append(start, len(key)).astype(np.int32)
+        self.at = self.place[start] // block
         self.highest = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.of_term = np.searchsorted(lists[start] // max(1, self.blocks), np.arange(terms + 1))
+        self.of_term = np.searchsorted(key[start], np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0, ties by number, and the cosines. without: an example left out."""
@@ -205,7 +209,8 @@ class Model:
         """Numbers of the text's terms, in order, and how often each occurs."""
         get = self.number.get
         found = np.array([i for t in terms_of(text) if (i := get(t)) is not None], dtype=np.int64)
-        return np.unique(found, return_counts=True)
+        numbers, times = np.unique(found, return_counts=True)
+        return numbers.astype(np.int32), times.astype(np.int32)
 
     def score(self, text: bytes) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score and, as evidence, the nearest examples: (doc_id, cosine, label)."""
@@ -243,6 +248,7 @@ def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(count[held], rows))], names=["term", "n"])
 
     found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     term, n = found["term"].to_numpy(), found["n"].to_numpy()
     frequency = np.zeros(len(terms), dtype=np.int64)
     frequency[term[term >= 0]] = n[term >= 0]
