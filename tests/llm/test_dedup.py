@@ -271,6 +271,25 @@ def test_embedding_groups(spark, monkeypatch, block):
     assert all(got[i].kept == (label[i] == i) for i in ids)
 
 
+def test_embedding_recall_at_the_given_size(spark):
+    """Planted pairs of 64 dimensions, at known cosines: the tables given hold no link at all."""
+    rng = np.random.default_rng(12)
+    bands, each = ((0.98, 0.985), (0.985, 0.99), (0.99, 0.995), (0.995, 1.0), (0.97, 0.9799)), 600
+    rows, band = [], {}
+    for b, (lo, hi) in enumerate(bands):
+        for c in rng.uniform(lo, hi, each):
+            x, y = rng.normal(size=(2, 64))
+            x /= np.linalg.norm(x)
+            y -= (y @ x) * x
+            y = c * x + (1 - c * c) ** 0.5 * y / np.linalg.norm(y)
+            band[len(rows)] = b
+            rows += [(len(rows), (x * rng.uniform(0.1, 9)).tolist(), 1), (len(rows) + 1, y.tolist(), 1)]
+    got = {r.vec_id: r.n_links for r in embeddings.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    recall = [np.mean([got[i] > 0 for i in band if band[i] == b]) for b in range(len(bands))]
+    print("recall by band", dict(zip(bands, recall, strict=True)))
+    assert recall[-1] == 0 and min(recall[:-1]) >= 0.98
+
+
 def test_embedding_edge_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embeddings.query(spark.createDataFrame([], schema)).count() == 0
