@@ -143,3 +143,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
             left.append(x)
             right.append(y)
     return left, right
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """The same by other links: each node with the smallest that it reaches, so that groups found twice have equal links."""
+    left, right = forest(a, b)
+    least: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := least.get(x, x)) != x:
+            least[x] = x = least.get(p, p)
+        return x
+
+    for x, y in zip(left, right, strict=True):
+        p, q = root(x), root(y)
+        least[max(p, q)] = min(p, q)
+    nodes = sorted({*left, *right})
+    pairs = [(x, r) for x in nodes if (r := root(x)) != x]
+    return [x for x, _ in pairs], [r for _, r in pairs]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, checkpointed, forest, in_cells, pairs_in_groups, unused, whole_groups
+from barloom.llm.common import WORD, checkpointed, in_cells, pairs_in_groups, stars, unused, whole_groups
 from barloom.llm.components import connected_components
 from barloom.llm.labelled import least_hashed
 
@@ -32,6 +32,8 @@ STAGE_SHINGLE, STAGE_TAU, STAGE_SIMILARITY = 5, 12, 0.8
 BANDS, BAND = 12, 4
 #: The first part of the buckets of bands, after those of the fingerprint's partitions.
 BAND_PART = 64
+#: Linked texts whose names (some 60 bytes each) are sent to every task to find them; with more, all texts are shuffled for that.
+SENT = 100_000
 #: Fingerprints that the partitions and thresholds are fitted on.
 SAMPLE = 2048
 #: Rows of a bucket that one task takes whole; larger buckets go to cells.
@@ -225,7 +227,7 @@ def _verify(tau: int, whole: bool):
                 # what was found breadth first says nothing of the other pairs
                 searched = np.concatenate([*joined, np.zeros(0, dtype=bool)])
                 thin[: len(searched)] |= searched
-            x, y = forest(rep[i[thin]], rep[j[thin]])
+            x, y = stars(rep[i[thin]], rep[j[thin]])
             a, b = (np.concatenate((np.array(u, dtype=np.int64), rep[v[~thin]])) for u, v in ((x, i), (y, j)))
             dense = np.arange(len(a)) < len(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(dense)], names=["a", "b", "dense"])
@@ -370,8 +372,8 @@ def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE
     texts = checkpointed(marked.groupBy("fp", "same", "bands").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.count_distinct("id").alias("ids")))
     nodes = texts.withColumn("rep", F.monotonically_increasing_id())
     links = checkpointed(fingerprint_links(nodes.select("fp", "rep", "bands"), tau, whole=True).distinct())
-    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = checkpointed(shingle_sets(nodes.join(linked, "rep", "left_semi"), docs, width))
+    linked = checkpointed(nodes.select("rep", "first", "same").join(links.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"))
+    sets = checkpointed(shingle_sets(F.broadcast(linked) if linked.count() <= SENT else linked, docs, width))
     sparse = jaccard_links(links.where("not dense"), sets, similarity)
     dense = jaccard_groups(connected_components(links.where("dense")), sets, similarity)
     classes = connected_components(sparse.unionByName(dense))
