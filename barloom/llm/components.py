@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by large-star and small-star steps until they are a forest, then by doubling."""
 
 from __future__ import annotations
 
@@ -20,27 +20,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _most_above(edges: DataFrame) -> int:
+    """The most smaller neighbours that a node has; 0 without links."""
+    return edges.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node it reaches.
 
-    Links are pairs of longs; order, repeats and loops don't matter, and a pair with a null is no link. Each round
-    points every node at the smallest neighbour, so their number grows with the logarithm of a component's size. A
-    round's edges go through a checkpoint, which cuts the lineage and survives lost executors.
+    Links are pairs of longs; order, repeats and loops don't matter, and a pair with a null is no link. Each round of
+    stars points every node at the smallest neighbour. Once no node has more than one smaller neighbour, the links are
+    a forest with the smallest node of each tree at its root, and one join a round halves its depth. The number of
+    rounds grows with the logarithm of a component's size. A round's edges go through a checkpoint, which cuts the
+    lineage and survives lost executors.
     """
     edges = checkpointed(
         links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
         .where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
         .distinct()
     )
-    state = _state(edges)
-    while state[0]:
+    while _most_above(edges) > 1:
         edges = checkpointed(_small_star(_large_star(edges)))
-        before, state = state, _state(edges)
-        if state == before:
-            break
+    moved = True
+    while moved:
+        parent = edges.select(F.col("a").alias("b"), F.col("b").alias("above"))
+        edges = checkpointed(edges.select("a", "b").join(parent, "b", "left").select("a", F.coalesce("above", "b").alias("b"), "above"))
+        moved = not edges.where("above is not null").isEmpty()
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
