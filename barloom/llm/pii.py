@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, in DataFrame functions only.
 
 Found and validated: payment card numbers (Luhn), IPv4 addresses, social security numbers, phone numbers of ten digits,
-calendar dates and e-mail addresses. Each is permuted among the values of its own kind and way of writing under a key, so
+calendar dates and e-mail addresses (local parts of up to 64 characters and domains of up to 127 labels, as mail allows).
+Each is permuted among the values of its own kind and way of writing under a key, so
 the same value gets the same pseudonym in every document, two values that are written alike never share one, and a
 pseudonym is as valid as what it stands for. A value is split into two parts that take turns in being shifted by a keyed
 hash of the other one (mixed radix: the shift is modulo the number of values that the part can have). What fails its
@@ -10,7 +11,9 @@ validation stays. IBANs, IPv6 addresses and phone numbers of other lengths are n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import unused
@@ -19,8 +22,9 @@ ROUNDS = 8
 #: The session's setting that holds the secret, and what stands for it where none is set (tests and examples).
 SETTING, EXAMPLE_KEY = "spark.barloom.pseudonymKey", "pseudonym-key"
 
-#: Patterns of each kind. A value neither begins nor ends inside a word or a longer number.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
+#: Patterns of each kind. A value neither begins nor ends inside a word or a longer number. Groups repeat a bounded number
+#: of times: the engine's stack grows with each turn of a group, and a text may be made of nothing else.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]+\.){1,127}\p{L}{2,}"
 PHONE = r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2}[2-9]\d{6})(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\p{N})"
@@ -205,30 +209,40 @@ def pseudonym(value: Column, key: Column) -> Column:
     )
 
 
+def _hidden(spark: SparkSession, key: str) -> Column:
+    """The key as the only row of a table; a literal would stand in the plan."""
+    return spark.createDataFrame([(key,)], "secret string").scalar()
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with the values in ``text`` replaced and ``n_chars`` (if there is one) counted anew.
 
     count: name of a long column to add, with the number of values that changed. Whole texts, whatever their length. A
     null text stays null with 0 changed; repeated rows stay; columns of any name stay as they are. The key decides the
-    pseudonyms and nothing else does, so tables that are processed apart stay linked.
+    pseudonyms and nothing else does, so tables that are processed apart stay linked. It comes from a table of one row, so
+    that no plan, page or log of the session shows it.
     """
-    found, pairs, new_text = unused(docs, "found", "pairs", "new_text")
+    found, pairs, new_text, secret = unused(docs, "found", "pairs", "new_text", "secret")
+    docs_columns, docs = docs.columns, docs.withColumn(secret, _hidden(docs.sparkSession, key))
     own = F.col(f"`{text}`")
     some = F.when(own.rlike("[0-9@]"), F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn(found, F.coalesce(some, F.array().cast("array<string>")))
-    fresh = F.transform(found, lambda v: F.struct(v.alias("old"), F.coalesce(pseudonym(v, F.lit(key)), v).alias("new")))
+    fresh = F.transform(found, lambda v: F.struct(v.alias("old"), F.coalesce(pseudonym(v, F.col(secret)), v).alias("new")))
     marked = marked.withColumn(pairs, F.when(F.size(found) > 0, fresh))
     values = F.array_append(F.transform(pairs, lambda p: p["new"]), F.lit(""))
     rebuilt = F.array_join(F.flatten(F.zip_with(F.split(own, ANY, -1), values, lambda a, b: F.array(a, b))), "")
     out = marked.withColumn(new_text, F.when(F.col(pairs).isNull(), own).otherwise(rebuilt))
     changed = F.coalesce(F.size(F.filter(pairs, lambda p: p["new"] != p["old"])), F.lit(0)).cast("long")
-    columns = [F.col(new_text).alias(c) if c == text else F.length(new_text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(new_text).alias(c) if c == text else F.length(new_text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs_columns]
     return out.select(*columns, *([changed.alias(count)] if count else []))
 
 
 def session_key(docs: DataFrame) -> str:
-    """The secret that the session holds; a run without one is an example, whose pseudonyms anyone can undo."""
-    return docs.sparkSession.conf.get(SETTING, EXAMPLE_KEY)
+    """The secret that the session holds. A run without one is an example, whose pseudonyms anyone can undo, and warns."""
+    key = docs.sparkSession.conf.get(SETTING, None)
+    if key is None:
+        warnings.warn(f"{SETTING} is not set: pseudonyms are made with a public example key and hide nothing", stacklevel=2)
+    return EXAMPLE_KEY if key is None else key
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -393,6 +393,38 @@ def test_pseudonyms_run_in_the_engine_alone(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("size", [10_000, 1_000_000, 10_000_000])
+def test_hostile_texts_neither_grow_the_stack_nor_the_time(spark, size):
+    """Runs of what an address, a number or a date is made of, with and without a valid end, around values that must go."""
+    from pyspark.sql import functions as F
+
+    runs = ["x@" + "a." * (size // 2), "x@" + "ab." * (size // 3) + "org", "a" * size + "@x.org", "a.b@" * (size // 4), "1" * size, "1.2." * (size // 4), "123-" * (size // 4), "(555) " * (size // 6), "é@" + "-" * size]
+    runs = runs if size < 5_000_000 else runs[:2]
+    df = spark.createDataFrame([(i, f"write to ann@x.org, {r} or bob@x.org") for i, r in enumerate(runs)], TEXTS)
+    texts = pii.pseudonymised(df, KEY).select("doc_id", F.substring("text", 1, 20).alias("head"), F.substring("text", -15, 15).alias("tail"), F.length("text").alias("n")).collect()
+    assert len(texts) == len(runs)
+    for r in texts:
+        assert r.head.startswith(f"write to {plain_local('ann', KEY)}@x.org")
+        assert r.tail.endswith(f" or {plain_local('bob', KEY)}@x.org") and r.n == len(runs[r.doc_id]) + len("write to ann@x.org,  or bob@x.org")
+
+
+def test_addresses_are_bounded_as_mail_is(spark):
+    found = {"l" * 64 + "@x.org": True, "l" * 65 + "@x.org": False, "x@" + "a." * 126 + "org": True}
+    df = spark.createDataFrame(list(enumerate(found)), TEXTS)
+    got = pii.query(df).collect()
+    assert [r.n_replaced for r in sorted(got, key=lambda r: r.doc_id)] == [int(v) for v in found.values()]
+
+
+def test_the_key_is_in_no_plan_and_its_absence_is_told(spark):
+    df = spark.createDataFrame([(1, "ann@x.org 123-45-6789")], TEXTS)
+    made = pii.pseudonymised(df, "a-secret-key")
+    assert made.first().text == f"{plain_local('ann', 'a-secret-key')}@x.org {plain_ssn('123-45-6789', 'a-secret-key')}"
+    for plan in (made._jdf.queryExecution().toString(), made._jdf.queryExecution().explainString(made._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))):
+        assert "a-secret-key" not in plan
+    with pytest.warns(UserWarning, match="public example key"):
+        pii.session_key(df)
+
+
 # classifiers -----------------------------------------------------------------------------------------------------------
 
 
