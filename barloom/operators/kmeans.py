@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.nearest import nearest_centroid
+from barloom.sources.shared import checkpointed
 
 KEYS = ("run", "ticker")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """In the folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs in this process."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def restarts(points: DataFrame, runs: int) -> DataFrame:
     """points once for each restart, with ``run`` from 0."""
     return points.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
@@ -64,10 +49,10 @@ def kmeans_fit(points: DataFrame, k: int = 100, iterations: int = 100, seed: str
     points: (run, ticker, features, key). They and each step's centers go through a checkpoint, so a step reads points
     that are made and shuffles partial sums of centers alone.
     """
-    points = _checkpointed(points.select(*KEYS, "features", key))
-    centers = _checkpointed(initial_centroids(points, k, seed, key))
+    points = checkpointed(points.select(*KEYS, "features", key))
+    centers = checkpointed(initial_centroids(points, k, seed, key))
     for step in range(1, iterations + 1):
-        after = _checkpointed(kmeans_step(points, centers))
+        after = checkpointed(kmeans_step(points, centers))
         still = step % LOOK == 0 and centers.join(after.withColumnRenamed("center", "_new"), [*KEYS, "cluster"], "left").where("_new is null or _new <> center").isEmpty()
         centers = after
         if still:

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import json
 from bisect import insort
-from collections.abc import Iterator
-from datetime import timedelta
+from collections.abc import Callable, Iterable, Iterator
+from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from barloom.functions.nearest import squared_distance
 from barloom.functions.scalars import in_session, mid_price
+from barloom.operators.calendar import market_holidays
 from barloom.operators.indicators import add_bias, diff_high_low, one_step, select_features
 from barloom.params import CLOSE_MINUTE, LAGS, OPEN_MINUTE, Trading
 
@@ -45,40 +48,126 @@ def minute_bars_stream(prices: DataFrame, watermark: str = WATERMARK) -> DataFra
     return bars.select("ticker", F.col("window.end").alias("ts"), "price")
 
 
-def _minutes_between(last: pd.Timestamp, now: pd.Timestamp) -> list[pd.Timestamp]:
-    """Session minutes after last and before now."""
-    out = []
-    for day in pd.date_range(last.normalize(), now.normalize(), freq="D"):
-        if day.weekday() < 5:
-            begin, end = day + timedelta(minutes=OPEN_MINUTE), day + timedelta(minutes=CLOSE_MINUTE)
-            out += list(pd.date_range(max(begin, last + timedelta(minutes=1)), min(end, now - timedelta(minutes=1)), freq="min"))
-    return out
+def _on_timers(rows: DataFrame) -> DataFrame:
+    """Timers and list states are kept in RocksDB only."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows
 
 
-def _fill(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("ts").drop_duplicates("ts", keep="last")
-    last, price = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, None)
-    out: list[tuple] = []
-    for ts, now in zip(rows["ts"], rows["price"], strict=True):
-        if last is not None and ts <= last:
-            continue
-        if last is not None:
-            out += [(key[0], m, price, True) for m in _minutes_between(last, ts)]
-        out.append((key[0], ts, now, False))
-        last, price = ts, now
-    if last is not None:
-        state.update((int(last.value // 1000), float(price)))
-    yield pd.DataFrame(out, columns=["ticker", "ts", "price", "filled"])
+MINUTE = 60_000_000  # microseconds
+DAY = 24 * 60 * MINUTE
+
+
+class Sessions:
+    """Session minutes in microseconds since the epoch: 04:00 to 17:00 of weekdays that are no holiday."""
+
+    def __init__(self, holidays: Iterable[date]):
+        self.closed = {(d - date(1970, 1, 1)).days for d in holidays}
+
+    def is_open(self, day: int) -> bool:
+        return (day + 3) % 7 < 5 and day not in self.closed
+
+    def on_grid(self, at: int) -> bool:
+        day, rest = divmod(at, DAY)
+        return rest % MINUTE == 0 and OPEN_MINUTE <= rest // MINUTE <= CLOSE_MINUTE and self.is_open(day)
+
+    def after(self, at: int) -> int:
+        """The first session minute after a time."""
+        day, rest = divmod(at, DAY)
+        minute = max(rest // MINUTE + 1, OPEN_MINUTE)
+        if minute > CLOSE_MINUTE or not self.is_open(day):
+            day, minute = day + 1, OPEN_MINUTE
+            while not self.is_open(day):
+                day += 1
+        return day * DAY + minute * MINUTE
+
+    def between(self, after: int, until: int) -> np.ndarray:
+        """Session minutes after a time and up to another, the latter included."""
+        days = [d for d in range(after // DAY, until // DAY + 1) if self.is_open(d)]
+        found = [np.arange(max(d * DAY + OPEN_MINUTE * MINUTE, (after // MINUTE + 1) * MINUTE), min(d * DAY + CLOSE_MINUTE * MINUTE, until) + 1, MINUTE, dtype=np.int64) for d in days]
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
 
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
 
-def gap_fill_stream(bars: DataFrame) -> DataFrame:
-    """Minute bars (ticker, ts, price) with the session's missing minutes at the last price; ``filled`` marks those.
 
-    A ticker's state is its last minute and price. A minute that was given out is never given again.
+class _GapFill(StatefulProcessor):
+    """State of a ticker: up to which time it has been given out (microseconds), and the last price."""
+
+    def __init__(self, sessions: Sessions):
+        self.sessions = sessions
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "upto long, price double")
+
+    def _out(self, ticker: str, parts: list[tuple[np.ndarray, float, bool]]) -> pd.DataFrame:
+        n = [len(m) for m, _, _ in parts]
+        at = np.concatenate([m for m, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+        return pd.DataFrame(
+            {
+                "ticker": [ticker] * len(at),
+                "ts": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"),
+                "price": np.repeat([float(p) for _, p, _ in parts], n),
+                "filled": np.repeat([f for _, _, f in parts], n).astype(bool),
+            }
+        )
+
+    def _wake_up(self, upto: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(self.sessions.after(upto) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        bars = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable").drop_duplicates("ts", keep="last")
+        upto, price = self.last.get() if self.last.exists() else (None, None)
+        parts = []
+        for at, now in zip(_micros(bars["ts"]), bars["price"], strict=True):
+            if upto is not None:
+                if at <= upto:
+                    continue
+                parts.append((self.sessions.between(upto, at - 1), price, True))
+            if self.sessions.on_grid(at):
+                parts.append((np.array([at], dtype=np.int64), now, False))
+            upto, price = at, now
+        self.last.update((upto, float(price)))
+        self._wake_up(upto)
+        yield self._out(key[0], parts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """Bars up to the watermark can't come any more: what is missing up to there is filled."""
+        upto, price = self.last.get()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        minutes = self.sessions.between(upto, now)
+        if len(minutes):
+            upto = int(minutes[-1])
+            self.last.update((upto, price))
+        self._wake_up(upto)
+        yield self._out(key[0], [(minutes, price, True)])
+
+    def close(self) -> None:
+        pass
+
+
+def all_holidays(spark: SparkSession, start: str = "1970-01-01", end: str = "2100-12-31") -> DataFrame:
+    """(date) of the market's holidays, nine a year."""
+    return market_holidays(spark.range(1).select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))).select("date")
+
+
+def gap_fill_stream(bars: DataFrame, holidays: DataFrame | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """Minute bars (ticker, ts, price) of the session with its missing minutes at the last price; ``filled`` marks those.
+
+    A minute is filled when a later bar of the ticker comes or else when the watermark passes it, whichever is first, so
+    a ticker without quotes has its price for the current minute. Weekends and holidays (date; by default all that the
+    market's rules give) have no minutes. Bars outside of the session hand on their price and are not given out. A
+    ticker's state is one time and one price; a minute that was given out is never given again. A bar at or before the
+    watermark is late and dropped. Collects the holidays, nine a year.
     """
-    return bars.groupBy("ticker").applyInPandasWithState(
-        _fill, "ticker string, ts timestamp, price double, filled boolean", "last long, price double", "append", GroupStateTimeout.NoTimeout
-    )
+    days = all_holidays(bars.sparkSession) if holidays is None else holidays
+    sessions = Sessions(r.date for r in days.select("date").distinct().collect())
+    marked = _on_timers(bars.select("ticker", "ts", "price").withWatermark("ts", watermark))
+    return marked.groupBy("ticker").transformWithStateInPandas(_GapFill(sessions), "ticker string, ts timestamp, price double, filled boolean", "append", "eventTime")
 
 
 _BARS = "ticker string, ts timestamp, open double, high double, low double, close double, day_high double, day_low double"
@@ -154,63 +243,136 @@ def score_stream(minutes: DataFrame, state: DataFrame, scaling: DataFrame, centr
     return point.withColumn("cluster", best["cluster"]).select("ticker", "ts", "close", "cluster", F.when(F.col("cluster").isNotNull(), F.try_element_at("names", F.col("cluster"))).alias("label"))
 
 
-def _retain(most: int, drop: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State: the times of the rows that are kept, in order (microseconds)."""
-        kept = json.loads(state.get[0]) if state.exists else []
-        gone: list[int] = []
-        for ts in sorted(int(t.value // 1000) for rows in batches for t in rows["ts"]):
-            insort(kept, ts)
-            if len(kept) > most:
-                gone += kept[:drop]
-                del kept[:drop]
-        state.update((json.dumps(kept),))
-        yield pd.DataFrame({"ticker": [key[0]] * len(gone), "ts": pd.to_datetime(pd.Series(gone, dtype="int64"), unit="us")})
+def picks_by_minute(scores: DataFrame, thresholds: DataFrame, total: float, trading: Trading = Trading()) -> DataFrame:
+    """(ts, ticker, t_last) to buy in each minute of scores (ticker, ts, label): ``pick_buys`` minute by minute."""
+    last = thresholds.groupBy("ticker").agg(F.max_by("t", "i").alias("t_last"))
+    strong = scores.where("label = 'Strong Buy'").select("ts", "ticker").join(last, "ticker")
+    ranked = strong.withColumn("_r", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("t_last"), "ticker")))
+    return ranked.where(F.col("_r") <= trading.number_of_buys(total)).select("ts", "ticker", "t_last")
 
-    return run
 
+def picks_sink(path: str, thresholds: DataFrame, total: float, trading: Trading = Trading()) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on ``score_stream``: each batch's picks go to a folder of its own below ``path``, named by the
+    batch's number, and replace what is there. A batch that is run again after a failure leaves what it left before.
 
-def retention_stream(rows: DataFrame, most: int, drop: int) -> DataFrame:
-    """(ticker, ts) of the rows that go: each time a ticker comes to more than ``most`` rows, its oldest ``drop``.
+    A minute's scores come in one batch, as those of ``minute_bars_stream`` do.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        picks_by_minute(batch, thresholds, total, trading).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+class _Retention(StatefulProcessor):
+    """State of a ticker: its kept rows as a list that grows by appending, their number and newest time. Only a ticker that
+    comes to too many rows has its list read and written anew."""
+
+    def __init__(self, most: int, drop: int, idle: timedelta):
+        self.most, self.drop, self.idle_ms = most, drop, int(idle.total_seconds() * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "ts long, row_id long")
+        self.count = handle.getValueState("count", "n long, newest long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        new = pd.concat(list(rows), ignore_index=True)
+        come = sorted(zip(_micros(new["ts"]), new["row_id"].tolist(), strict=True))
+        n, newest = self.count.get() if self.count.exists() else (0, come[-1][0])
+        gone: list[tuple[int, int]] = []
+        if n + len(come) <= self.most:
+            self.kept.appendList(come)
+            n += len(come)
+        else:
+            held = sorted(tuple(r) for r in self.kept.get()) if n else []
+            for row in come:
+                insort(held, row)
+                if len(held) > self.most:
+                    gone += held[: self.drop]
+                    del held[: self.drop]
+            self.kept.put(held)
+            n = len(held)
+        newest = max(newest, come[-1][0])
+        self.count.update((n, newest))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        both = [(*r, False) for r in come] + [(*r, True) for r in gone]
+        yield pd.DataFrame(
+            {
+                "ticker": [key[0]] * len(both),
+                "ts": pd.to_datetime(pd.Series([b[0] for b in both], dtype="int64"), unit="us"),
+                "row_id": pd.Series([b[1] for b in both], dtype="int64"),
+                "gone": pd.Series([b[2] for b in both], dtype=bool),
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.kept.clear()
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    State is bounded by ``most`` times for each ticker. Whoever keeps the rows deletes what this gives out.
+
+def retention_stream(rows: DataFrame, most: int, drop: int, idle: timedelta = timedelta(days=90), watermark: str = "1 hour") -> DataFrame:
+    """(ticker, ts, row_id, gone): what comes into the kept table and what leaves it, from rows (ticker, ts, row_id).
+
+    Each time a ticker comes to more than ``most`` rows, its oldest ``drop`` go (by ts, then row_id). State is ``most``
+    pairs of numbers for each ticker, and goes where a ticker has had no rows for ``idle`` of event time: its rows then
+    stay in the table, and it is counted anew. Rows behind the watermark are dropped. ``kept_rows`` is the table.
     """
-    return rows.select("ticker", "ts").groupBy("ticker").applyInPandasWithState(_retain(most, drop), "ticker string, ts timestamp", "kept string", "append", GroupStateTimeout.NoTimeout)
+    marked = _on_timers(rows.select("ticker", "ts", F.col("row_id").cast("long").alias("row_id")).withWatermark("ts", watermark))
+    return marked.groupBy("ticker").transformWithStateInPandas(_Retention(most, drop, idle), "ticker string, ts timestamp, row_id long, gone boolean", "append", "eventTime")
 
 
-def _time_out(minutes: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State: when the order was placed (microseconds), its refund, and whether it is done with."""
-        placed, refund, done = state.get if state.exists else (None, 0.0, False)
-        if state.hasTimedOut:
-            out = [] if done or placed is None else [(key[0], pd.Timestamp(placed, unit="us") + timedelta(minutes=minutes), refund)]
-            state.remove()
-            yield pd.DataFrame(out, columns=["order_id", "cancel_ts", "refund"])
-            return
-        for rows in batches:
-            for r in rows.itertuples():
-                if r.kind == "placed":
-                    placed, refund = int(r.ts.value // 1000), float(r.refund)
+def kept_rows(changes: DataFrame) -> DataFrame:
+    """(ticker, ts, row_id) that came and have not gone, from all that ``retention_stream`` gave out."""
+    return changes.groupBy("ticker", "ts", "row_id").agg(F.max("gone").alias("gone")).where("not gone").drop("gone")
+
+
+class _TimeOut(StatefulProcessor):
+    """State of an order: when it was placed (microseconds), its refund, and until when it was filled or held on to."""
+
+    def __init__(self, minutes: int):
+        self.wait = minutes * MINUTE
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.order = handle.getValueState("order", "placed long, refund double, done long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        placed, refund, done = self.order.get() if self.order.exists() else (None, None, None)
+        for part in rows:
+            for at, kind, money in zip(_micros(part["ts"]), part["kind"], part["refund"], strict=True):
+                if kind == "placed":
+                    placed, refund = at, float(money)
                 else:
-                    done = True
-        state.update((placed, refund, done))
-        at = (placed if placed is not None else 0) // 1000 + minutes * 60_000
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=["order_id", "cancel_ts", "refund"])
+                    done = at if done is None else min(done, at)
+        self.order.update((placed, refund, done))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        # an end without a beginning is kept for as long as its beginning could still come
+        self.handle.registerTimer(((done if placed is None else placed) + self.wait) // 1000)
+        return iter(())
 
-    return run
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        placed, refund, done = self.order.get()
+        self.order.clear()
+        if placed is not None and (done is None or done > placed + self.wait):
+            yield pd.DataFrame({"order_id": [key[0]], "cancel_ts": pd.to_datetime([placed + self.wait], unit="us"), "refund": [refund]})
+
+    def close(self) -> None:
+        pass
 
 
 def order_timeout_stream(events: DataFrame, trading: Trading = Trading(), watermark: str = WATERMARK) -> DataFrame:
     """(order_id, cancel_ts, refund) of orders that are neither filled nor held on to within ten minutes of event time.
 
-    events: (order_id, ts, kind, refund), kind is placed, filled or keep (the ticker still is a Strong Buy). State goes
-    with the time-out.
+    events: (order_id, ts, kind, refund), kind is placed, filled or keep (the ticker still is a Strong Buy). Only their
+    times count, not the batches in which they come. State goes with the time-out.
     """
-    return (
-        events.withWatermark("ts", watermark)
-        .groupBy("order_id")
-        .applyInPandasWithState(
-            _time_out(trading.cancel_minutes), "order_id long, cancel_ts timestamp, refund double", "placed long, refund double, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    marked = _on_timers(events.withWatermark("ts", watermark))
+    return marked.groupBy("order_id").transformWithStateInPandas(_TimeOut(trading.cancel_minutes), "order_id long, cancel_ts timestamp, refund double", "append", "eventTime")

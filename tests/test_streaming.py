@@ -65,12 +65,24 @@ def test_session_filter_knows_days_hours_and_holidays(spark, tmp_path):
     assert sorted(r.ts for r in got.collect()) == [T0, datetime(2024, 1, 3, 17, 0)]
 
 
+PRICES = "ticker string, ts timestamp, price double"
+
+
+def in_runs(spark, folder, batches, schema, stream, **sink):
+    """What a stream gives out that stops after each batch and goes on from its checkpoint."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        writer = stream(source).writeStream.option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True)
+        q = writer.foreachBatch(sink["sink"]).start() if sink else writer.format("parquet").option("path", f"{folder}/out").start()
+        assert q.awaitTermination(120)
+    return None if sink else spark.read.parquet(f"{folder}/out")
+
+
 def test_gap_fill_gives_each_session_minute_once(spark, tmp_path):
     at = lambda m: T0 + timedelta(minutes=m)
-    batches = [[("A", at(0), 1.0), ("A", at(2), 2.0)], [("A", at(2), 9.0), ("A", at(5), 3.0)], [("B", at(1), 1.0), ("A", datetime(2024, 1, 4, 4, 2), 4.0)]]
-    path = feed(spark, tmp_path, batches, "ticker string, ts timestamp, price double")
-    bars = spark.readStream.schema("ticker string, ts timestamp, price double").option("maxFilesPerTrigger", 1).parquet(path)
-    rows = [r for r in run(spark, streams.gap_fill_stream(bars), str(tmp_path)).orderBy("ts").collect() if r.ticker == "A"]
+    batches = [[("A", at(0), 1.0), ("A", at(2), 2.0)], [("A", at(2), 9.0), ("A", at(5), 3.0)], [("B", at(6), 1.0), ("A", datetime(2024, 1, 4, 4, 2), 4.0)]]
+    rows = [r for r in in_runs(spark, tmp_path, batches, PRICES, streams.gap_fill_stream).orderBy("ts").collect() if r.ticker == "A"]
     assert [(r.ts, r.price, r.filled) for r in rows[:6]] == [(at(0), 1.0, False), (at(1), 1.0, True), (at(2), 2.0, False), (at(3), 2.0, True), (at(4), 2.0, True), (at(5), 3.0, False)]
     assert len({r.ts for r in rows}) == len(rows)
     # the rest of the day up to 17:00, then 04:00 and 04:01 of the next
@@ -78,14 +90,39 @@ def test_gap_fill_gives_each_session_minute_once(spark, tmp_path):
     assert rows[-2].ts == datetime(2024, 1, 4, 4, 1) and rows[-2].price == 3.0
 
 
-def test_orders_time_out_unless_filled(spark, tmp_path):
+def test_gaps_are_filled_when_the_watermark_passes_and_holidays_have_none(spark, tmp_path):
+    """B has no bar after the 3rd of July; A's bars move the watermark over the holiday and two hours into the 5th."""
+    eve, after = datetime(2024, 7, 3, 16, 58), datetime(2024, 7, 5, 6, 0)
+    batches = [[("A", eve, 1.0), ("B", eve, 7.0)], [("A", after, 2.0)]]
+    rows = in_runs(spark, tmp_path, batches, PRICES, streams.gap_fill_stream).collect()
+    b = sorted(r.ts for r in rows if r.ticker == "B")
+    assert b[:3] == [eve, datetime(2024, 7, 3, 16, 59), datetime(2024, 7, 3, 17, 0)]
+    assert b[3] == datetime(2024, 7, 5, 4, 0) and b[-1] == datetime(2024, 7, 5, 5, 58) and len(b) == 3 + 119
+    assert not [r for r in rows if r.ts.date() == datetime(2024, 7, 4).date()]
+    assert {r.price for r in rows if r.ticker == "B"} == {7.0}
+
+
+def test_sessions():
+    from datetime import date
+
+    s = streams.Sessions([date(2024, 7, 4)])
+    of = lambda *x: int((datetime(*x) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert s.on_grid(of(2024, 7, 3, 17, 0)) and not s.on_grid(of(2024, 7, 3, 17, 1)) and not s.on_grid(of(2024, 7, 4, 9, 0)) and not s.on_grid(of(2024, 7, 3, 9, 0, 1))
+    assert s.after(of(2024, 7, 3, 17, 0)) == of(2024, 7, 5, 4, 0) and s.after(of(2024, 7, 5, 17, 0)) == of(2024, 7, 8, 4, 0) and s.after(of(2024, 7, 5, 1, 0)) == of(2024, 7, 5, 4, 0)
+    assert list(s.between(of(2024, 7, 3, 16, 59), of(2024, 7, 5, 4, 0))) == [of(2024, 7, 3, 17, 0), of(2024, 7, 5, 4, 0)]
+    assert len(s.between(of(2024, 7, 4, 0, 0), of(2024, 7, 4, 23, 59))) == 0
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_orders_time_out_unless_filled(spark, tmp_path, split):
+    """The same whether events come one by one or all at once: a fill after ten minutes is too late."""
     at = lambda m: T0 + timedelta(minutes=m)
     schema = "order_id long, ts timestamp, kind string, refund double"
-    batches = [[(1, at(0), "placed", 5.0), (2, at(0), "placed", 6.0)], [(2, at(3), "filled", 0.0)], [(3, at(30), "placed", 7.0)], [(3, at(31), "keep", 0.0)], [(4, at(90), "placed", 1.0)], [(5, at(91), "placed", 1.0)]]
-    path = feed(spark, tmp_path, batches, schema)
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = run(spark, streams.order_timeout_stream(events), str(tmp_path)).collect()
-    assert [(r.order_id, r.cancel_ts, r.refund) for r in got if r.order_id < 4] == [(1, at(10), 5.0)]
+    batches = [[(1, at(0), "placed", 5.0), (2, at(0), "placed", 6.0)], [(2, at(3), "filled", 0.0)], [(6, at(14), "placed", 8.0), (7, at(14), "placed", 9.0)], [(7, at(24), "filled", 0.0), (6, at(25), "filled", 0.0), (3, at(30), "placed", 7.0)], [(3, at(31), "keep", 0.0)], [(4, at(90), "placed", 1.0)]]
+    if not split:
+        batches = [[r for b in batches for r in b], [(5, at(200), "placed", 1.0)]]
+    got = in_runs(spark, tmp_path, batches, schema, streams.order_timeout_stream).collect()
+    assert sorted((r.order_id, r.cancel_ts, r.refund) for r in got if r.order_id not in (4, 5)) == [(1, at(10), 5.0), (6, at(24), 8.0)]
 
 
 BARS = "ticker string, ts timestamp, open double, high double, low double, close double"
@@ -153,10 +190,52 @@ def test_prices_alone_are_bars_too(spark, tmp_path):
 
 def test_retention_stream(spark, tmp_path):
     at = lambda i: T0 + timedelta(minutes=i)
-    path = feed(spark, tmp_path, [[("A", at(i)) for i in range(8)], [("A", at(i)) for i in range(8, 17)] + [("B", at(1))], [("A", at(17))]], "ticker string, ts timestamp")
-    rows = spark.readStream.schema("ticker string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
-    got = run(spark, streams.retention_stream(rows, 10, 5), str(tmp_path)).collect()
-    assert sorted((r.ticker, r.ts) for r in got) == [("A", at(i)) for i in range(10)]
+    batches = [[("A", at(i), i) for i in range(8)], [("A", at(i), i) for i in range(8, 17)] + [("B", at(1), 1), ("B", at(1), 2)], [("A", at(17), 17)]]
+    changes = in_runs(spark, tmp_path, batches, "ticker string, ts timestamp, row_id long", lambda s: streams.retention_stream(s, 10, 5))
+    assert sorted((r.ticker, r.row_id) for r in changes.where("gone").collect()) == [("A", i) for i in range(10)]
+    assert sorted((r.ticker, r.row_id) for r in streams.kept_rows(changes).collect()) == [("A", i) for i in range(10, 18)] + [("B", 1), ("B", 2)]
+
+
+def test_idle_tickers_are_counted_anew(spark, tmp_path):
+    """A's state goes when the watermark is a day past its rows; later rows don't push the earlier ones out."""
+    at = lambda h: T0 + timedelta(hours=h)
+    batches = [[("A", at(0), i) for i in range(8)], [("B", at(100), 1)], [("A", at(101), i) for i in range(8, 16)], [("A", at(101), i) for i in range(16, 19)]]
+    changes = in_runs(spark, tmp_path, batches, "ticker string, ts timestamp, row_id long", lambda s: streams.retention_stream(s, 10, 5, timedelta(days=1)))
+    assert sorted(r.row_id for r in streams.kept_rows(changes).where("ticker = 'A'").collect()) == [*range(8), *range(13, 19)]
+
+
+def test_picks_of_a_batch_that_is_run_again_stay_the_same(spark, tmp_path):
+    thresholds = spark.createDataFrame([(t, i, float(i + ord(t))) for t in "ABCDEF" for i in range(1, 8)], "ticker string, i int, t double")
+    at = lambda m: T0 + timedelta(minutes=m)
+    scores = [(t, at(m), "Strong Buy" if (ord(t) + m) % 3 else "Neutral") for t in "ABCDEFG" for m in range(4)]
+    batches = [[r for r in scores if r[1] < at(2)], [r for r in scores if r[1] >= at(2)]]
+    sink = streams.picks_sink(f"{tmp_path}/picks", thresholds, 300.0)
+    in_runs(spark, tmp_path, batches, "ticker string, ts timestamp, label string", lambda s: s, sink=sink)
+    read = lambda: sorted((r.ts, r.ticker, r.t_last) for r in spark.read.parquet(f"{tmp_path}/picks").collect())
+    first = read()
+    from barloom.operators import scoring
+
+    want = []
+    for m in range(4):
+        now = spark.createDataFrame([r for r in scores if r[1] == at(m)], "ticker string, ts timestamp, label string")
+        want += [(at(m), r.ticker, r.t_last) for r in scoring.pick_buys(now, thresholds, 300.0).collect()]
+    assert first == sorted(want) and len(first) == 12
+    # the second batch once more, as after a failure before its commit; then a run that dies while it writes
+    again = spark.createDataFrame(batches[1], "ticker string, ts timestamp, label string")
+    sink(again, 1)
+    assert read() == first
+    broken = again.withColumn("label", F.assert_true(F.col("ticker") < "C").cast("string"))
+    with pytest.raises(Exception, match="is not true"):
+        sink(broken, 2)
+    sink(again.limit(0), 2)
+    assert read() == first
+
+
+def test_a_replay_that_is_empty(spark):
+    from barloom.streaming.replay import replayed
+
+    rows = spark.createDataFrame([], PRICES)
+    assert replayed(rows, "ts", streams.gap_fill_stream).count() == 0
 
 
 def test_retention(spark):
