@@ -17,7 +17,7 @@ from barloom.streaming.replay import replayed
 
 MOST, DROP = 60, 20
 TOTAL = 300.0
-SCORED = ["close", "diff_high_low"]
+SCORED = ["close", "close1min"]
 
 
 def _zoned(rows: DataFrame, *names: str) -> DataFrame:
@@ -67,10 +67,11 @@ def stream_retention(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Scaling, centers, labels and thresholds of every ticker: bounds of its minute bars, a center for each label along
+    """Scaling, centers, labels and thresholds of every ticker: the bounds of its closes, a center for each label along
     the price, thresholds of its spreads."""
-    bars = indicators.diff_high_low(fx.minute_bars(spark, d))
-    scaling = dataset.feature_min_max(bars, SCORED)
+    bars = fx.minute_bars(spark, d)
+    close = dataset.feature_min_max(bars, ["close"])
+    scaling = close.unionByName(close.withColumn("feature", F.lit("close1min")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(LABELS) - 1).cast("long")))
     named = bars.select("ticker").distinct().select("ticker", each.alias("cluster"))
     centers = named.withColumn("center", F.array(F.col("cluster") / 24.0, (F.col("cluster") % 3) / 2.0))
@@ -110,8 +111,9 @@ def stream_order_timeouts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_quotes, stream_minute_bars, stream_gap_fill, stream_retention, stream_scores, stream_picks, stream_order_timeouts)}
 
 _SCORES = [
-    "bd as (select ticker, min(close) lc, max(close) hc, min(high - low) ld, max(high - low) hd from m group by 1)",
-    "sm as (select ticker, ts, close, (close - lc) / nullif(hc - lc, 0) x, (high - low - ld) / nullif(hd - ld, 0) y from m join bd using (ticker))",
+    "bd as (select ticker, min(close) lc, max(close) hc from m group by 1)",
+    """sm as (select ticker, ts, close, (close - lc) / nullif(hc - lc, 0) x, (before - lc) / nullif(hc - lc, 0) y
+      from (select *, lag(close) over (partition by ticker order by ts) before from m) join bd using (ticker))""",
     """sr as (select ticker, ts, close, case when x is not null and y is not null then c end cluster from (
       select *, row_number() over (partition by ticker, ts order by (x - c / 24.0::double) * (x - c / 24.0::double) + (y - (c % 3) / 2.0::double) * (y - (c % 3) / 2.0::double), c) b
       from sm, (select unnest(range(0, 7))::bigint c)) where b = 1)""",
