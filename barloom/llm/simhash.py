@@ -365,7 +365,7 @@ def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE
     shingles have at least this Jaccard similarity; equal texts always are, and so are texts without words. Similarity is
     checked for all such pairs; where many texts are candidates of one another, for all pairs of the group that they form.
     Rows without doc_id stay. Rows that repeat a doc_id with another text are texts of their own; of rows that repeat
-    both, the one that comes first by the other columns stays.
+    both, the one that comes first by the other columns stays (by their JSON, if one of them is of a kind without an order).
     """
     marked = checkpointed(with_fingerprint(docs, width, bands=True).where("id is not null"))
     # one node for each text; numbered by its place in the checkpoint, which is the same whenever it is read again
@@ -386,7 +386,9 @@ def keep_first(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE
     found = own.join(kept, (F.col("doc_id").cast("long") == F.col(names[0])) & (F.col(names[2]) == F.col(names[1])), "left_semi")
     if not texts.where("rows > ids").isEmpty():
         others = [c for c in docs.columns if c != "doc_id"]
-        least = F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias(names[0])
+        own = F.struct(*[F.col(f"`{c}`") for c in others])
+        unordered = any(kind in f.dataType.simpleString() for f in docs.schema.fields for kind in ("map<", "variant"))
+        least = (F.min_by(own, F.to_json(own)) if unordered else F.min(own)).alias(names[0])
         found = found.groupBy("doc_id", names[2]).agg(least).select("doc_id", *[F.col(f"{names[0]}.`{c}`").alias(c) for c in others])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return found.select(*columns).unionByName(docs.where("doc_id is null"))

@@ -155,9 +155,10 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def _unit(numbers: np.ndarray, times: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unit(numbers: np.ndarray, times: np.ndarray, scale: np.ndarray, other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights over the length of the whole vector. other: the squares of those weights that meet no example's."""
     weights = (1 + np.log(times)) * scale[numbers]
-    return numbers, weights / (np.sqrt((weights * weights).sum()) or 1.0)
+    return numbers, weights / (np.sqrt((weights * weights).sum() + other) or 1.0)
 
 
 class _Part:
@@ -168,11 +169,13 @@ class _Part:
         self.labels, self.k = labels, k
         self.index = Index([_unit(*c, self.scale) for c in counts], len(idf))
 
-    def vote(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The share of toxic ones among the nearest, by the squares of their cosines; who they are, and the cosines."""
+    def vote(self, counts: tuple[np.ndarray, np.ndarray], other: float = 0.0) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The share of toxic ones among the nearest, by the squares of their cosines; who they are, and the cosines.
+
+        other: the squared weight of the text's words that no example holds."""
         if not len(counts[0]):
             return None, counts[0], counts[1]
-        ids, near = self.index.nearest(*_unit(*counts, self.scale), self.k)
+        ids, near = self.index.nearest(*_unit(*counts, self.scale, other), self.k)
         power = near * near
         return float((power * self.labels[ids]).sum() / power.sum()) if len(ids) else None, ids, near
 
@@ -184,7 +187,9 @@ class Model:
         self.number = {t: i for i, t in enumerate(terms)}
         self.memory: dict[bytes, tuple] = {}
         idf = np.log((documents + 1) / (frequency + 1)) + 1e-3
-        counts = [self.counts(text) for _, text, _ in examples]
+        #: the weight of a word that no example holds, for each of 1 + log(times)
+        self.unseen = (np.log(documents + 1.0) + 1e-3) * FLOOR
+        counts = [self.counts(text)[:2] for _, text, _ in examples]
         y = np.array([x[2] for x in examples], dtype=np.int64)
         # without examples nothing is known, and nothing counts as toxic
         self.blank = (float(y.sum()) + 0.1) / (len(y) + 1)
@@ -205,12 +210,17 @@ class Model:
         self.knots = isotonic(np.array(votes), np.array(truth))
         self.part = _Part(counts, y, idf, k)
 
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text's terms, in order, and how often each occurs."""
-        get = self.number.get
-        found = np.array([i for t in terms_of(text) if (i := get(t)) is not None], dtype=np.int64)
-        numbers, times = np.unique(found, return_counts=True)
-        return numbers.astype(np.int32), times.astype(np.int32)
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+        """Numbers of the text's terms, in order, and how often each occurs; the squared weight of all its other words."""
+        get, found, other = self.number.get, [], []
+        for t in terms_of(text):
+            if (i := get(t)) is None:
+                other.append(t)
+            else:
+                found.append(i)
+        numbers, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+        rest = 1 + np.log(np.array(list(Counter(other).values()), dtype=np.float64)) if other else np.zeros(0)
+        return numbers.astype(np.int32), times.astype(np.int32), float((rest * rest).sum() * self.unseen**2)
 
     def score(self, text: bytes) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score and, as evidence, the nearest examples: (doc_id, cosine, label)."""
@@ -222,7 +232,8 @@ class Model:
         return self.memory[key]
 
     def _score(self, text: bytes) -> tuple[float, list[tuple[int, float, int]]]:
-        vote, ids, near = self.part.vote(self.counts(text))
+        *own, other = self.counts(text)
+        vote, ids, near = self.part.vote(own, other)
         if vote is None:
             return self.blank, []
         at, value = self.knots

@@ -101,6 +101,12 @@ def test_near_copies_go_and_others_stay(spark, near_texts):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_with_a_map_column(spark):
+    rows = [(1, "one two three", {"a": 1}), (1, "one two three", {"b": 2}), (1, "one two three", {"a": 1}), (2, "four five six", None), (2, "four five six", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    assert sorted((r.doc_id, r.more) for r in simhash.keep_first(df).collect()) == [(1, {"a": 1}), (2, None)]
+
+
 def test_other_texts_of_one_id_stay(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a, 5), (1, b, 5), (1, b, 4), (2, b, 1), (3, a, 0), (4, c, 2), (4, c, 1), (None, c, 9)]

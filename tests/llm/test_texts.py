@@ -532,9 +532,10 @@ def test_toxicity_query_equals_all_cosines(spark):
     learned = toxicity.relevance([np.array([names.index(t) for t in sorted(set(toxicity.terms_of(x)))]) for _, x, _ in examples], np.array([y for *_, y in examples]), len(names))
     scale = {t: (log((len(texts) + 1) / (often[t] + 1)) + 1e-3) * r for t, r in zip(names, learned.tolist(), strict=True)}
 
+    unseen = (log(len(texts) + 1) + 1e-3) * toxicity.FLOOR  # words that no example holds
+
     def vector(text):
-        count = Counter(t for t in toxicity.terms_of(text) if t in vocabulary)
-        w = {t: (1 + log(n)) * scale[t] for t, n in count.items()}
+        w = {t: (1 + log(n)) * scale.get(t, unseen) for t, n in Counter(toxicity.terms_of(text)).items()}
         size = sqrt(sum(x * x for x in w.values()))
         return {t: x / size for t, x in w.items()}
 
@@ -545,7 +546,7 @@ def test_toxicity_query_equals_all_cosines(spark):
         own = vector(texts[r.doc_id])
         near = sorted(((sum(w * v.get(t, 0.0) for t, w in own.items()), -i, y) for i, v, y in space), reverse=True)[: toxicity.NEIGHBOURS]
         near = [x for x in near if x[0] > 0]
-        assert bool(near) == bool(own)  # every document with a word of the examples has neighbours
+        assert bool(near) == bool(own.keys() & vocabulary)  # every document with a word of the examples has neighbours
         assert [round(e.cosine, 9) for e in r.evidence] == [round(min(1, c), 9) for c, *_ in near[: toxicity.EVIDENCE]]
         if near:
             vote = sum(c * c * y for c, _, y in near) / sum(c * c for c, *_ in near)
@@ -555,6 +556,16 @@ def test_toxicity_query_equals_all_cosines(spark):
             assert min(abs(r.score - 0.98 * v - 0.02 * vote) for v in (level, low)) < 1e-9
 
 
+def test_words_that_no_example_holds_count():
+    """A toxic example among thousands of other words is no longer at cosine 1, and the score is as before."""
+    examples = [(i, f"bad worse{i} worst".encode(), 1) for i in range(8)] + [(10 + i, f"fine good{i} better".encode(), 0) for i in range(8)]
+    terms = sorted({t for _, x, _ in examples for t in toxicity.terms_of(x)})
+    model = toxicity.Model(examples, terms, np.full(len(terms), 3), 1000)
+    (alone, near), (among, far) = model.score(b"bad worse1 worst"), model.score(b"bad worse1 worst " + b" ".join(f"other{i}x".encode() for i in range(3000)))
+    assert near[0][0] == far[0][0] == 1 and near[0][1] == 1.0 and far[0][1] < 0.9
+    assert abs(alone - among) < 1e-9
+
+
 def test_isotonic():
     x, y = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 1.0, 0.0, 1.0])
     at, value = toxicity.isotonic(x, y)
