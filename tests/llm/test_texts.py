@@ -558,11 +558,13 @@ def test_toxicity_query_equals_all_cosines(spark):
 
 def test_words_that_no_example_holds_count():
     """A toxic example among thousands of other words is no longer at cosine 1, and the score is as before."""
-    examples = [(i, f"bad worse{i} worst".encode(), 1) for i in range(8)] + [(10 + i, f"fine good{i} better".encode(), 0) for i in range(8)]
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")  # noqa: E731  digits are no words
+    examples = [(i, f"bad worse{word(i)} worst".encode(), 1) for i in range(8)] + [(10 + i, f"fine good{word(i)} better".encode(), 0) for i in range(8)]
     terms = sorted({t for _, x, _ in examples for t in toxicity.terms_of(x)})
     model = toxicity.Model(examples, terms, np.full(len(terms), 3), 1000)
-    (alone, near), (among, far) = model.score(b"bad worse1 worst"), model.score(b"bad worse1 worst " + b" ".join(f"other{i}x".encode() for i in range(3000)))
-    assert near[0][0] == far[0][0] == 1 and near[0][1] == 1.0 and far[0][1] < 0.9
+    text = f"bad worse{word(1)} worst "
+    (alone, near), (among, far) = (model.score(x.encode()) for x in (text, text + " ".join(f"other{word(i)}" for i in range(3000))))
+    assert near[0][0] == far[0][0] == 1 and abs(near[0][1] - 1) < 1e-9 and far[0][1] < 0.9
     assert abs(alone - among) < 1e-9
 
 
