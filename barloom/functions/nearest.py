@@ -1,4 +1,4 @@
-"""Nearest centroid: matrix products for each Arrow batch, or array functions where the centroids are too many to send."""
+"""Nearest centroid: bounded search for each Arrow batch, or array functions where the centroids are too many to send."""
 
 from __future__ import annotations
 
@@ -13,6 +13,66 @@ from pyspark.sql import functions as F
 SENT = 4_000_000
 
 
+#: With fewer centers than this, all are measured.
+FEW = 16
+
+
+class Centers:
+    """Centers (k, d) of one model, with what tells that most of them need not be measured.
+
+    A point is measured against a few pivots among the centers first. With the nearest pivot at distance r, a center that
+    is nearer than the best one found so far lies within r + best of the pivot (triangle inequality); centers are looked
+    at in the order of their distance from the pivot, up to there. Distances are made in the direct form, as x*x - 2xy +
+    y*y would lose the last digits and with them ties, so the result equals that of measuring all, ties included.
+    """
+
+    def __init__(self, centers: np.ndarray):
+        self.centers = centers
+        k = len(centers)
+        apart = np.sqrt(((centers[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)) if k >= FEW else np.zeros((0, 0))
+        if k < FEW or not np.isfinite(apart).all():
+            self.pivots = np.zeros(0, dtype=np.int64)
+            return
+        pivots = [0]
+        while len(pivots) < int(np.sqrt(k)):  # each the farthest from those before
+            pivots.append(int(apart[pivots].min(axis=0).argmax()))
+        self.pivots = np.unique(pivots)
+        self.order = np.argsort(apart[self.pivots], axis=1, kind="stable")
+        self.apart = np.take_along_axis(apart[self.pivots], self.order, axis=1)
+
+    def _measured(self, x: np.ndarray, which: np.ndarray | int) -> np.ndarray:
+        apart = x - self.centers[which]
+        return np.einsum("ij,ij->i", apart, apart)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each row of x the nearest center, the first of a tie, and its squared distance; how many were measured."""
+        n, k = len(x), len(self.centers)
+        if not len(self.pivots) or not np.isfinite(x).all():
+            d = np.column_stack([self._measured(x, j) for j in range(k)])
+            best = d.argmin(axis=1)
+            return best, d[np.arange(n), best], n * k
+        d = np.column_stack([self._measured(x, j) for j in self.pivots])
+        own = d.argmin(axis=1)
+        best, least = self.pivots[own], d[np.arange(n), own]
+        r = np.sqrt(least)
+        reach, made, going = 2 * r, d.size, np.arange(n)
+        is_pivot = np.isin(np.arange(k), self.pivots)
+        for place in range(k):
+            # a little slack, as roots and sums differ in their last digits
+            going = going[self.apart[own[going], place] <= reach[going] * (1 + 1e-9) + 1e-12]
+            if not len(going):
+                break
+            c = self.order[own[going], place]
+            at, c = going[~is_pivot[c]], c[~is_pivot[c]]
+            new = self._measured(x[at], c)
+            made += len(at)
+            nearer = (new < least[at]) | ((new == least[at]) & (c < best[at]))
+            at = at[nearer]
+            best[at], least[at] = c[nearer], new[nearer]
+            reach[at] = r[at] + np.sqrt(least[at])
+        return best, least, made
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Over the dimensions that both have."""
     n = F.least(F.size(a), F.size(b))
@@ -43,6 +103,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, keys: tuple[str, .
     at = [points.columns.index(c) for c in (*keys, "features")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[tuple, Centers] = {}
         for b in batches:
             owners = list(zip(*(b.column(i).to_pylist() for i in at[:-1]), strict=True))
             vectors = b.column(at[-1]).to_pylist()
@@ -55,13 +116,10 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, keys: tuple[str, .
                 names, centers = sent.value[k]
                 x = np.array([vectors[i] for i in own], dtype=float)
                 n = min(x.shape[1], centers.shape[1])
-                # the direct form, as x*x - 2xy + y*y would lose the last digits and with them ties
-                d = np.empty((len(x), len(centers)))
-                for j, c in enumerate(centers):
-                    apart = x[:, :n] - c[:n]
-                    d[:, j] = np.einsum("ij,ij->i", apart, apart)
-                best = d.argmin(axis=1)
-                cluster[own], distance[own] = names[best], np.sqrt(d[np.arange(len(x)), best])
+                if (*k, n) not in ready:
+                    ready[*k, n] = Centers(centers[:, :n])
+                best, d, _ = ready[*k, n].nearest(x[:, :n])
+                cluster[own], distance[own] = names[best], np.sqrt(d)
             keep = pa.array(np.flatnonzero(distance >= 0))
             out = pa.Table.from_batches([b]).take(keep)
             out = out.append_column("cluster", pa.array(cluster).take(keep)).append_column("distance", pa.array(distance).take(keep))

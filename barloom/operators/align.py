@@ -87,9 +87,9 @@ def average_volume(daily: DataFrame, n: int = 30) -> DataFrame:
     return last_n(daily, n).groupBy("ticker").agg((F.sum("volume") / n).alias("avg_volume"))
 
 
-def retention(rows: DataFrame, most: int, drop: int, order: str = "ts") -> DataFrame:
-    """A ticker with more than ``most`` rows loses its oldest ``drop``."""
-    return with_rank(rows, "ticker", order).where((F.col("_n") <= most) | (F.col("_i") >= drop)).select(*rows.columns)
+def retention(rows: DataFrame, most: int, drop: int, order: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """A ticker with more than ``most`` rows loses its oldest ``drop``; ties: the columns that order rows of one time."""
+    return with_rank(rows, "ticker", order, ties=ties).where((F.col("_n") <= most) | (F.col("_i") >= drop)).select(*rows.columns)
 
 
 def rows_per_session(grid: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import pct_gain
-from barloom.operators.ranks import with_rank
+from barloom.operators.ranks import values_at, with_rank
 from barloom.params import CATEGORIES, GRID_MINUTES
 
 
@@ -52,9 +52,11 @@ def drop_null_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.dropna(how="any", subset=columns)
 
 
-def chrono_split(rows: DataFrame, order: str, two_way: bool = False) -> DataFrame:
-    """rows with ``split``: train up to 60 % of a ticker's rows, test1 up to 80 %, then test2; two-way: up to two thirds."""
-    at = with_rank(rows, "ticker", order)
+def chrono_split(rows: DataFrame, order: str, two_way: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with ``split``: train up to 60 % of a ticker's rows, test1 up to 80 %, then test2; two-way: up to two thirds.
+
+    ties: the columns that order rows of one time, so that each run splits them alike."""
+    at = with_rank(rows, "ticker", order, ties=ties)
     if two_way:
         split = F.when(F.col("_i") <= F.floor(2 * F.col("_n") / 3), "train").otherwise("test1")
     else:
@@ -66,15 +68,18 @@ def chrono_split(rows: DataFrame, order: str, two_way: bool = False) -> DataFram
 def rank_thresholds(rows: DataFrame, n_cat: int = CATEGORIES, approximate: bool = False) -> DataFrame:
     """(ticker, i, t): the gains that part a ticker's rows into n_cat categories, at the 0-based ranks ceil(n / n_cat * i).
 
-    Tickers with fewer than n_cat gains have none. approximate: by a mergeable quantile sketch, in one pass.
+    Tickers with fewer than n_cat gains have none. Exact by counting brackets (``values_at``), for which rows are read a
+    few times: hand over a table rather than a long plan. approximate: by a mergeable quantile sketch, in one pass.
     """
     known = rows.select("ticker", "gain").where("gain is not null")
     if approximate:
         shares = [i / n_cat for i in range(1, n_cat)]
         found = known.groupBy("ticker").agg(F.percentile_approx("gain", shares, 100_000).alias("t"), F.count("*").alias("n")).where(F.col("n") >= n_cat)
-        return found.select("ticker", F.posexplode("t").alias("i", "t")).withColumn("i", F.col("i") + 1)
-    ranked = with_rank(known, "ticker", "gain", "r", "n").where(F.col("n") >= n_cat)
-    return ranked.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n_cat - 1)))).where((F.col("r") * n_cat >= F.col("n") * F.col("i")) & ((F.col("r") - 1) * n_cat < F.col("n") * F.col("i"))).select("ticker", "i", F.col("gain").alias("t"))
+    else:
+        # a ticker with too few has ranks beyond its end, and is left out below
+        place = lambda n, i: F.least(F.floor((n * i + n_cat - 1) / n_cat), n - 1)
+        found = values_at(known, "ticker", "gain", lambda n: [place(n, i) for i in range(1, n_cat)]).where(F.col("n") >= n_cat).withColumnRenamed("values", "t")
+    return found.select("ticker", F.posexplode("t").alias("i", "t")).withColumn("i", F.col("i") + 1)
 
 
 def threshold_list(thresholds: DataFrame) -> DataFrame:

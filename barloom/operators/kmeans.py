@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +49,25 @@ def kmeans_fit(points: DataFrame, k: int = 100, iterations: int = 100, seed: str
     """Centroids (run, ticker, cluster, center) after ``iterations`` steps, or once no center moves (which is the same).
 
     points: (run, ticker, features, key). They and each step's centers go through a checkpoint, so a step reads points
-    that are made and shuffles partial sums of centers alone.
+    that are made and shuffles partial sums of centers alone. Every five steps the keys (run, ticker) whose centers stand
+    still are put aside, and later steps no longer measure their points.
     """
     points = checkpointed(points.select(*KEYS, "features", key))
     centers = checkpointed(initial_centroids(points, k, seed, key))
+    done: list[DataFrame] = []
     for step in range(1, iterations + 1):
         after = checkpointed(kmeans_step(points, centers))
-        still = step % LOOK == 0 and centers.join(after.withColumnRenamed("center", "_new"), [*KEYS, "cluster"], "left").where("_new is null or _new <> center").isEmpty()
+        if step % LOOK == 0 and step < iterations:
+            changed = centers.join(after.withColumnRenamed("center", "_new"), [*KEYS, "cluster"], "left").where("_new is null or _new <> center")
+            moving = checkpointed(changed.select(*KEYS).distinct())
+            done.append(checkpointed(after.join(moving, list(KEYS), "left_anti").select(*after.columns)))
+            after = checkpointed(after.join(moving, list(KEYS), "left_semi").select(*after.columns))
+            if moving.isEmpty():
+                break
         centers = after
-        if still:
-            break
-    return centers
+    else:
+        done.append(centers)
+    return reduce(DataFrame.unionByName, done)
 
 
 def assign_clusters(points: DataFrame, centroids: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

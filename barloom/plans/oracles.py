@@ -200,6 +200,17 @@ BOOK = [
     "nw as (select max(ts) now from events)",
 ]
 
+#: A step from the centers of the step before; the last holds the centers after 100.
+FIT_STEPS = """st as (select 0 step, run, ticker, cluster, c from ce where run < 2
+          union all
+          select step + 1, run, ticker, cluster, list(x order by dim) from (
+            select step, run, ticker, cluster, dim, avg(x) x from (
+              select step, run, ticker, cluster, unnest(f) x, unnest(range(0, len(f))) dim from (
+                select step, st.run, p.ticker, p.f, st.cluster, row_number() over (partition by st.run, p.row_id order by list_distance(p.f, st.c), st.cluster) best from p join st using (ticker) where step < 100
+              ) where best = 1
+            ) group by all
+          ) group by step, run, ticker, cluster)"""
+
 ORACLES = {
     "candles_json": sql("select ticker, ts - interval 8 hour ts, open, high, low, close, volume from m  -- January: Pacific is UTC-8"),
     "daily_stamp": sql("select ticker, date::timestamp ts, open, high, low, close, volume from d where date between date '2024-01-05' and date '2024-01-25'"),
@@ -303,16 +314,7 @@ ORACLES = {
     "kmeans_fit": sql(
         f"select run, ticker, cluster, dim, {r('x', 'x')} from (select run, ticker, cluster, unnest(c) x, unnest(range(0, len(c)))::int dim from st where step = 100)",
         *CLUSTERS,
-        # a step from the centers of the step before; the last holds the centers after 100
-        """st as (select 0 step, run, ticker, cluster, c from ce where run < 2
-          union all
-          select step + 1, run, ticker, cluster, list(x order by dim) from (
-            select step, run, ticker, cluster, dim, avg(x) x from (
-              select step, run, ticker, cluster, unnest(f) x, unnest(range(0, len(f))) dim from (
-                select step, st.run, p.ticker, p.f, st.cluster, row_number() over (partition by st.run, p.row_id order by list_distance(p.f, st.c), st.cluster) best from p join st using (ticker) where step < 100
-              ) where best = 1
-            ) group by all
-          ) group by step, run, ticker, cluster)""",
+        FIT_STEPS,
     ),
     "assign_clusters": sql("select ticker, cluster, count(*) n_rows, string_agg(row_id::varchar, ',' order by row_id) \"rows\" from ag where run = 0 group by 1, 2", *CLUSTERS),
     "cluster_counts": sql("select ticker, split, cluster, cat, n from cc where run = 0", *CLUSTERS),

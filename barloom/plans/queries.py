@@ -84,7 +84,7 @@ def minute_end(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retention(spark: SparkSession, d: str) -> DataFrame:
-    return align.retention(fx.quotes(spark, d, "user_id"), 60, 20).select("event_id", "ticker", "ts")
+    return align.retention(fx.quotes(spark, d, "user_id"), 60, 20, ties=("event_id",)).select("event_id", "ticker", "ts")
 
 
 # calendar --------------------------------------------------------------------------------------------------------------
@@ -244,8 +244,7 @@ def training_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, d: str, runs: int = 1) -> DataFrame:
-    rows = dataset.chrono_split(fx.clustering_rows(spark, d), "row_id")
-    return kmeans.restarts(rows, runs)
+    return kmeans.restarts(fx.clustering_rows(spark, d), runs)
 
 
 def _start(points: DataFrame) -> DataFrame:
@@ -268,7 +267,7 @@ def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, d: str, runs: int = 1) -> DataFrame:
-    p = _points(spark, d, runs)
+    p = kmeans.restarts(dataset.chrono_split(fx.clustering_rows(spark, d), "row_id"), runs)
     return kmeans.assign_clusters(p, _start(p))
 
 

@@ -300,3 +300,87 @@ def test_a_cluster_needs_a_checkpoint_folder():
     df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         kmeans._checkpointed(df)
+
+
+# clustering at the survey's size ---------------------------------------------------------------------------------------
+
+
+def test_bounded_search_equals_all_distances_and_makes_fewer():
+    import numpy as np
+
+    from barloom.functions.nearest import Centers
+
+    rng = np.random.default_rng(2)
+    for k, d in ((1, 3), (15, 9), (16, 9), (100, 9), (100, 2)):
+        blobs = rng.random((12, d))
+        x = blobs[rng.integers(0, 12, 3000)] + rng.normal(0, 0.05, (3000, d))
+        centers = x[rng.choice(3000, k, replace=False)].round(1)  # some are equal, and the first of them counts
+        best, least, made = Centers(centers).nearest(x)
+        everything = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+        assert np.allclose(least, everything.min(axis=1), rtol=1e-12, atol=1e-15)
+        ties = np.isclose(everything, least[:, None], rtol=1e-12, atol=1e-15)
+        assert (best == ties.argmax(axis=1)).mean() > 0.999  # but for sums that differ in their last digit
+        assert made <= everything.size and (k < 100 or made < 0.6 * everything.size)
+    exact = np.array([[float(i % 4), float(i // 4)] for i in range(16)] * 2)
+    best, least, _ = Centers(exact).nearest(np.array([[0.5, 0.5], [1.0, 1.0], [2.5, 3.0]]))
+    assert best.tolist() == [0, 5, 14] and least.tolist() == [0.5, 0.0, 0.25]
+
+
+def test_fit_at_full_size_equals_plain_steps(spark):
+    """k = 100, 10 runs, the eight features and the category, over the smallest tables' daily bars."""
+    import hashlib
+
+    import numpy as np
+    from conftest import DATA
+
+    from barloom.operators import kmeans
+    from barloom.plans import model_queries
+
+    rows = model_queries.daily_training_rows(spark, str(DATA / "sf0.001")).matrix.where("split = 'train' and ticker in ('1-URGENT', '2-HIGH')").select("ticker", "row_id", "features")
+    data = {}
+    for r in rows.collect():
+        data.setdefault(r.ticker, []).append((r.row_id, r.features))
+    got = {(r.run, r.ticker, r.cluster): r.center for r in kmeans.kmeans_fit(kmeans.restarts(rows, 10), 100, 30).collect()}
+    want = {}
+    for ticker, own in data.items():
+        if len(own) < 100:
+            continue
+        for run in range(10):
+            order = sorted(own, key=lambda o: (hashlib.md5(f"0|{run}|{o[0]}".encode()).hexdigest(), o[0]))[:100]
+            x, names, c = np.array([f for _, f in own]), np.arange(100), np.array([f for _, f in order])
+            for _ in range(30):
+                near = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                full = np.unique(near)
+                names, c = names[full], np.array([x[near == j].mean(axis=0) for j in full])
+            want |= {(run, ticker, int(n)): v for n, v in zip(names, c, strict=True)}
+    assert got.keys() == want.keys() and len(want) > 500
+    assert max(abs(a - b) for k, v in want.items() for a, b in zip(got[k], v, strict=True)) < 1e-9
+
+
+def test_values_at_ranks_from_counts_alone(spark):
+    """Also where one value fills most rows, where a rank is at its edge, and where brackets are narrowed often."""
+    import random
+
+    from barloom.operators.ranks import values_at, with_rank
+
+    rng = random.Random(9)
+    data = {
+        "even": [float(i) for i in range(5000)],
+        "heavy": [1.0] * 4000 + [rng.random() * 3 for _ in range(600)],
+        "edge": [0.0] + [5.0] * 3000 + [6.0],
+        "two": [1.0, 2.0] * 700,
+        "skew": [rng.random() ** 40 for _ in range(3000)],
+        "few": [3.0, 1.0, 2.0],
+        "odd": [float("inf"), float("-inf"), -0.0, 0.0, 7.0] * 50,
+    }
+    rows = spark.createDataFrame([(k, v) for k, own in data.items() for v in [*own, None]], "ticker string, gain double").repartition(4)
+    got = {r.ticker: r for r in values_at(rows, "ticker", "gain", lambda n: [F.lit(0), F.lit(1), F.floor(n / 3), F.floor(n / 2), n - 2, n - 1], few=20).collect()}
+    for k, own in data.items():
+        s, n = sorted(own), len(own)
+        assert got[k].n == n and got[k]["values"] == [s[0], s[1], s[n // 3], s[n // 2], s[-2], s[-1]], k
+    assert values_at(rows.limit(0), "ticker", "gain", lambda n: [n - 1]).count() == 0
+    few = dataset.rank_thresholds(rows.where("ticker in ('few', 'two')")).collect()
+    assert sorted((r.ticker, r.i, r.t) for r in few) == [("two", i, 1.0 if i < 4 else 2.0) for i in range(1, 8)]
+    ties = spark.createDataFrame([("A", i % 3, i) for i in range(200)], "ticker string, ts int, id int")
+    ranks = with_rank(ties.repartition(7), "ticker", "ts", ties=("id",)).collect()
+    assert [r.id for r in sorted(ranks, key=lambda r: r._i)] == sorted(range(200), key=lambda i: (i % 3, i))
