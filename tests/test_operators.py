@@ -12,6 +12,7 @@ from barloom.params import Trading
 from barloom.sources import bars as bar_tables
 from barloom.sources import model
 from barloom.sources import orders as order_tables
+from barloom.sources import shared
 
 BARS = "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
 
@@ -81,7 +82,49 @@ def test_bar_tables(spark, tmp_path):
     new = spark.createDataFrame([bar("T", datetime(2024, 1, 3, 11, 0), 30.0)], BARS)
     bar_tables.replace_slice(spark, path, date(2024, 1, 3), date(2024, 1, 4), "minute", new)
     assert sorted(r.close for r in bar_tables.read_bars(spark, path, date(2024, 1, 1), date(2024, 1, 9), "minute").collect()) == [2.0, 5.0, 30.0]
-    assert spark.read.parquet(path).where("frequency = 'daily'").count() == 4  # other frequencies stay
+    assert bar_tables.read_bars(spark, path, date(2024, 7, 1), date(2024, 7, 5), "daily").count() == 4  # other frequencies stay
+
+
+def test_a_slice_is_replaced_at_once_or_not_at_all(spark, tmp_path):
+    path, day = str(tmp_path / "bars"), lambda n: date(2024, 1, n)
+    old = [bar("T", datetime(2024, 1, d, 10, m), float(d)) for d in range(2, 6) for m in range(3)]
+    bar_tables.write_bars(spark.createDataFrame(old, BARS), path, "minute")
+    read = lambda: bar_tables.read_bars(spark, path, day(1), day(9), "minute")
+    before = sorted(r.close for r in read().collect())
+    # a failure halfway: some files are written, nothing is told
+    new = spark.createDataFrame([bar("T", datetime(2024, 1, d, 11, 0), 10.0 * d) for d in (3, 4)], BARS)
+    broken = new.withColumn("close", F.when(F.dayofmonth("ts") == 4, F.raise_error(F.lit("halfway")).cast("double")).otherwise(F.col("close")))
+    with pytest.raises(Exception, match="halfway"):
+        bar_tables.replace_slice(spark, path, day(3), day(5), "minute", broken)
+    assert sorted(r.close for r in read().collect()) == before
+    # a reader that has begun goes on with the old bars, another one sees the new ones
+    begun = read()
+    bar_tables.replace_slice(spark, path, day(3), day(5), "minute", new)
+    assert sorted(r.close for r in begun.collect()) == before
+    assert sorted(r.close for r in read().collect()) == [2.0] * 3 + [30.0, 40.0]
+    bar_tables.replace_slice(spark, path, day(1), day(9), "minute", new.limit(0))
+    assert read().count() == 0 and read().columns == begun.columns
+
+
+def test_other_tickers_row_groups_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("T"), F.lpad((F.col("id") % 40).cast("string"), 2, "0")).alias("ticker"),
+        (F.lit(datetime(2024, 1, 3)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).alias("ts"),
+        *[F.rand(c).alias(n) for c, n in enumerate(("open", "high", "low", "close"))],
+        F.col("id").alias("volume"),
+    )
+    bar_tables.write_bars(rows, path, "minute", row_group=100_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = bar_tables.read_bars(spark, path, date(2024, 1, 1), date(2024, 1, 9), "minute", ["T07"])
+        plan = one._jdf.queryExecution().executedPlan()
+        assert len(one.collect()) == 1500
+        assert one._jdf.queryExecution().executedPlan().equals(plan)
+        rows_read = [plan.collectLeaves().apply(i).metrics().apply("numOutputRows").value() for i in range(plan.collectLeaves().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(rows_read) < 10_000  # of 60000
 
 
 def test_order_tables(spark):
@@ -283,6 +326,42 @@ def test_orders_over_jdbc(spark, tmp_path):
     assert [tuple(r) for r in got] == [("s1", 2.35, "1"), ("s2", 3.0, None)]
 
 
+def test_orders_in_parallel_and_once(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/log;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    fills = spark.createDataFrame([(f"b{i}", "AB"[i % 2], float(i), i) for i in range(100)], "buy_order_id string, ticker string, price double, quantity int").repartition(4)
+    for _ in range(2):  # the batch once more, as after a crash before it was told to whoever asked
+        order_tables.append_once(fills, url, "fills", "monday", driver)
+    order_tables._put(fills, url, "fills_rows", "never-told", driver)
+    twice = spark.read.jdbc(url, "fills_rows", properties=driver)
+    first = twice.where("attempt <> 'never-told'").select(F.min("attempt")).first()[0]
+    again = twice.where(F.col("attempt") == first).limit(10)  # a task whose first try had been taken for lost
+    spark.createDataFrame(again.collect(), again.schema).write.jdbc(url, "fills_rows", mode="append", properties=driver)
+    order_tables.append_once(fills.limit(3), url, "fills", "tuesday", driver)
+    got = order_tables.read_appended(spark, url, "fills", driver)
+    assert sorted((r.batch, r.quantity) for r in got.where("batch = 'monday'").collect()) == [("monday", i) for i in range(100)] and got.count() == 103
+    order_tables.write_order_log(fills.selectExpr("buy_order_id as sell_order_id", "ticker", "price", "quantity", "buy_order_id as buy_order_id_link"), url, "open_sells", ["sell_order_id", "ticker", "price", "quantity", "buy_order_id_link"], driver | {"createTableColumnTypes": "ticker varchar(10)"})
+    parts = order_tables.read_open_orders(spark, url, "open_sells", driver, by="quantity", lower=0, upper=100, parts=4)
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 100
+    some = parts.where("ticker = 'A' and quantity < 10")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ticker,A)" in plan.replace("TICKER", "ticker") and "LessThan(quantity,10)" in plan.replace("QUANTITY", "quantity") and some.count() == 5
+
+
+def test_open_orders_are_refreshed_at_once(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/open;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    frame = lambda rows: spark.createDataFrame(rows, "sell_order_id string, ticker string, price double")
+    symbols = lambda *names: spark.createDataFrame([(n,) for n in names], "ticker string")
+    read = lambda: sorted((r.sell_order_id, r.price) for r in order_tables.read_stored_orders(spark, url, "open", driver).collect())
+    order_tables.store_open_orders(frame([("1", "A", 1.0), ("2", "B", 2.0), ("3", "C", 3.0), ("9", "Z", 9.0)]), symbols("A", "B", "C"), url, "open", driver)
+    assert read() == [("1", 1.0), ("2", 2.0), ("3", 3.0)]
+    order_tables.store_open_orders(frame([("4", "A", 4.0), ("5", "A", 5.0)]), symbols("A", "B"), url, "open", driver)
+    assert read() == [("3", 3.0), ("4", 4.0), ("5", 5.0)]
+    broken = frame([("6", "A", 6.0), ("7", "C", 7.0)]).repartition(2).withColumn("price", F.when(F.col("ticker") == "C", F.raise_error(F.lit("halfway")).cast("double")).otherwise(F.col("price")))
+    with pytest.raises(Exception, match="halfway"):
+        order_tables.store_open_orders(broken, symbols("A", "C"), url, "open", driver)
+    assert read() == [("3", 3.0), ("4", 4.0), ("5", 5.0)]
+
+
 def test_wide_merge_and_links(spark):
     rows = spark.createDataFrame([(1, "A", 1.0, 5), (1, "B", 2.0, 6), (2, "A", 3.0, 7), (2, "C", 9.0, 9)], "ts int, ticker string, close double, volume int")
     one = align.wide_merge(rows, ["A", "B"], ["close"])
@@ -299,7 +378,7 @@ def test_a_cluster_needs_a_checkpoint_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        kmeans._checkpointed(df)
+        shared.checkpointed(df)
 
 
 # clustering at the survey's size ---------------------------------------------------------------------------------------
