@@ -41,7 +41,9 @@ def _first_touch(orders: DataFrame, since: str, bound: Column, value: Column, qu
     levels["all"] = q.groupBy("ticker").agg(F.collect_list(F.struct("t", "v")).alias("rows"))
 
     start = F.col(since).cast("timestamp_ntz")
-    o = orders.select("order_id", "ticker", start.alias("since"), bound.alias("bound")).where("bound is not null and since is not null")
+    named = orders.withColumns({"_since": start, "_bound": bound})
+    # each (order, ticker, time, bound) once, however often the order stands in the table
+    o = named.select("order_id", "ticker", F.col("_since").alias("since"), F.col("_bound").alias("bound")).where("bound is not null and since is not null").distinct()
     o = o.withColumns({f"own_{u}": cut(u, F.col("since")) for u in ("second", "minute", "day")})
 
     def look(rows: DataFrame, unit: str, at: Column | None, found: Column, name: str) -> DataFrame:
@@ -60,7 +62,8 @@ def _first_touch(orders: DataFrame, since: str, bound: Column, value: Column, qu
     o = look(o, "minute", F.coalesce("minute2", "own_minute"), F.coalesce("second1", F.when(F.col("minute2").isNotNull(), _first("rows", "bound"))), "second2")
     o = look(o, "second", F.coalesce("second2", "own_second"), F.coalesce("quote1", F.when(F.col("second2").isNotNull(), _first("rows", "bound"))), "touch_ts")
     kind = orders.schema[since].dataType
-    return orders.join(o.select("order_id", F.col("touch_ts").cast(kind).alias("touch_ts")), "order_id", "left")
+    found = o.select("order_id", "ticker", F.col("since").alias("_since"), F.col("bound").alias("_bound"), F.col("touch_ts").cast(kind).alias("touch_ts"))
+    return named.join(found, ["order_id", "ticker", "_since", "_bound"], "left").select(*[named[c] for c in orders.columns], "touch_ts")
 
 
 def buy_touch(orders: DataFrame, quotes: DataFrame) -> DataFrame:

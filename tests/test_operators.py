@@ -463,3 +463,14 @@ def test_values_at_ranks_from_counts_alone(spark):
     ties = spark.createDataFrame([("A", i % 3, i) for i in range(200)], "ticker string, ts int, id int")
     ranks = with_rank(ties.repartition(7), "ticker", "ts", ties=("id",)).collect()
     assert [r.id for r in sorted(ranks, key=lambda r: r._i)] == sorted(range(200), key=lambda i: (i % 3, i))
+
+
+def test_repeated_orders_are_touched_once_each(spark):
+    at = lambda s: datetime(2024, 1, 3, 9, 0, s)
+    rows = [("A", at(0), 1, 5.0, 1), ("A", at(0), 1, 5.0, 1), ("A", at(2), 1, 4.0, 1), ("B", at(0), 1, 5.0, 1), ("A", at(0), None, 5.0, 1), ("A", at(0), 2, None, 1)]
+    placed = spark.createDataFrame(rows, "ticker string, placed_ts timestamp, order_id long, limit_price double, quantity int")
+    quotes = spark.createDataFrame([("A", at(s), b, b) for s, b in ((1, 5.0), (3, 4.0))], "ticker string, ts timestamp, bid double, ask double")
+    got = orders.buy_touch(placed, quotes).collect()
+    assert len(got) == len(rows)
+    key = lambda r: (str(r.order_id), r.ticker, str(r.limit_price), str(r.touch_ts))
+    assert sorted(map(key, got)) == sorted([("1", "A", "5.0", str(at(1)))] * 2 + [("1", "A", "4.0", str(at(3))), ("1", "B", "5.0", "None"), ("None", "A", "5.0", "None"), ("2", "A", "None", "None")])

@@ -2,6 +2,7 @@
 
 import math
 from datetime import datetime
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,3 +44,13 @@ def test_every_query_has_rows(spark):
     assert entry.entry(spark).count() > 0
     missing = set(entry.oracle_sql()) - set(entry.queries())
     assert not missing
+
+
+def test_no_query_is_lost_to_an_import_error():
+    """Where the training-data folders are there, so are all their queries."""
+    folder = Path(entry.__file__).parent
+    found = {n.split("_")[0] for n in entry.queries()}
+    if (folder / "barloom" / "llm").is_dir():
+        assert {f"op{i}" for i in range(1, 14)} <= found
+    if (folder / "corpus_pipeline.py").is_file() and (folder / "barloom" / "llm").is_dir():
+        assert "pipeline" in found
