@@ -7,7 +7,8 @@ article by one <article> element. A word's weight depends on the innermost block
 Elements have weights too, from two sources that add up: what their name, class, id or role is known to mean (menus,
 footers, adverts, comments, ...), and how often the labelled pages have such a class, id or role inside and outside of
 their article. An element of low weight is set aside: it counts as one tag and its words aren't text of the region.
-An element that holds the article, or most of the page's words, is never set aside, whatever it is called.
+An element that holds the article, or most of the page's words, is never set aside, whatever it is called. Where a page
+marks one article, tags within it hardly cost anything: tables, lists and figures are parts of it, not its end.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ ARTICLES = ("article", "main")
 SAID, ASIDE, COST = -1.6, -1.5, -2.0
 #: The most that labelled pages can say in favour of an element: less than what its name says against it.
 FAVOUR = 1.0
+#: What a tag within the page's only article costs of its weight, and the weight of a tag that the labels never show.
+WITHIN, UNSEEN = 0.02, -0.25
 #: Shares of the page's words from which on an element isn't set aside: by a word that is part of a class, by a whole one.
 MOST_BY_PART, MOST_BY_WHOLE = 0.5, 0.8
 
@@ -75,7 +78,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 @dataclass
 class Element:
-    """parent: number of the element around it. words: how many it holds. holds: whether an article is in it."""
+    """parent: number of the element around it. words: how many it holds. holds: whether an article is in it. articles: of
+    the page, how many it has."""
 
     name: str
     parent: int
@@ -86,6 +90,7 @@ class Element:
     words: int = 0
     holds: bool = False
     aside: bool = False
+    articles: int = 0
 
 
 @dataclass
@@ -151,7 +156,8 @@ def parsed(html: str) -> tuple[list[Element], list[Token]]:
         hints = [w for w in marks if _hinted(w)] if name not in HOLDERS else []
         seldom = name in SELDOM and not (name == "header" and around.in_article)
         own = Element(name, at_top(), tuple(w.lower() for w in marks), SAID if seldom or hints else 0.0)
-        own.whole = seldom or any(w.lower() in HINTS for w in hints)
+        # a form may be around a whole page
+        own.whole = seldom and name != "form" or any(w.lower() in HINTS for w in hints)
         own.in_article = around.in_article or name == "article"
         out.append(Token(name, len(elements), opens=True))
         elements.append(own)
@@ -159,6 +165,7 @@ def parsed(html: str) -> tuple[list[Element], list[Token]]:
         if name not in VOID and not (attrs.endswith("/") and nearest(("svg", "math")) is not None):
             stack.append(len(elements) - 1)
     text(html[last:])
+    elements[0].articles = sum(e.name == "article" for e in elements)
     # an element comes after the one around it
     for e in elements:
         if e.name in HIDDEN or e.parent and elements[e.parent].name in HIDDEN:
@@ -179,7 +186,7 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
     marks: dict[str, float] = field(default_factory=dict)
     word: float = 1.0
-    tag: float = -1.0
+    tag: float = UNSEEN
 
     def set_aside(self, elements: list[Element], by_parts: bool = True) -> None:
         """Mark the elements that are set aside, and all within them. by_parts: also by a word that is part of a class."""
@@ -200,7 +207,7 @@ class Weights:
         if e.aside:
             return COST if t.opens and not elements[e.parent].aside else 0.0
         if t.text is None:
-            return self.tags.get(t.name, self.tag)
+            return self.tags.get(t.name, self.tag) * (WITHIN if e.in_article and elements[0].articles == 1 else 1.0)
         return self.words.get(t.name, self.word) * len(t.text.split())
 
 
@@ -213,7 +220,7 @@ def fit(pages: list[str]) -> Weights:
     words, tags, marks = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
     for html in pages:
         elements, found = parsed(html)
-        if sum(e.name == "article" for e in elements) != 1:
+        if elements[0].articles != 1:
             continue
         PLAIN.set_aside(elements)
         for t in found:

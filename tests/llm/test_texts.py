@@ -83,6 +83,50 @@ def test_rebuilt_pages_give_the_same_articles():
         assert not wrong, (name, len(wrong))
 
 
+def test_tables_lists_and_forms_of_an_article_stay():
+    """A short table or list as an article's first, second or last block, whether an <article> or a <div> is around it; a
+    <form> in the article's place."""
+    import pyarrow.parquet as pq
+
+    sources = pq.read_table(f"{SF2}/pages.parquet", columns=["html"])["html"].to_pylist()
+    weights = pages.fit(sources[:100])
+    blocks = {"<table><tr><td>aa bb</td><td>cc dd</td></tr></table>": "<p>aa bb cc dd</p>", "<ul><li>aa bb</li><li>cc dd</li></ul>": "<p>aa bb</p><p>cc dd</p>", "<dl><dt>aa</dt><dd>bb</dd></dl>": "<p>aa</p><p>bb</p>"}
+    places = {
+        "first": lambda h, x: h.replace("<article>", "<article>" + x),
+        "second": lambda h, x: re.sub(r"(<article>.*?</p>)", lambda m: m[1] + x, h, count=1, flags=re.S),
+        "last": lambda h, x: h.replace("</article>", x + "</article>"),
+    }
+    for name, put in places.items():
+        for block, same in blocks.items():
+            for around in ("article", "div"):
+                if (name, around) == ("first", "div"):
+                    continue  # nothing says where that article begins
+                wrong = [h for h in sources[100:] if pages.main_text(put(h, block).replace("article>", f"{around}>"), weights) != article_of(put(h, same))]
+                assert not wrong, (name, block, around, len(wrong))
+    assert not [h for h in sources[100:] if pages.main_text(h.replace("article>", "form>"), weights) != article_of(h)]
+
+
+def test_the_query_equals_a_scan_of_all_runs(spark):
+    """Pages with the weights that the query fits, their region found by trying all runs."""
+    df = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
+    rows = df.orderBy("page_id").collect()
+    weights = pages.fit([r.html for r in rows])
+    got = {r.page_id: r.text for r in pages.query(df).collect()}
+    for r in rows:
+        elements, found = pages.parsed(r.html)
+        weights.set_aside(elements)
+        scores = [weights.of(t, elements) for t in found]
+        sums = [0.0]
+        for x in scores:
+            sums.append(sums[-1] + x)
+        best = max((sums[j] - sums[i], -i, j) for i in range(len(sums)) for j in range(i, len(sums)))
+        a, b = -best[1], best[2]
+        begin, end = pages.best_run(scores)
+        assert abs((sums[end] - sums[begin]) - best[0]) < 1e-9
+        whole = pages._region_text(elements, found, weights)
+        assert got[r.page_id] == whole and (abs(sums[b] - sums[a] - best[0]) < 1e-9)
+
+
 def test_labelled_pages_teach_what_no_name_says():
     """Boilerplate with classes that mean nothing by themselves: fitted weights know it, the plain ones don't."""
     rng = random.Random(4)
