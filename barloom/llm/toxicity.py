@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ SAMPLE = 3000
 NEIGHBOURS = 15
 #: Examples of a block.
 BLOCK = 64
+#: Terms, those that most examples hold, whose weights lie apart; only where more than one example in 16 holds them.
+COMMON = 256
+#: More than twice what a cosine loses when its common terms are summed up in single precision (257 terms: 2e-5).
+SLACK = 1e-4
 #: Relevance of a term that the labels say nothing about; terms that mark toxic examples surely have 0.5 and more.
 FLOOR = 0.01
 #: Parts of the examples that are scored by the others for the calibration.
@@ -36,6 +41,8 @@ FOLDS = 4
 EVIDENCE = 3
 #: A text counts as toxic from this score on.
 CUT = 0.3
+#: Distinct words that a task counts before it looks them up among the terms.
+COUNTED = 50_000
 #: Scores of equal texts that a worker remembers.
 REMEMBERED = 20_000
 
@@ -78,18 +85,24 @@ def relevance(counts: list[np.ndarray], labels: np.ndarray, size: int, floor: fl
     return floor + np.sqrt(g) / 10
 
 
-def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, one range after the other, and the number of the range that each comes from."""
-    begin = begin.astype(np.int64)
-    n = end - begin
-    which = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which], which
+def _ranges(begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and for each number its range's value."""
+    n = end.astype(np.int64) - begin
+    last = np.cumsum(n)
+    numbers = np.repeat(begin + n - last, n)
+    numbers += np.arange(len(numbers))
+    return numbers, np.repeat(values, n)
 
 
 class Index:
-    """Block-max inverted index of vectors (term numbers, weights), none of them empty."""
+    """Block-max inverted index of vectors (term numbers, weights), none of them empty.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
+    Terms that many examples hold have most of the postings. Up to ``common`` of them lie apart, as a row of weights for
+    each term, and are first summed up for all examples, roughly; then blocks are looked into for the postings of the
+    others. What can be among the nearest then gets its exact cosine.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK, common: int = COMMON):
         # examples with the same heaviest term lie together, so that a block's greatest weights say more
         heaviest = np.array([t[np.argmax(w)] for t, w in vectors], dtype=np.int64)
         self.order = np.lexsort((np.arange(len(vectors)), heaviest))
@@ -103,8 +116,19 @@ class Index:
         self.weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])[by]
         del by
         self.place = (key % max(1, self.n)).astype(np.int32)
-        # one row for each block that a term occurs in: the block, its postings and their greatest weight
         key //= max(1, self.n)
+        held = np.bincount(key, minlength=terms)
+        often = np.argsort(-held, kind="stable")[:common]
+        often = often[held[often] * 16 > self.n]
+        #: of each term, its row among the common ones, or -1
+        self.row = np.full(terms, -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often))
+        self.common = np.zeros((len(often), self.n))
+        apart = self.row[key] >= 0
+        self.common[self.row[key[apart]], self.place[apart]] = self.weight[apart]
+        self.rough = self.common.astype(np.float32)
+        key, self.place, self.weight = key[~apart], self.place[~apart], self.weight[~apart]
+        # one row for each block that a term occurs in: the block, its postings and their greatest weight
         start = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(self.place // block, prepend=-1) != 0))
         self.begin = np.append(start, len(key)).astype(np.int32)
         self.at = self.place[start] // block
@@ -113,32 +137,51 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0, ties by number, and the cosines. without: an example left out."""
-        rows, which = _ranges(self.of_term[terms], self.of_term[terms + 1])
-        own = weights[which]
+        row = self.row[terms]
+        apart = row >= 0
+        row, level, terms, weights = row[apart], weights[apart], terms[~apart], weights[~apart]
+        start, end = self.of_term[terms], self.of_term[terms + 1]
+        rows, own = _ranges(start, end, weights)
         blocks = self.at[rows]
+        shared = np.einsum("i,ij->j", level.astype(np.float32), self.rough[row]).astype(np.float64)
         bound = np.bincount(blocks, own * self.highest[rows], self.blocks)
+        if self.n:
+            bound = bound + np.maximum.reduceat(shared, np.arange(0, self.n, self.block))
         reach = np.zeros(self.n)
         # first the most promising blocks, then all others that can still hold one of the k nearest
         first = np.zeros(self.blocks, dtype=bool)
         first[np.argsort(-bound, kind="stable")[: 1 + k // self.block]] = True
-        self._add(reach, rows, own, first[blocks])
-        kth = np.partition(reach, -k - 1)[-k - 1] if self.n > k + 1 else 0.0  # one more, as one may be left out
-        # a little slack, as sums differ in their last digits
-        rest = ~first & (bound > 0) & (bound + 1e-9 >= kth)
-        if rest.any():
-            self._add(reach, rows, own, rest[blocks])
+        found = first[blocks]
+        self._add(reach, self.begin[rows[found]], self.begin[rows[found] + 1], own[found])
+        kth = _least(reach + shared, k + 1)  # one more, as one may be left out
+        rest = ~first & (bound > 0) & (bound + SLACK >= kth)
+        if 2 * rest.sum() > self.blocks:
+            # most blocks: all postings of a term at once cost less than those of single blocks
+            reach[:] = 0
+            self._add(reach, self.begin[start], self.begin[end], weights)
+        elif rest.any():
+            found = rest[blocks]
+            self._add(reach, self.begin[rows[found]], self.begin[rows[found] + 1], own[found])
+        shared += reach
         if without >= 0:
-            reach[np.flatnonzero(self.order == without)] = 0
-        kth = np.partition(reach, -k)[-k] if self.n > k else 0.0
-        found = np.flatnonzero((reach >= kth) & (reach > 0))
-        ids, near = self.order[found], np.minimum(1.0, reach[found])
+            shared[np.flatnonzero(self.order == without)] = 0
+        found = np.flatnonzero((shared + SLACK >= _least(shared, k)) & (shared > 0))
+        # the common terms again, in double precision and one after the other, so that equal examples have equal sums
+        near = reach[found] + (self.common[row[:, None], found] * level[:, None]).sum(axis=0)
+        ids, near = self.order[found], np.minimum(1.0, near)
         best = np.lexsort((ids, -near))[:k]
         return ids[best], near[best]
 
-    def _add(self, reach: np.ndarray, rows: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
-        rows, own = rows[chosen], own[chosen]
-        posts, which = _ranges(self.begin[rows], self.begin[rows + 1])
-        reach += np.bincount(self.place[posts], own[which] * self.weight[posts], self.n)
+    def _add(self, reach: np.ndarray, begin: np.ndarray, end: np.ndarray, weights: np.ndarray) -> None:
+        """Adds what ranges of postings give to their examples."""
+        posts, own = _ranges(begin, end, weights)
+        own *= self.weight[posts]
+        reach += np.bincount(self.place[posts], own, self.n)
+
+
+def _least(values: np.ndarray, k: int) -> float:
+    """The k-th greatest of the values, 0 if there are no more."""
+    return np.partition(values, -k)[-k] if len(values) > k else 0.0
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +227,8 @@ class Model:
     """examples: (doc_id, text, label). frequency: in how many of ``documents`` documents each of ``terms`` occurs."""
 
     def __init__(self, examples: list[tuple[int, bytes, int]], terms: list[bytes], frequency: np.ndarray, documents: int, k: int = NEIGHBOURS):
-        self.number = {t: i for i, t in enumerate(terms)}
+        # the frequent ones lie together, which makes looking up words faster
+        self.number = {terms[i]: i for i in np.argsort(-frequency, kind="stable").tolist()}
         self.memory: dict[bytes, tuple] = {}
         idf = np.log((documents + 1) / (frequency + 1)) + 1e-3
         #: the weight of a word that no example holds, for each of 1 + log(times)
@@ -212,13 +256,12 @@ class Model:
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
         """Numbers of the text's terms, in order, and how often each occurs; the squared weight of all its other words."""
-        terms = terms_of(text)
-        place = list(map(self.number.get, terms))
-        found = [i for i in place if i is not None]
-        numbers, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
-        rest = Counter(t for t, i in zip(terms, place, strict=True) if i is None) if len(found) < len(terms) else {}
-        other = 1 + np.log(np.array(list(rest.values()), dtype=np.float64))
-        return numbers.astype(np.int32), times.astype(np.int32), float(other @ other) * self.unseen**2
+        words = Counter(terms_of(text))
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        times = np.fromiter(words.values(), np.int32, len(words))
+        other = 1 + np.log(times[numbers < 0].astype(np.float64))
+        by = np.argsort(numbers)[len(other) :]
+        return numbers[by], times[by], float(other @ other) * self.unseen**2
 
     def score(self, text: bytes) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score and, as evidence, the nearest examples: (doc_id, cosine, label)."""
@@ -245,13 +288,21 @@ def _frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
     """In how many documents each of the terms occurs, and the number of documents."""
     sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
+    def add(count: np.ndarray, held: Counter) -> None:
+        at = np.fromiter(map(sent.value.get, held, repeat(-1)), np.int64, len(held))
+        count[at[at >= 0]] += np.fromiter(held.values(), np.int64, len(held))[at >= 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows = sent.value, 0
-        count = np.zeros(len(number), dtype=np.int64)
+        rows, words = 0, Counter()
+        count = np.zeros(len(sent.value), dtype=np.int64)
         for b in batches:
             rows += b.num_rows
             for t in b.column(0):
-                count[[i for w in set(terms_of(t.as_py() or b"")) if (i := number.get(w)) is not None]] += 1
+                words.update(set(terms_of(t.as_py() or b"")))
+                if len(words) >= COUNTED:
+                    add(count, words)
+                    words.clear()
+        add(count, words)
         held = np.flatnonzero(count)
         # one row for each term, not for each text; -1 counts the documents
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(count[held], rows))], names=["term", "n"])

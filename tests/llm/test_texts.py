@@ -560,6 +560,49 @@ def test_nearest_equals_all_cosines():
     assert len(toxicity.Index([], 30).nearest(np.array([1]), np.array([1.0]), 3)[0]) == 0
 
 
+def zipf_vectors(n, seed):
+    """Vectors of 40 draws from a few common and many rare terms, as words of texts are; some of them twice."""
+    rng = np.random.default_rng(seed)
+    vectors = []
+    for _ in range(n):
+        t = np.unique((2000 ** rng.random(40)).astype(np.int64) - 1)
+        w = rng.random(len(t)) + 0.01
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    return vectors + vectors[: n // 10]
+
+
+@pytest.mark.parametrize("common", [0, 5, toxicity.COMMON])
+@pytest.mark.parametrize("block", [4, 64])
+def test_nearest_equals_all_cosines_however_many_terms_are_common(common, block):
+    vectors = zipf_vectors(600, 3)
+    index = toxicity.Index(vectors, 2000, block=block, common=common)
+    assert len(index.common) == common or 5 < len(index.common) < common
+    space = np.zeros((len(vectors), 2000))
+    for i, (t, w) in enumerate(vectors):
+        space[i, t] = w
+    for j, (t, w) in enumerate(zipf_vectors(100, 4)[:100] + vectors[:50]):
+        without = j - 100 if j >= 100 else -1
+        cosines = np.round(space[:, t] @ w, 9)
+        if without >= 0:
+            cosines[without] = 0
+        want = np.lexsort((np.arange(len(cosines)), -cosines))[:15]
+        ids, near = index.nearest(t, w, 15, without=without)
+        assert ids.tolist() == want.tolist()
+        assert np.round(near, 9).tolist() == np.minimum(1, cosines[want]).tolist()
+
+
+def test_common_terms_cost_no_postings(monkeypatch):
+    """Of the postings of a text's terms, most of which belong to common terms, few are looked into one by one."""
+    vectors = zipf_vectors(3000, 5)
+    index, looked, ranges = toxicity.Index(vectors, 2000), [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda *a: looked.append(len((found := ranges(*a))[0])) or found)
+    often = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=2000)
+    texts = zipf_vectors(50, 6)
+    for t, w in texts:
+        index.nearest(t, w, 15)
+    assert sum(looked) < 0.5 * sum(often[t].sum() for t, _ in texts)
+
+
 def test_toxicity_query_equals_all_cosines(spark):
     """Evidence and score of every document, computed anew over all examples with dictionaries."""
     from math import log, sqrt
