@@ -251,6 +251,7 @@ class Model:
                     if (vote := part.vote(counts[j])[0]) is not None:
                         votes.append(vote)
                         truth.append(float(y[j]))
+                del part  # before the next one is made, so that the driver holds one index at a time
         self.knots = isotonic(np.array(votes), np.array(truth))
         self.part = _Part(counts, y, idf, k)
 

@@ -40,6 +40,33 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_portions(spark):
+    rng = random.Random(2)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(80)] + [(2000, 2001 + i) for i in range(60)]
+    rng.shuffle(links)
+    table = spark.createDataFrame(links, "a long, b long").repartition(5)
+    plain = {}
+    for a, b in sorted(links):
+        low, high = sorted((plain.setdefault(a, a), plain.setdefault(b, b)))
+        plain = {x: low if r == high else r for x, r in plain.items()}
+    lone = {x for a, b in links for x in (a, b)} - {x for a, b in links if a != b for x in (a, b)}
+    want = {x: r for x, r in plain.items() if x not in lone}
+    for portion in (7, 100, 1000):
+        got = components.connected_components(table, portion=portion).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Each round of stars costs the driver some twenty jobs; a table of one portion has none."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert {r.component for r in components.connected_components(links).collect()} == {0}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 # SimHash ---------------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -603,6 +604,25 @@ def test_common_terms_cost_no_postings(monkeypatch):
     assert sum(looked) < 0.5 * sum(often[t].sum() for t, _ in texts)
 
 
+def test_model_holds_one_index_at_a_time(monkeypatch):
+    """The folds' indexes are made one after the other in the driver's memory."""
+    made, most = [], []
+
+    class Told(toxicity.Index):
+        def __init__(self, *args, **more):
+            made.append(weakref.ref(self))
+            most.append(sum(x() is not None for x in made))
+            super().__init__(*args, **more)
+
+    monkeypatch.setattr(toxicity, "Index", Told)
+    rng = random.Random(5)
+    examples = [(i, (words(rng, 20) + " idiot" * (i % 3 == 0)).encode(), int(i % 3 == 0)) for i in range(60)]
+    terms = sorted({t for _, x, _ in examples for t in toxicity.terms_of(x)})
+    model = toxicity.Model(examples, terms, np.ones(len(terms), dtype=np.int64), 60)
+    assert len(made) == toxicity.FOLDS + 1 and set(most) == {1}
+    assert model.score(b"idiot")[0] > model.score(b"er on")[0]
+
+
 def test_toxicity_query_equals_all_cosines(spark):
     """Evidence and score of every document, computed anew over all examples with dictionaries."""
     from math import log, sqrt
