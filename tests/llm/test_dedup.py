@@ -431,3 +431,63 @@ def test_mixing_large_rates_and_edges(spark):
     kept = [(r.doc_id, r.copy_) for r in rows]
     assert sorted(kept) == sorted((r.doc_id, r.copy) for r in mixing.mixed(df, total=60).collect())
     assert {tuple(r)[5:-1] for r in rows} == {(-1, 2, "x", 7, 8, 9, 10, 11, 12, 13)}
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("sent", [100_000, 3])
+def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(simhash, "SENT", sent)
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))) for i in range(600)]
+    rows += [(600 + i, rows[i][1].replace(" ", " new ", 1)) for i in range(0, 60, 2)] + [(700 + i, rows[i][1]) for i in range(1, 20, 2)]
+    spark.createDataFrame(rows, TEXTS).write.parquet(f"{tmp_path}/in")
+    before = shuffled_bytes(spark)
+    got = {r.doc_id for r in simhash.keep_first(spark.read.parquet(f"{tmp_path}/in")).collect()}
+    assert got == set(range(600))
+    # a few hundred bytes a text, and what may go, but not the texts, of which there are 2.5 million bytes
+    assert shuffled_bytes(spark) - before < 1_200_000
+
+
+@pytest.mark.parametrize(("held", "grid"), [(300_000, 8), (40, 3)])
+def test_cells_join_all_pairs_within_reach(spark, monkeypatch, held, grid):
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "GRID", grid)
+    monkeypatch.setattr(simhash, "LEAST_BLOCK", 16)
+    rng = random.Random(22)
+    centers = [rng.getrandbits(64) for _ in range(6)]
+    fps = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for c in centers for _ in range(40)] + [rng.getrandbits(64) for _ in range(100)] + [0, 0]
+    sizes = [rng.choice((0, 50, 60, 100)) for _ in fps]
+    rows = [(x - (x >> 63 << 64), i, s) for i, (x, s) in enumerate(zip(fps, sizes, strict=True))]
+    links = simhash.cell_links(spark.createDataFrame(rows, "fp long, rep long, size long"), 12, 0.8).collect()
+    label = {r.node: r.component for r in components.connected_components(spark.createDataFrame([(r.a, r.b) for r in links if r.dense] or [(-1, -2)], "a long, b long")).collect()}
+    single = {(r.a, r.b) for r in links if not r.dense}
+    for a in range(len(fps)):
+        for b in range(a):
+            near = (fps[a] ^ fps[b]).bit_count() <= 12 and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])
+            assert not near or (a, b) in single or label.get(a, a) == label.get(b, b)
+            assert near or (a, b) not in single
+    assert simhash.cell_links(spark.createDataFrame([], "fp long, rep long, size long"), 12, 0.8).count() == 0
+
+
+def test_sketches_keep_all_similar_sets():
+    rng, ruled_out = np.random.default_rng(23), 0
+    for _ in range(3000):
+        n = int(rng.choice([0, 1, 3, 12, 63, 64, 130, 500, 3000]))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(n) < rng.choice([0.7, 0.9, 1.0])], rng.integers(0, 2**64, int(n * rng.choice([0, 0.1, 0.3])), dtype=np.uint64))))
+        if rng.random() < 0.2:  # full counts
+            a, b = (np.unique(v >> np.uint64(5)) for v in (a, b))
+        shared = len(np.intersect1d(a, b))
+        may = simhash.may_be_similar(len(a), simhash.counts_sketch(a).tobytes(), len(b), simhash.counts_sketch(b).tobytes(), 0.8)
+        assert may or shared < 0.8 * (len(a) + len(b) - shared)
+    for n in (200, 1000, 5000):
+        a, b = (simhash.counts_sketch(rng.integers(0, 2**64, n, dtype=np.uint64)).tobytes() for _ in range(2))
+        ruled_out += not simhash.may_be_similar(n, a, n, b, 0.8)
+    assert ruled_out == 3
