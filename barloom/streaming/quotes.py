@@ -49,7 +49,7 @@ def minute_bars_stream(prices: DataFrame, watermark: str = WATERMARK) -> DataFra
 
 
 def _on_timers(rows: DataFrame) -> DataFrame:
-    """Timers and list states are kept in RocksDB only."""
+    """Timers and list states are kept in RocksDB only; it also holds more keys than memory does."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return rows
 
@@ -333,46 +333,18 @@ def kept_rows(changes: DataFrame) -> DataFrame:
     return changes.groupBy("ticker", "ts", "row_id").agg(F.max("gone").alias("gone")).where("not gone").drop("gone")
 
 
-class _TimeOut(StatefulProcessor):
-    """State of an order: when it was placed (microseconds), its refund, and until when it was filled or held on to."""
-
-    def __init__(self, minutes: int):
-        self.wait = minutes * MINUTE
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.order = handle.getValueState("order", "placed long, refund double, done long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        placed, refund, done = self.order.get() if self.order.exists() else (None, None, None)
-        for part in rows:
-            for at, kind, money in zip(_micros(part["ts"]), part["kind"], part["refund"], strict=True):
-                if kind == "placed":
-                    placed, refund = at, float(money)
-                else:
-                    done = at if done is None else min(done, at)
-        self.order.update((placed, refund, done))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        # an end without a beginning is kept for as long as its beginning could still come
-        self.handle.registerTimer(((done if placed is None else placed) + self.wait) // 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        placed, refund, done = self.order.get()
-        self.order.clear()
-        if placed is not None and (done is None or done > placed + self.wait):
-            yield pd.DataFrame({"order_id": [key[0]], "cancel_ts": pd.to_datetime([placed + self.wait], unit="us"), "refund": [refund]})
-
-    def close(self) -> None:
-        pass
-
-
 def order_timeout_stream(events: DataFrame, trading: Trading = Trading(), watermark: str = WATERMARK) -> DataFrame:
     """(order_id, cancel_ts, refund) of orders that are neither filled nor held on to within ten minutes of event time.
 
     events: (order_id, ts, kind, refund), kind is placed, filled or keep (the ticker still is a Strong Buy). Only their
-    times count, not the batches in which they come. State goes with the time-out.
+    times count, not the batches in which they come. An order's events up to ten minutes apart are one session, which the
+    engine sums up in a few numbers; what ends an order in time is in the session of its placement. State goes with it.
     """
-    marked = _on_timers(events.withWatermark("ts", watermark))
-    return marked.groupBy("order_id").transformWithStateInPandas(_TimeOut(trading.cancel_minutes), "order_id long, cancel_ts timestamp, refund double", "append", "eventTime")
+    wait, placed = F.expr(f"INTERVAL {trading.cancel_minutes} MINUTES"), F.col("kind") == "placed"
+    # an end after just ten minutes is in time
+    session = F.session_window("ts", f"{trading.cancel_minutes} minutes 1 microsecond")
+    sessions = _on_timers(events.withWatermark("ts", watermark)).groupBy("order_id", session).agg(
+        F.max(F.when(placed, F.struct("ts", "refund"))).alias("placed"), F.min(F.when(~placed, F.col("ts"))).alias("done")
+    )
+    late = F.col("placed").isNotNull() & (F.col("done").isNull() | (F.col("done") > F.col("placed.ts") + wait))
+    return sessions.where(late).select("order_id", (F.col("placed.ts") + wait).alias("cancel_ts"), F.col("placed.refund").alias("refund"))

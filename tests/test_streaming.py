@@ -125,6 +125,19 @@ def test_orders_time_out_unless_filled(spark, tmp_path, split):
     assert sorted((r.order_id, r.cancel_ts, r.refund) for r in got if r.order_id not in (4, 5)) == [(1, at(10), 5.0), (6, at(24), 8.0)]
 
 
+@pytest.mark.parametrize("split", [True, False])
+def test_only_what_is_near_a_placement_ends_it(spark, tmp_path, split):
+    """In the engine alone, without a call for each order, and whether events come at once or not."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    schema = "order_id long, ts timestamp, kind string, refund double"
+    rows = [(1, at(0), "keep", 0.0), (2, at(3), "keep", 0.0), (1, at(12), "placed", 5.0), (2, at(12), "placed", 6.0), (3, at(12), "placed", 7.0), (3, at(12), "placed", 7.0), (3, at(23), "keep", 0.0), (4, at(200), "placed", 1.0)]
+    batches = [rows[:2], rows[2:6], rows[6:7], rows[7:]] if split else [rows[:7], rows[7:]]
+    got = in_runs(spark, tmp_path, batches, schema, streams.order_timeout_stream).collect()
+    assert sorted((r.order_id, r.cancel_ts, r.refund) for r in got if r.order_id != 4) == [(1, at(22), 5.0), (3, at(22), 7.0)]
+    made = streams.order_timeout_stream(spark.readStream.schema(schema).parquet(str(tmp_path)))
+    assert "pandas" not in made._jdf.queryExecution().analyzed().toString().lower()
+
+
 BARS = "ticker string, ts timestamp, open double, high double, low double, close double"
 
 
